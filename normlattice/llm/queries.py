@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import quality_rules, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +19,36 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: The rules of op4 and the hosts whose canonical URLs make its list.
+URL_RULES = [
+    url_filter.Rule("net/", "block"),
+    url_filter.Rule("example.net/en/", "allow"),
+    url_filter.Rule("example.com/de/", "block"),
+    url_filter.Rule("org/fr/", "allow"),
+]
+LISTED_HOSTS = r"(^|\.)(casino-win|free-bets|spam-farm|cheap-pills|adult-x|ads-track)\."
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.filter(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS))
+    return url_filter.judge(pages, listed, URL_RULES)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op4_url_filters": op4_url_filters,
+        "op9_quality_rules": op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_url_filters": url_filter.oracle_sql(URL_RULES, LISTED_HOSTS),
+        "op9_quality_rules": quality_rules.ORACLE_SQL,
+    }
