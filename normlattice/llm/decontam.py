@@ -73,6 +73,7 @@ class Items:
             for w in ws:
                 self.number.setdefault(w, len(self.number) + 1)
         self.words = [np.array([self.number[w] for w in ws], np.int64) for ws in split]
+        self.tally = [np.unique(w, return_counts=True) for w in self.words]
         self.base = len(self.number) + 1
         if self.base >= 1 << 21:
             raise ValueError("a block of test items has too many different words")
@@ -153,6 +154,7 @@ class Items:
         out = []
         for k in np.unique(item).tolist():
             own, m = self.words[k], len(self.words[k])
+            kinds, counts = self.tally[k]
             slack = m // 2 + 2
             spans: list[list[int]] = []
             for s in np.unique(start[item == k]).tolist():
@@ -163,6 +165,9 @@ class Items:
                     spans.append([a, b])
             best = (0, 0, 0)
             for a, b in spans:
+                # no alignment has more matches than words in common
+                if np.minimum(np.bincount(words[a:b], minlength=self.base)[kinds], counts).sum() < min_score * m:
+                    continue
                 score, i, j = align(own, words[a:b])
                 if score > best[0]:
                     best = (score, a + i, a + j)
