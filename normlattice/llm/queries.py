@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality_rules, simhash, suffix_dedup, tokens, url_filter
+from . import bpe, decontam, quality_knn, quality_rules, secrets, simhash, suffix_dedup, tokens, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,22 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def held_out(doc_id: str = "doc_id"):
+    """A third of the documents, from whose labels nothing is learnt."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_knn.fit(docs, _table(spark, sf_dir, "labels").filter(~held_out()))
+    return quality_knn.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_model")
+
+
 #: The rules of op4 and the hosts whose canonical URLs make its list.
 URL_RULES = [
     url_filter.Rule("net/", "block"),
@@ -70,6 +86,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op2_quality_classifier": op2_quality_classifier,
+        "op3_secret_scans": op3_secret_scans,
         "op4_url_filters": op4_url_filters,
         "op5_token_counts": op5_token_counts,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
