@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality_knn, quality_rules, secrets, simhash, suffix_dedup, tokens, url_filter
+from . import bpe, decontam, quality_knn, quality_rules, secrets, simhash, suffix_dedup, tokens, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,11 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = warc.records(_table(spark, sf_dir, "pages"))
+    return warc.audit(warc.tree(warc.leaves(recs)), warc.tree(warc.leaves(warc.damaged(recs))))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -92,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
+        "op8_warc_fixity": op8_warc_fixity,
         "op9_quality_rules": op9_quality_rules,
         "op10_bpe": op10_bpe,
     }
@@ -100,5 +106,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_url_filters": url_filter.oracle_sql(URL_RULES, LISTED_HOSTS),
+        "op8_warc_fixity": warc.ORACLE_SQL,
         "op9_quality_rules": quality_rules.ORACLE_SQL,
     }
