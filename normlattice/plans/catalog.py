@@ -1,11 +1,487 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, each with the SQL that gives the same rows.
+
+The tables stand in for the engine's relations: documents and benchmark for corpora, embeddings for
+dense vectors, labels with documents for truth and predictions, events and conversations for
+stored answers. Every query reads its tables whole.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schemas as S
+from ..functions import text as X
+from ..operators import evaluation as E
+from ..operators import extraction, similarity
+from ..session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Parameters that suit the tables' invented prose.
+CUES = ("that", "with", "from")
+VOCABULARY = ["and", "are", "das", "del", "den", "der", "des", "die", "ein", "est", "for", "hash", "les", "los", "not", "par", "que", "that", "the", "threat", "token", "und", "une", "was", "with"]
+STOP_WORDS = ["the", "of", "and", "to", "in", "is", "it", "on", "de", "la", "der", "die", "que", "el"]
+CUTS = [(0.40, "EQUIVALENCE"), (0.30, "OVERLAP"), (0.20, "COMPLEMENTARITY")]
+METHODS = ["length_rule", "language_rule", "silent_rule"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _quoted(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+# ---------------------------------------------------------------- cleaning and clauses
+
+# SQL's white space as functions.text.strip has it
+_WS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
+_STRIP = lambda e: rf"regexp_replace({e}, '\A{_WS}+|{_WS}+\z', '', 'g')"
+
+
+@query(rf"""
+SELECT doc_id, {_STRIP(r"regexp_replace(regexp_replace(regexp_replace(text, 'ETSI\s*\n', chr(10), 'g'), 'ETSI EN \d+ \d+ V[\d.]+ \(\d{4}-\d{2}\)\s*\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')")} AS cleaned
+FROM documents
+""")
+def clean_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN p > 0 THEN substr(text, 1, CAST(p AS BIGINT) + 199) ELSE text END AS head
+FROM (SELECT *, strpos(substr(text, 201), chr(10)) AS p FROM documents)
+""")
+def annex_truncate(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", X.cut_at_marker(F.col("text"), "\n", 200).alias("head"))
+
+
+@query(r"""
+SELECT page_id, pos - 1 AS pos, m[pos] AS match
+FROM (SELECT page_id, m, unnest(range(1, len(m) + 1)) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<p>[^<]*</p>') AS m FROM pages))
+""")
+def clause_extract(spark: SparkSession, sf: str) -> DataFrame:
+    out = extraction.matches(table(spark, sf, "pages"), "html", "<p>[^<]*</p>")
+    return out.select("page_id", F.col("pos").cast("long").alias("pos"), "match")
+
+
+@query(rf"""
+SELECT doc_id, {_STRIP(r"regexp_replace(text, '(?s)\n(Of|Der|La)\s+\d*\|.*', '')")} AS trimmed FROM documents
+""")
+def explanatory_trim(spark: SparkSession, sf: str) -> DataFrame:
+    # the prose has no colons, so a bar ends the marker here
+    cut = X.strip(F.regexp_replace("text", r"(?s)\n(Of|Der|La)\s+\d*\|.*", ""))
+    return table(spark, sf, "documents").select("doc_id", cut.alias("trimmed"))
+
+
+@query(r"""
+SELECT doc_id, n_chars FROM documents
+WHERE NOT (regexp_matches(text, '(?m)^\s*[Oo]f\.?\s*$') OR contains(substr(text, 1, 20), 'The'))
+""")
+def void_filter(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return docs.filter(~X.is_void(F.col("text"), r"[Oo]f\.?", "The")).select("doc_id", "n_chars")
+
+
+@query("""
+SELECT doc_id, CASE WHEN contains(lower(text), 'that') THEN 'that' WHEN contains(lower(text), 'with') THEN 'with'
+  WHEN contains(lower(text), 'from') THEN 'from' ELSE 'unknown' END AS modality FROM documents
+""")
+def modality_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", X.modality(F.col("text"), CUES).alias("modality"))
+
+
+@query(r"""
+SELECT p_partkey, k AS section_id, coalesce(title, 'Unknown') AS title
+FROM (SELECT p_partkey, regexp_extract(p_brand, '(\d+)$', 1) AS k FROM part)
+LEFT JOIN (SELECT CAST(n_nationkey AS VARCHAR) AS section_id, n_name AS title FROM nation) ON k = section_id
+""")
+def id_prefix_dim_join(spark: SparkSession, sf: str) -> DataFrame:
+    parts = table(spark, sf, "part").select("p_partkey", F.regexp_extract("p_brand", r"(\d+)$", 1).alias("section_id"))
+    dim = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("section_id"), F.col("n_name").alias("title"))
+    return extraction.titled(parts, dim).select("p_partkey", "section_id", "title")
+
+
+@query(r"""
+SELECT '5.' || p_size || '.' || p_partkey || '-1' AS clause, regexp_extract('5.' || p_size || '.' || p_partkey || '-1', '^(5\.\d+)', 1) AS section_id,
+       regexp_extract('5.' || p_size || '.' || p_partkey || '-1', '^(5\.\d+\.\d+)', 1) AS principle_id FROM part
+""")
+def clause_sections(spark: SparkSession, sf: str) -> DataFrame:
+    clause = F.concat(F.lit("5."), F.col("p_size").cast("string"), F.lit("."), F.col("p_partkey").cast("string"), F.lit("-1"))
+    rows = table(spark, sf, "part").select(clause.alias("clause"))
+    return rows.select("clause", X.section_of(F.col("clause")).alias("section_id"), X.section_of(F.col("clause"), 3).alias("principle_id"))
+
+
+# ---------------------------------------------------------------- features
+
+_KEYWORDS_SQL = rf"list_sort(list_intersect(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}'))), [{_quoted(VOCABULARY)}]))"
+
+
+@query(f"SELECT doc_id, {_KEYWORDS_SQL} AS keywords FROM documents")
+def keyword_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", X.keywords(F.col("text"), VOCABULARY).alias("keywords"))
+
+
+@query(f"""
+WITH a AS (SELECT item_id, {_KEYWORDS_SQL} AS k FROM benchmark), b AS (SELECT doc_id, {_KEYWORDS_SQL} AS k FROM documents),
+p AS (SELECT item_id AS src_id, doc_id AS tgt_id, list_sort(list_intersect(a.k, b.k)) AS shared_keywords, len(a.k) AS m, len(b.k) AS n FROM a, b),
+s AS (SELECT *, len(shared_keywords) / (m + n - len(shared_keywords)) AS s FROM p WHERE len(shared_keywords) > 0)
+SELECT src_id, tgt_id, round(s, 4) AS score, shared_keywords,
+  CASE WHEN s >= 0.60 THEN 'EQUIVALENCE' WHEN s >= 0.35 THEN 'OVERLAP' WHEN s >= 0.15 THEN 'COMPLEMENTARITY' ELSE 'NO_RELATION' END AS predicted_rel
+FROM s WHERE s >= 0.5
+""")
+def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return similarity.jaccard_pairs(_items(spark, sf), _docs(spark, sf), VOCABULARY, 0.5)
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select("item_id", "text")
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", "text")
+
+
+def _tfidf_sql(second: str) -> str:
+    return rf"""
+WITH c AS (SELECT 'a' AS side, CAST(item_id AS VARCHAR) AS id, text FROM benchmark UNION ALL {second}),
+w AS (SELECT side, id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: NOT list_contains([{_quoted(STOP_WORDS)}], x)) AS ws FROM c),
+t AS (SELECT side, id, unnest(ws) AS term FROM w
+      UNION ALL SELECT side, id, ws[i] || ' ' || ws[i + 1] FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM w)),
+tf AS (SELECT side, id, term, 1 + ln(count(*)) AS tf FROM t GROUP BY ALL),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM c)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term),
+raw AS (SELECT side, id, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+nrm AS (SELECT side, id, sqrt(sum(w * w)) AS norm FROM raw GROUP BY side, id),
+wt AS (SELECT side, id, term, w / norm AS w FROM raw JOIN nrm USING (side, id)),
+dot AS (SELECT a.id AS src_id, b.id AS tgt_id, sum(a.w * b.w) AS s FROM wt a JOIN wt b ON a.term = b.term AND a.side = 'a' AND b.side = 'b' GROUP BY a.id, b.id)
+"""
+
+
+_DOCS_SQL = "SELECT 'b', CAST(doc_id AS VARCHAR), text FROM documents"
+
+
+@query(_tfidf_sql(_DOCS_SQL) + "SELECT side, id, term, round(w, 6) AS w FROM wt")
+def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
+    out = similarity.tfidf_weights(_items(spark, sf), _docs(spark, sf), STOP_WORDS)
+    return out.select("side", "id", "term", F.round("w", 6).alias("w"))
+
+
+@query(
+    _tfidf_sql(_DOCS_SQL)
+    + """SELECT src_id, tgt_id, round(s, 4) AS score,
+  CASE WHEN s >= 0.60 THEN 'EQUIVALENCE' WHEN s >= 0.35 THEN 'OVERLAP' WHEN s >= 0.15 THEN 'COMPLEMENTARITY' ELSE 'NO_RELATION' END AS predicted_rel
+FROM dot WHERE s >= 0.10"""
+)
+def tfidf_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return similarity.tfidf_pairs(_items(spark, sf), _docs(spark, sf), STOP_WORDS)
+
+
+@query(
+    _tfidf_sql("SELECT 'b', CAST(item_id AS VARCHAR), text FROM benchmark")
+    + """SELECT a.id AS src_id, b.id AS tgt_id, round(coalesce(s, 0.0), 4) AS score
+FROM (SELECT id FROM c WHERE side = 'a') a CROSS JOIN (SELECT id FROM c WHERE side = 'b') b LEFT JOIN dot ON src_id = a.id AND tgt_id = b.id"""
+)
+def tfidf_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return similarity.tfidf_grid(_items(spark, sf), _items(spark, sf), STOP_WORDS)
+
+
+@query("""
+SELECT vec_id, i - 1 AS d, round(v[i] / greatest(n, 1e-9), 6) AS x
+FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n, unnest(range(1, len(v) + 1)) AS i
+      FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings))
+""")
+def l2_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select("vec_id", F.posexplode(X.l2_normalised(F.col("embedding"))).alias("d", "x"))
+    return rows.select("vec_id", F.col("d").cast("long").alias("d"), F.round("x", 6).alias("x"))
+
+
+@query("""
+SELECT label AS id, d, round(avg(x), 6) AS x
+FROM (SELECT label, i - 1 AS d, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))
+GROUP BY label, d
+""")
+def mean_pooling(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select(F.col("label").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.lit(1).alias("mask"))
+    out = similarity.mean_pooled(rows).select("id", F.posexplode("vector").alias("d", "x"))
+    return out.select("id", F.col("d").cast("long").alias("d"), F.round("x", 6).alias("x"))
+
+
+# ---------------------------------------------------------------- pairs
+
+
+@query("SELECT item_id AS src_id, r_regionkey AS tgt_id, text AS src_text, r_name AS tgt_text FROM benchmark, region")
+def candidate_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return similarity.candidate_pairs(_items(spark, sf), table(spark, sf, "region").select("r_regionkey", "r_name"))
+
+
+_COSINE_SQL = """
+WITH e AS (SELECT vec_id, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-9)) AS v
+           FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)),
+s AS (SELECT a.vec_id AS src_id, b.vec_id AS tgt_id, list_dot_product(a.v, b.v) AS s FROM e a, e b WHERE a.vec_id % 50 = 0)
+SELECT src_id, tgt_id, round(s, 4) AS score,
+  CASE WHEN s >= 0.40 THEN 'EQUIVALENCE' WHEN s >= 0.30 THEN 'OVERLAP' WHEN s >= 0.20 THEN 'COMPLEMENTARITY' ELSE 'NO_RELATION' END AS predicted_rel
+FROM s WHERE s >= 0.1500001
+"""
+
+
+def _search(spark: SparkSession, sf: str) -> DataFrame:
+    """A search: every vector whose id is divisible by 50 against all."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return similarity.cosine_pairs(rows, rows.filter("vec_id % 50 = 0"), 0.1500001, CUTS).select(F.col("tgt_id").alias("src_id"), F.col("src_id").alias("tgt_id"), "score", "predicted_rel")
+
+
+@query(_COSINE_SQL)
+def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return _search(spark, sf)
+
+
+@query(_COSINE_SQL + " AND src_id <> tgt_id ORDER BY score DESC, src_id, tgt_id LIMIT 10")
+def topk_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return similarity.ranked(_search(spark, sf).filter("src_id <> tgt_id"), 10)
+
+
+# ---------------------------------------------------------------- prompts and answers
+
+TEMPLATE = "Which of the labels fits?\nA: {first}\nB: {second}\nOne label only."
+
+
+@query("SELECT conv_id, turn, 'Which of the labels fits?' || chr(10) || 'A: ' || role || chr(10) || 'B: ' || text || chr(10) || 'One label only.' AS prompt FROM conversations")
+def prompt_build(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.prompt(TEMPLATE, first=F.col("role"), second=F.col("text")).alias("prompt"))
+
+
+@query("""
+SELECT item_id, CAST(to_json({'contents': [{'role': 'user', 'parts': [{'text': text}]}], 'config': {'temperature': 0, 'candidate_count': 1}}) AS VARCHAR) AS request
+FROM benchmark
+""")
+def request_json(spark: SparkSession, sf: str) -> DataFrame:
+    return _items(spark, sf).select("item_id", F.to_json(X.request(F.col("text"))).alias("request"))
+
+
+_ANSWERS = [(1, " overlap\n"), (2, "Label: EQUIVALENCE."), (3, "complementarity or overlap"), (4, "SUBSUMPTION"), (5, "subsumption_b_broader"), (6, "")]
+
+
+@query(
+    "WITH v(id, answer) AS (VALUES "
+    + ", ".join(f"({i}, '{a}')" if "\n" not in a else f"({i}, '{a.strip()}')" for i, a in _ANSWERS)
+    + """), c AS (SELECT conv_id * 1000 + turn + 100 AS id, text AS answer FROM conversations UNION ALL SELECT * FROM v), u AS (SELECT id, upper(answer) AS a FROM c)
+SELECT id, CASE """
+    + " ".join(f"WHEN contains(a, '{x}') THEN '{x}'" for x in S.LABELS)
+    + " ELSE 'NO_RELATION' END AS label FROM u"
+)
+def label_parse(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 100).alias("id"), F.col("text").alias("answer"))
+    rows = rows.union(spark.createDataFrame(_ANSWERS, "id long, answer string"))
+    return rows.select("id", X.parse_label(F.col("answer")).alias("label"))
+
+
+@query("SELECT event_id, CAST(coalesce(json_extract_string(props, '$.text'), '') AS VARCHAR) AS answer FROM events")
+def response_decode(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", X.response_text(F.col("props")).alias("answer"))
+
+
+# ---------------------------------------------------------------- evaluation
+
+_TRUTH_SQL = """
+truth AS (
+  SELECT CAST(doc_id AS VARCHAR) AS src_id, source AS tgt_id, CASE WHEN quality = 1 AND toxic = 1 THEN 'EQUIVALENCE' WHEN quality = 1 THEN 'OVERLAP'
+    WHEN toxic = 1 THEN 'SUBSUMPTION_A_BROADER' ELSE 'NO_RELATION' END AS relationship
+  FROM documents JOIN labels USING (doc_id)
+), preds AS (
+  SELECT 'length_rule' AS method, CAST(doc_id AS VARCHAR) AS src_id, source AS tgt_id, CASE WHEN n_chars < 300 THEN 'NO_RELATION' WHEN n_chars < 2500 THEN 'OVERLAP'
+    WHEN n_chars < 4000 THEN 'COMPLEMENTARITY' WHEN n_chars < 6000 THEN 'EQUIVALENCE' ELSE 'SUBSUMPTION_B_BROADER' END AS predicted_rel FROM documents
+  UNION ALL
+  SELECT 'language_rule', CAST(doc_id AS VARCHAR), source, CASE WHEN lang = 'en' THEN 'OVERLAP' WHEN lang = 'de' THEN 'EQUIVALENCE' ELSE 'SUBSUMPTION_B_BROADER' END
+  FROM documents WHERE lang <> 'fr'
+), methods(method, method_order) AS (VALUES ('length_rule', 0), ('language_rule', 1), ('silent_rule', 2))
+"""
+_MERGE = lambda c: f"CASE WHEN {c} LIKE 'SUBSUMPTION_%' THEN 'SUBSUMPTION' ELSE {c} END"
+_CMP_SQL = (
+    "WITH "
+    + _TRUTH_SQL
+    + f""", cmp AS (
+  SELECT m.method, t.src_id, t.tgt_id, {_MERGE("relationship")} AS true_rel, coalesce({_MERGE("predicted_rel")}, 'NO_RELATION') AS pred_rel
+  FROM truth t CROSS JOIN methods m LEFT JOIN preds p ON p.method = m.method AND p.src_id = t.src_id AND p.tgt_id = t.tgt_id
+), cm AS (SELECT method, true_rel, pred_rel, count(*) AS n FROM cmp GROUP BY ALL)
+, cls AS (
+  SELECT r.method, r.label, support, round(p, 4) AS precision, round(q, 4) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0.0 END, 4) AS f1
+  FROM (SELECT r.method, r.label, support, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS p, CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS q
+    FROM (SELECT method, true_rel AS label, CAST(sum(n) AS BIGINT) AS support, coalesce(sum(n) FILTER (WHERE true_rel = pred_rel), 0) AS tp FROM cm GROUP BY ALL) r
+    LEFT JOIN (SELECT method, pred_rel AS label, sum(n) AS predicted FROM cm GROUP BY ALL) c USING (method, label)) r
+), macro AS (
+  SELECT method, accuracy, macro_precision, macro_recall, macro_f1
+  FROM (SELECT method, round(sum(n) FILTER (WHERE true_rel = pred_rel) / sum(n), 4) AS accuracy FROM cm GROUP BY method)
+  JOIN (SELECT method, round(avg(precision), 4) AS macro_precision, round(avg(recall), 4) AS macro_recall, round(avg(f1), 4) AS macro_f1 FROM cls GROUP BY method) USING (method)
+), pos AS (SELECT src_id, tgt_id FROM truth WHERE relationship <> 'NO_RELATION' GROUP BY ALL)
+, neg AS (SELECT src_id, tgt_id FROM truth WHERE relationship = 'NO_RELATION' GROUP BY ALL)
+, det AS (
+  SELECT method, p AS positive_pairs, q AS negative_pairs, n AS predicted_pairs, tp AS true_positives, n - tp AS false_positives, p - tp AS false_negatives,
+    round(CASE WHEN n > 0 THEN tp / n ELSE 0.0 END, 4) AS precision, round(CASE WHEN p > 0 THEN tp / p ELSE 0.0 END, 4) AS recall, round(CASE WHEN tp > 0 THEN 2 * tp / (n + p) ELSE 0.0 END, 4) AS f1
+  FROM (SELECT m.method, (SELECT count(*) FROM pos) AS p, (SELECT count(*) FROM neg) AS q, count(f.src_id) AS n, count(pos.src_id) AS tp
+    FROM methods m LEFT JOIN (SELECT DISTINCT method, src_id, tgt_id FROM preds SEMI JOIN truth USING (src_id, tgt_id) WHERE predicted_rel <> 'NO_RELATION') f ON f.method = m.method
+    LEFT JOIN pos ON pos.src_id = f.src_id AND pos.tgt_id = f.tgt_id GROUP BY m.method)
+)
+"""
+)
+
+
+def _truth(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    rel = F.when((F.col("quality") == 1) & (F.col("toxic") == 1), "EQUIVALENCE").when(F.col("quality") == 1, "OVERLAP")
+    rel = rel.when(F.col("toxic") == 1, "SUBSUMPTION_A_BROADER").otherwise("NO_RELATION")
+    return docs.join(table(spark, sf, "labels"), "doc_id").select(F.col("doc_id").cast("string").alias("src_id"), F.col("source").alias("tgt_id"), rel.alias("relationship"))
+
+
+def _predictions(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars", "lang")
+    pair = [F.col("doc_id").cast("string").alias("src_id"), F.col("source").alias("tgt_id")]
+    n, lang = F.col("n_chars"), F.col("lang")
+    by_length = F.when(n < 300, "NO_RELATION").when(n < 2500, "OVERLAP").when(n < 4000, "COMPLEMENTARITY").when(n < 6000, "EQUIVALENCE").otherwise("SUBSUMPTION_B_BROADER")
+    by_lang = F.when(lang == "en", "OVERLAP").when(lang == "de", "EQUIVALENCE").otherwise("SUBSUMPTION_B_BROADER")
+    out = docs.select(F.lit(METHODS[0]).alias("method"), *pair, by_length.alias("predicted_rel"))
+    return out.union(docs.filter(lang != "fr").select(F.lit(METHODS[1]), *pair, by_lang))
+
+
+def _methods(spark: SparkSession) -> DataFrame:
+    return E.method_dimension(spark, METHODS)
+
+
+def _compared(spark: SparkSession, sf: str) -> DataFrame:
+    return E.compared(_truth(spark, sf), _predictions(spark, sf), _methods(spark))
+
+
+def _confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return E.confusion_matrix(_compared(spark, sf))
+
+
+@query(_CMP_SQL + "SELECT * FROM det")
+def detection_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return E.detection_metrics(_truth(spark, sf), _predictions(spark, sf), _methods(spark))
+
+
+@query(_CMP_SQL + "SELECT * FROM cls")
+def classification_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return E.class_metrics(_confusion(spark, sf))
+
+
+@query(_CMP_SQL + "SELECT * FROM cm")
+def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return _confusion(spark, sf)
+
+
+@query(_CMP_SQL + "SELECT * FROM macro")
+def macro_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return E.macro_metrics(_confusion(spark, sf))
+
+
+@query(_CMP_SQL + "SELECT method, src_id, tgt_id, true_rel, pred_rel, true_rel = pred_rel AS correct FROM cmp")
+def comparison(spark: SparkSession, sf: str) -> DataFrame:
+    return _compared(spark, sf)
+
+
+def _errors_sql(strict: bool) -> str:
+    order = ["true_rel <> 'NO_RELATION' AND pred_rel = 'NO_RELATION'|FALSE_NEGATIVE|labelled pair that the method missed", "true_rel <> pred_rel AND pred_rel <> 'NO_RELATION'|WRONG_LABEL|pair found with another label", "true_rel = 'NO_RELATION' AND pred_rel <> 'NO_RELATION'|FALSE_POSITIVE_ON_NEGATIVE|relation predicted for an unrelated pair"]
+    order = [order[0], order[2], order[1]] if strict else order
+    case = lambda i: "CASE " + " ".join(f"WHEN {t.split('|')[0]} THEN '{t.split('|')[i]}'" for t in order) + " END"
+    return _CMP_SQL + f"SELECT method, {case(1)} AS error_type, src_id, tgt_id, true_rel, pred_rel, {case(2)} AS note FROM cmp WHERE true_rel <> pred_rel"
+
+
+@query(_errors_sql(False))
+def error_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    return E.error_analysis(_compared(spark, sf))
+
+
+@query(_errors_sql(True))
+def error_analysis_strict(spark: SparkSession, sf: str) -> DataFrame:
+    return E.error_analysis(_compared(spark, sf), strict=True)
+
+
+@query("WITH " + _TRUTH_SQL + "SELECT relationship, count(*) AS n FROM truth GROUP BY ALL")
+def label_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return E.value_counts(_truth(spark, sf), "relationship")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return E.value_counts(table(spark, sf, "events"), "event_type")
+
+
+@query("WITH " + _TRUTH_SQL + f"SELECT DISTINCT {_MERGE('relationship')} AS label FROM truth")
+def distinct_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return E.distinct_labels(_truth(spark, sf).select(X.merged_label(F.col("relationship")).alias("label")), "label")
+
+
+@query("WITH " + _TRUTH_SQL + f"SELECT src_id, tgt_id, relationship, {_MERGE('relationship')} AS merged FROM truth")
+def normalise_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return _truth(spark, sf).withColumn("merged", X.merged_label(F.col("relationship")))
+
+
+@query(_CMP_SQL + "SELECT macro.* FROM macro JOIN methods USING (method) ORDER BY macro_f1 DESC, method_order LIMIT 1")
+def best_method(spark: SparkSession, sf: str) -> DataFrame:
+    return E.best_method(E.macro_metrics(_confusion(spark, sf)), _methods(spark))
+
+
+@query(
+    _CMP_SQL
+    + "SELECT method, "
+    + ", ".join(f"CAST(round({c} * 100, 1) AS DECIMAL(9, 1)) || '%' AS {c}_pct" for c in ("precision", "recall", "f1", "accuracy", "macro_f1"))
+    + " FROM det JOIN macro USING (method)"
+)
+def report_rows(spark: SparkSession, sf: str) -> DataFrame:
+    detection = E.detection_metrics(_truth(spark, sf), _predictions(spark, sf), _methods(spark))
+    return E.report_rows(detection, E.macro_metrics(_confusion(spark, sf)), _methods(spark))
+
+
+_SETS_SQL = "WITH " + _TRUTH_SQL + ", a AS (SELECT src_id, tgt_id FROM truth WHERE relationship <> 'NO_RELATION'), b AS (SELECT src_id, tgt_id FROM preds WHERE predicted_rel <> 'NO_RELATION') SELECT * FROM a {} SELECT * FROM b"
+
+
+def _sets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return _truth(spark, sf).filter("relationship <> 'NO_RELATION'"), _predictions(spark, sf).filter("predicted_rel <> 'NO_RELATION'")
+
+
+@query(_SETS_SQL.format("UNION"))
+def pair_union(spark: SparkSession, sf: str) -> DataFrame:
+    return E.pair_union(*_sets(spark, sf))
+
+
+@query(_SETS_SQL.format("INTERSECT"))
+def pair_intersect(spark: SparkSession, sf: str) -> DataFrame:
+    return E.pair_intersect(*_sets(spark, sf))
+
+
+@query(_SETS_SQL.format("EXCEPT"))
+def pair_except(spark: SparkSession, sf: str) -> DataFrame:
+    return E.pair_except(*_sets(spark, sf))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= 0.06 THEN 'EQUIVALENCE' WHEN l_discount >= 0.04 THEN 'OVERLAP' WHEN l_discount >= 0.02 THEN 'COMPLEMENTARITY' ELSE 'NO_RELATION' END AS label,
+  printf('%.3f', l_discount) AS shown, CASE WHEN l_tax > 0 THEN round(l_discount / l_tax, 4) ELSE 0.0 END AS ratio FROM lineitem
+""")
+def score_labels(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("l_discount")
+    cuts = [(0.06, "EQUIVALENCE"), (0.04, "OVERLAP"), (0.02, "COMPLEMENTARITY")]
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.label_of(d, cuts).alias("label"), X.decimal3(d).alias("shown"), F.round(X.safe_ratio(d, F.col("l_tax")), 4).alias("ratio"))
+
+
+@query(f"SELECT doc_id, CASE WHEN len(k) > 0 THEN '[''' || array_to_string(k, ''', ''') || ''']' ELSE '[]' END AS shown FROM (SELECT doc_id, {_KEYWORDS_SQL} AS k FROM documents)")
+def keyword_list_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", X.list_text(X.keywords(F.col("text"), VOCABULARY)).alias("shown"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
