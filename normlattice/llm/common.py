@@ -46,6 +46,14 @@ def texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     )
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    own = {c.lower() for c in df.columns}
+    while any(c.startswith(stem.lower()) for c in own):
+        stem = "_" + stem
+    return stem
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -102,16 +102,18 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, rank: int = RANK) -> Model:
     """Fits the model to at most max_labelled labelled documents, those with the least hash of their id.
 
-    Labels without an id or value count for nothing; of several labels of one id the largest counts.
+    What reaches the driver is a sparse vector for each of them. Labels without an id or value count for nothing; of several labels of one id the largest counts.
     Without any label every score is 0.5.
     """
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).dropna()
     rows = rows.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
-    chosen = texts.join(F.broadcast(rows), "id").select(F.struct("id", "label").alias("label"), "raw")
+    # of rows that share an id one counts, so that no more rows than labels reach the driver
+    least = F.min(F.struct(F.xxhash64("raw").alias("h"), F.col("raw"))).alias("m")
+    chosen = texts.join(F.broadcast(rows), "id").groupBy("id", "label").agg(least).select(F.struct("id", "label").alias("label"), "m.raw")
     kind = chosen.schema["label"].dataType.simpleString()
     found = chosen.mapInArrow(_rows, f"label {kind}, dims array<int>, weights array<float>").toPandas()
-    found = found.iloc[sorted(range(len(found)), key=lambda k: str(found.label.iloc[k]["id"]))[: 2 * max_labelled]]
+    found = found.iloc[sorted(range(len(found)), key=lambda k: str(found.label.iloc[k]["id"]))]
     label = np.array([r["label"] for r in found.label], np.float64)
     a = np.zeros((len(found), DIMS), np.float32)
     for k, (i, w) in enumerate(zip(found.dims, found.weights, strict=True)):

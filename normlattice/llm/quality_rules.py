@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, materialise
+from .common import SPACE_CLASS, SPACES, fresh, materialise
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -125,10 +125,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """docs without the documents that the rules reject."""
-    rows = materialise(features(docs, text_col, "_").drop("_features"), "judged")
-    bad = rejected_hosts(rows, host_col, "_base_failed").withColumnRenamed("host", "_host")
-    kept = rows.filter(~F.col("_base_failed"))
-    return kept.join(bad, F.col(host_col) == F.col("_host"), "left_anti").select(*docs.columns)
+    pre = fresh(docs, "_rule_")
+    rows = materialise(features(docs, text_col, pre).drop(f"{pre}features"), "judged")
+    bad = rejected_hosts(rows, host_col, f"{pre}base_failed").withColumnRenamed("host", f"{pre}host")
+    kept = rows.filter(~F.col(f"{pre}base_failed"))
+    return kept.join(bad, F.col(host_col) == F.col(f"{pre}host"), "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = r"""
