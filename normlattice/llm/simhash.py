@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, texts
+from .common import connected_components, fresh, materialise, texts
 
 SEED = 42
 BUDGET = 4
@@ -254,10 +254,13 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows without a doc_id come last; of rows that share the doc_id the smallest text hash stays, and
     of rows that repeat both, one.
     """
-    named = near_duplicates(docs, id_col, text_col, budget)
+    named = materialise(near_duplicates(docs, id_col, text_col, budget), "named")
     first = F.min(F.struct(F.isnull("doc_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))).alias("k")
-    keep = named.groupBy("root").agg(first).select(F.col("k.id").alias("_keep_id"), F.col("k.h").alias("_keep_h")).distinct()
-    hashed = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
-    kept = hashed.join(keep, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_h") == F.col("_keep_h")), "left_semi")
-    at = F.row_number().over(Window.partitionBy(id_col, "_h").orderBy("_h"))
-    return kept.withColumn("_at", at).filter("_at = 1").select(*docs.columns)
+    pre = fresh(docs, "_one_")
+    id_, h, at = f"{pre}id", f"{pre}h", f"{pre}at"
+    keep = named.groupBy("root").agg(first).select(F.col("k.id").alias(id_), F.col("k.h").alias(f"{h}h")).distinct()
+    hashed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
+    kept = hashed.join(keep, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(h) == F.col(f"{h}h")), "left_semi")
+    if not named.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        kept = kept.withColumn(at, F.row_number().over(Window.partitionBy(id_col, h).orderBy(h))).filter(F.col(at) == 1)
+    return kept.select(*docs.columns)

@@ -63,9 +63,10 @@ def test_empty_table(spark):
 
 
 def test_keep_one_per_group(spark):
-    docs = spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("*", "7 as _at")
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("*", "7 as _at", "8 as _one_at")
     kept = simhash.keep_one_per_group(docs)
-    assert kept.columns == ["doc_id", "text", "_at"]
+    assert kept.columns == ["doc_id", "text", "_at", "_one_at"]
+    assert {(r._at, r._one_at) for r in kept.collect()} == {(7, 8)}
     rows = sorted((r.doc_id, (r.text or "")[:9]) for r in kept.collect())
     assert rows == [(1, "The quick"), (3, ""), (6, "one two"), (6, "something"), (7, "ÄÖÜ straß"), (8, "a b c d a"), (9, "a b c d a")]
 
