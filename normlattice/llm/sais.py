@@ -3,7 +3,8 @@
 Suffixes are classified as L (larger than the next) or S; the leftmost S of each run (LMS) are
 sorted by their substrings with two induced scans, named, and, where names repeat, ordered by the
 suffix array of the names; two more scans induce all suffixes from them. On a small alphabet a scan
-handles a bucket's entries together; the shorter strings of names are scanned entry by entry.
+handles a bucket's entries together; on the many symbols of names it handles
+stretches of entries that don't induce each other.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     s = s.astype(np.int64)
     larger = _types(s)
     lms = np.flatnonzero(~larger[1:] & larger[:-1]) + 1
-    induce = _induce_buckets if symbols <= SMALL else _induce_entries
+    induce = _induce_buckets if symbols <= SMALL else _induce_stretches
     sizes = np.bincount(s, minlength=symbols)
     if len(lms) < 2:
         return induce(s, larger, lms, sizes)
@@ -120,34 +121,65 @@ def _induce_buckets(s: np.ndarray, larger: np.ndarray, lms: np.ndarray, sizes: n
     return sa
 
 
-def _induce_entries(s: np.ndarray, larger: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The same, an entry at a time: for strings of many symbols."""
+def _induce_stretches(s: np.ndarray, larger: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same for many symbols: stretches of the array whose entries induce nothing inside the stretch go together."""
     n = len(s)
-    text, big = s.tolist(), larger.tolist()
     ends = np.cumsum(sizes)
-    head, tail = (ends - sizes).tolist(), (ends - 1).tolist()
-    sa = [-1] * n
-    at = tail.copy()
-    for i in reversed(lms.tolist()):
-        c = text[i]
-        sa[at[c]] = i
-        at[c] -= 1
-    c = text[n - 1]
-    sa[head[c]] = n - 1
-    head[c] += 1
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and big[j]:
-            c = text[j]
-            sa[head[c]] = j
+    by_char = lms[np.argsort(s[lms], kind="stable")]
+    sa = np.full(n, -1, np.int64)
+    c = s[by_char]
+    count = np.bincount(c, minlength=len(sizes))
+    sa[(ends - count)[c] + _ranks(c)] = by_char
+    head = ends - sizes
+    sa[head[s[n - 1]]] = n - 1
+    head[s[n - 1]] += 1
+    _scan(sa, s, larger, head)
+    # from the right, the array read backwards is filled the same way
+    back = sa[::-1].copy()
+    _scan(back, s, ~larger, n - ends)
+    return back[::-1]
+
+
+def _scan(sa: np.ndarray, s: np.ndarray, wanted: np.ndarray, head: np.ndarray) -> None:
+    """Induces the wanted suffixes from the start of sa on; head: the next free place of each symbol."""
+    n, i, size = len(sa), 0, 256
+    while i < n:
+        j = min(n, i + size)
+        at = np.flatnonzero(sa[i:j] > 0)
+        t = sa[i + at] - 1
+        keep = wanted[t]
+        at, t = at[keep], t[keep]
+        if not len(t):
+            i, size = j, min(2 * size, 8192)
+            continue
+        c = s[t]
+        place = head[c] + _ranks(c)
+        least = int(place.min())
+        if least < j:  # entries before it are settled
+            k = int(np.searchsorted(at, least - i))
+            t, c, place = t[:k], c[:k], place[:k]
+            if least - i < 8:
+                sa[place] = t
+                head[c] = place + 1
+                i, size = _scan_entries(sa, s, wanted, head, least, min(n, least + 256)), 256
+                continue
+            j, size = least, max(64, least - i)
+        else:
+            size = min(2 * size, 8192)
+        sa[place] = t
+        head[c] = place + 1
+        i = j
+
+
+def _scan_entries(sa: np.ndarray, s: np.ndarray, wanted: np.ndarray, head: np.ndarray, i: int, j: int) -> int:
+    """An entry at a time, where entries induce their neighbours."""
+    for k in range(i, j):
+        t = int(sa[k]) - 1
+        if t >= 0 and wanted[t]:
+            c = s[t]
+            sa[head[c]] = t
             head[c] += 1
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and not big[j]:
-            c = text[j]
-            sa[tail[c]] = j
-            tail[c] -= 1
-    return np.array(sa, np.int64)
+    return j
 
 
 def permuted_lcp_at_least(text: bytes, sa: np.ndarray, length: int) -> np.ndarray:

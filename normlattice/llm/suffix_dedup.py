@@ -33,7 +33,7 @@ from .common import materialise
 from .sais import permuted_lcp_at_least, suffix_array
 
 LENGTH = 100
-GRAM = 16
+GRAM = 32
 #: Grams in a string of LENGTH bytes.
 GRAMS = LENGTH - GRAM + 1
 #: Starts that are hashed at once.
