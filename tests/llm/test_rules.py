@@ -110,3 +110,20 @@ def test_filter_has_no_false_negatives(spark):
     hit = lambda k: k.withColumn("block", url_filter._block(F.col("key"), 1024)).join(bits, "block").filter(F.col("bits").bitwiseAND(mask) == mask).count()
     assert hit(keys) == 3000
     assert hit(spark.range(3000, 6000).selectExpr("concat('k', id) as key")) < 600
+
+
+def test_native_queries_run_no_python(spark):
+    import os
+
+    import pytest
+
+    from normlattice.llm import queries
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    for f in (queries.op4_url_filters, queries.op9_quality_rules, queries.op8_warc_fixity):
+        text = f(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", text)
+    read = re.findall(r"ReadSchema: struct<([^>]*)>", queries.op4_url_filters(spark, sf)._jdf.queryExecution().executedPlan().toString())
+    assert read and all("html" not in r for r in read)
