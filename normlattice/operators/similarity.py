@@ -29,41 +29,54 @@ def candidate_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def term_counts(corpus: DataFrame, stop_words: Sequence[str]) -> DataFrame:
-    """(id, term, n) of a corpus (id, text): words and bigrams."""
-    doc = corpus.toDF("id", "text").select("id", F.explode(X.terms(F.col("text"), stop_words)).alias("term"))
-    return doc.groupBy("id", "term").agg(F.count("*").alias("n"))
+    """(id, term, n) of a corpus (id, text): words and bigrams, counted within each row."""
+    own = X.tallied(X.terms(F.col("text"), stop_words))
+    return corpus.toDF("id", "text").select(F.col("id").cast("string").alias("id"), F.inline(own)).toDF("id", "term", "n")
+
+
+def _raw_weights(a: DataFrame, b: DataFrame, stop_words: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(id, term, w) of each corpus: 1 + ln(n) times ln((1 + N) / (1 + df)) + 1, with N and df of both."""
+    n = a.count() + b.count()
+    a, b = term_counts(a, stop_words), term_counts(b, stop_words)
+    df = a.select("term").unionByName(b.select("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    w = (1 + F.log(F.col("n").cast("double"))) * F.col("idf")
+    return tuple(x.join(idf, "term").select("id", "term", w.alias("w")) for x in (a, b))
 
 
 def tfidf_weights(a: DataFrame, b: DataFrame, stop_words: Sequence[str]) -> DataFrame:
-    """(side, id, term, w): unit vectors of 1 + ln(n) times ln((1 + N) / (1 + df)) + 1, over both corpora."""
-    both = a.toDF("id", "text").select(F.lit("a").alias("side"), F.col("id").cast("string"), "text")
-    both = both.unionByName(b.toDF("id", "text").select(F.lit("b").alias("side"), F.col("id").cast("string"), "text"))
-    n = both.count()
-    tf = both.select("side", "id", F.explode(X.terms(F.col("text"), stop_words)).alias("term"))
-    tf = tf.groupBy("side", "id", "term").agg((1 + F.log(F.count("*"))).alias("tf"))
-    idf = tf.groupBy("term").agg((F.log((1 + F.lit(n)) / (1 + F.count("*"))) + 1).alias("idf"))
-    raw = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = raw.groupBy("side", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, ["side", "id"]).select("side", "id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    """(side, id, term, w): unit vectors of both corpora."""
+    sides = []
+    for side, raw in zip("ab", _raw_weights(a, b, stop_words), strict=True):
+        unit = raw.join(_norms(raw), "id").select(F.lit(side).alias("side"), "id", "term", (F.col("w") / F.col("norm")).alias("w"))
+        sides.append(unit)
+    return sides[0].unionByName(sides[1])
+
+
+def _norms(raw: DataFrame) -> DataFrame:
+    return raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
-def _dot(weights: DataFrame) -> DataFrame:
-    a = weights.filter("side = 'a'").select("term", F.col("id").alias("src_id"), F.col("w").alias("wa"))
-    b = weights.filter("side = 'b'").select("term", F.col("id").alias("tgt_id"), F.col("w").alias("wb"))
-    return a.join(b, "term").groupBy("src_id", "tgt_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
+def _dot(a: DataFrame, b: DataFrame, stop_words: Sequence[str]) -> DataFrame:
+    """(src_id, tgt_id, s): cosines of pairs with a common term. Norms join the pairs, not the postings."""
+    a, b = _raw_weights(a, b, stop_words)
+    pairs = a.select("term", F.col("id").alias("src_id"), F.col("w").alias("wa")).join(b.select("term", F.col("id").alias("tgt_id"), F.col("w").alias("wb")), "term")
+    pairs = pairs.groupBy("src_id", "tgt_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    pairs = pairs.join(_norms(a).toDF("src_id", "na"), "src_id").join(_norms(b).toDF("tgt_id", "nb"), "tgt_id")
+    return pairs.select("src_id", "tgt_id", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("s"))
 
 
 def tfidf_pairs(a: DataFrame, b: DataFrame, stop_words: Sequence[str], threshold: float = S.PAIR_THRESHOLDS["tfidf"]) -> DataFrame:
     """(src_id, tgt_id, score, predicted_rel) of pairs whose cosine reaches the threshold, before rounding."""
     if threshold <= 0:
         raise ValueError("pairs without a common term need tfidf_grid")
-    return _labelled(_dot(tfidf_weights(a, b, stop_words)).filter(F.col("s") >= threshold), S.LEXICAL_CUTS)
+    return _labelled(_dot(a, b, stop_words).filter(F.col("s") >= threshold), S.LEXICAL_CUTS)
 
 
 def tfidf_grid(a: DataFrame, b: DataFrame, stop_words: Sequence[str]) -> DataFrame:
     """(src_id, tgt_id, score) of every pair, zero where no term is common."""
     ids = a.toDF("src_id", "_a").select(F.col("src_id").cast("string")).crossJoin(b.toDF("tgt_id", "_b").select(F.col("tgt_id").cast("string")))
-    full = ids.join(_dot(tfidf_weights(a, b, stop_words)), ["src_id", "tgt_id"], "left")
+    full = ids.join(_dot(a, b, stop_words), ["src_id", "tgt_id"], "left")
     return full.select("src_id", "tgt_id", F.round(F.coalesce("s", F.lit(0.0)), 4).alias("score"))
 
 
