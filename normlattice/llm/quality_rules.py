@@ -17,6 +17,9 @@ MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 #: A host is rejected where its shrunk share of failing documents is above this.
 HOST_LIMIT = 0.8
+#: Rejected hosts that are broadcast; more are joined by host and salt.
+MAX_BROADCAST_HOSTS = 200_000
+SALTS = 64
 #: Bounds of the prior's strength, in documents.
 STRENGTH = (2.0, 1e6)
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -109,6 +112,22 @@ def rejected_hosts(judged: DataFrame, host: str, failed: str) -> DataFrame:
     return host_rates(judged, host, failed).filter(F.col("shrunk") > HOST_LIMIT).select("host")
 
 
+def _join_hosts(rows: DataFrame, host: str, bad: DataFrame, how: str) -> DataFrame:
+    """rows joined with the rejected hosts (host first in bad) without a task for each host.
+
+    The hosts are counted: few are broadcast, many repeated for each salt that a host's rows are dealt to.
+    """
+    bad = materialise(bad, "hosts")
+    name = bad.columns[0]
+    same = F.col(host) == F.col(name)
+    if bad.count() <= MAX_BROADCAST_HOSTS:
+        return rows.join(F.broadcast(bad), same, how)
+    salt = fresh(rows, "_salt_")
+    rows = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    bad = bad.withColumn(f"{salt}b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.join(bad, same & (F.col(salt) == F.col(f"{salt}b")), how).drop(salt, f"{salt}b")
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per row of docs: (doc_id, the counts, base_failed, kept).
 
@@ -118,9 +137,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     rows = features(rows).select("doc_id", "host", "features.*", "base_failed")
     rows = materialise(rows, "judged")
-    bad = rejected_hosts(rows, "host", "base_failed").withColumn("host_failed", F.lit(True))
-    kept = ~F.col("base_failed") & F.col("host_failed").isNull()
-    return rows.join(bad, "host", "left").select("doc_id", *FEATURES, "base_failed", kept.alias("kept"))
+    bad = rejected_hosts(rows, "host", "base_failed").withColumnRenamed("host", "bad_host")
+    kept = ~F.col("base_failed") & F.col("bad_host").isNull()
+    return _join_hosts(rows, "host", bad, "left").select("doc_id", *FEATURES, "base_failed", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -129,7 +148,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source")
     rows = materialise(features(docs, text_col, pre).drop(f"{pre}features"), "judged")
     bad = rejected_hosts(rows, host_col, f"{pre}base_failed").withColumnRenamed("host", f"{pre}host")
     kept = rows.filter(~F.col(f"{pre}base_failed"))
-    return kept.join(bad, F.col(host_col) == F.col(f"{pre}host"), "left_anti").select(*docs.columns)
+    return _join_hosts(kept, host_col, bad, "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = r"""

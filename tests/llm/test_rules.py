@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from normlattice.llm import quality_rules, url_filter
@@ -47,12 +48,16 @@ def test_counts_match_brute_force(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
 
 
-def test_hosts_with_failing_documents_go(spark):
+@pytest.mark.parametrize("broadcast", [quality_rules.MAX_BROADCAST_HOSTS, 0])
+def test_hosts_with_failing_documents_go(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality_rules, "MAX_BROADCAST_HOSTS", broadcast)
     good = TEXTS[11]
     rows = [(i, "bad", "spam") for i in range(200)] + [(1000 + i, good, f"h{i % 5}") for i in range(200)] + [(500, good, "spam"), (501, good, None), (502, "bad", "tiny")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
     assert not kept[500] and kept[501] and all(kept[1000 + i] for i in range(200))
+    left = quality_rules.keep_good(docs)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {k for k, v in kept.items() if v}
     judged = docs.withColumn("bad", F.col("text") == "bad")
     shrunk = {r.host: r.shrunk for r in quality_rules.host_rates(judged, "source", "bad").collect()}
     assert shrunk["tiny"] < 0.8 < shrunk["spam"]
@@ -115,8 +120,6 @@ def test_filter_has_no_false_negatives(spark):
 def test_native_queries_run_no_python(spark):
     import os
 
-    import pytest
-
     from normlattice.llm import queries
 
     sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
