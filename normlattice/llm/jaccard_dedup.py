@@ -1,0 +1,265 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: an exact self-join, nothing sampled.
+
+Two sets with a similarity of NUM/DEN or more share l of their first n - ceil(n * NUM / DEN) + l
+shingles in any order common to all, the lesser l if it differs. Here l grows with the set, so a
+text that has less in common with all others together than l goes before texts are compared. The
+order puts shingles that are often repeated last; which ones are known to be frequent changes the
+work but not the result. Of the texts that meet in a shingle only neighbours by size are linked:
+where their sizes exclude a similarity, so do all sizes across that gap. The components of these links hold every similar pair; each one is
+joined with itself in a worker, exactly, and pairs that are linked already are left out.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import connected_components, fresh, materialise, texts
+
+SEED = 42
+SHINGLE = 5
+#: The least similarity, as a fraction of integers.
+NUM, DEN = 4, 5
+#: Shingles of a task that are counted at once, the least count that is told, and how many are ordered by it.
+COUNTED, OFTEN, KNOWN = 1 << 19, 3, 1 << 16
+#: One in so many shingles must be met in a longer prefix; texts that are too different for it go in so many rounds.
+SHARE, ROUNDS = 12, 2
+#: Rows that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 400_000
+
+
+def shingles(raw: bytes, width: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text; a shorter text is one shingle."""
+    import xxhash
+
+    words = raw.lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    joined = b" ".join(words)
+    ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined))
+    starts = np.append(0, ends[:-1] + 1)
+    k = min(width, len(words))
+    a, b, digest = starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(joined[i:j], SEED) for i, j in zip(a, b, strict=True)]), np.int64))
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, key, size, shingles): key is the hash of the set, shingles its bytes."""
+    import xxhash
+
+    src = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("raw"))
+    names = ["doc_id", "text_hash", "key", "size", "shingles"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                sets = [shingles(x.as_py()).tobytes() for x in part.column(1)]
+                key = np.array([xxhash.xxh64_intdigest(s, SEED) for s in sets], np.uint64).view(np.int64)
+                size = pa.array([len(s) // 8 for s in sets], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(key), size, pa.array(sets, pa.binary())], names)
+
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return src.mapInArrow(run, f"doc_id {kind}, text_hash long, key long, size int, shingles binary")
+
+
+def _prefix(n: np.ndarray, common: np.ndarray | int = 1) -> np.ndarray:
+    """Shingles of a set of n of which a similar set has so many in common at least."""
+    return np.where(n > 0, n - -(-n * NUM // DEN) + common, 0)
+
+
+def _common(n: np.ndarray) -> np.ndarray:
+    return n // SHARE + 1
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    parts = [np.frombuffer(x.as_py(), np.int64) for x in column]
+    return np.concatenate([np.zeros(0, np.int64), *parts]), np.array([len(p) for p in parts], np.int64)
+
+
+def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that tasks met often, sorted, and their counts: the last ones of the order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def emit() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n >= OFTEN]), pa.array(n[n >= OFTEN])], ["h", "n"])
+
+        for b in batches:
+            held.append(_flat(b.column(0))[0])
+            if sum(map(len, held)) > COUNTED:
+                yield emit()
+                held = []
+        yield emit()
+
+    told = sets.select("shingles").mapInArrow(run, "h long, n long")
+    top = told.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(KNOWN).toPandas().sort_values("h")
+    return top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+
+
+def candidate_links(sets: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(a, b) of keys whose components hold all similar pairs of different sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, count = known
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                h, n = _flat(b.column(2))
+                rank = np.zeros(len(h), np.int64)
+                if len(often):
+                    i = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                    rank = np.where(often[i] == h, count[i], 0)
+                row = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((h, rank, row))  # rows stay together
+                place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                first = place < np.repeat(_prefix(n, _common(n)), n)
+                at_row = row[first]
+                key, size = b.column(0).to_numpy(), b.column(1).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(h[order][first]), pa.array(key[at_row]), pa.array(size[at_row])], ["h", "key", "size"])
+
+    def shared(rows: DataFrame) -> DataFrame:
+        same = Window.partitionBy("h")
+        ends = rows.select("*", F.min("key").over(same).alias("low"), F.max("key").over(same).alias("high"))
+        return ends.filter("low <> high").select("h", "key", "size")
+
+    rows = materialise(shared(sets.select("key", "size", "shingles").mapInArrow(run, "h long, key long, size int")).distinct(), "shared")
+    # the least that a set has in common with the smallest set that can be similar
+    need = F.expr(f"((size * {NUM} + {DEN - 1}) div {DEN}) div {SHARE} + 1")
+    for _ in range(ROUNDS):
+        enough = rows.groupBy("key", "size").count().filter(F.col("count") >= need).select("key")
+        rows = materialise(shared(rows.join(enough, "key", "left_semi")), "shared")
+    order = Window.partitionBy("h").orderBy("size", "key")
+    rows = rows.select("key", "size", F.lag("key").over(order).alias("b"), F.lag("size").over(order).alias("m"))
+    near = (F.col("m") * DEN >= F.col("size") * NUM) & (F.col("b") != F.col("key"))
+    return rows.filter(near).select(F.col("key").alias("a"), "b")
+
+
+def components(sets: list[np.ndarray]) -> np.ndarray:
+    """For each of the sets, which ascend by size, the first one of its component of similar sets."""
+    size = np.array([len(s) for s in sets], np.int64)
+    root = np.arange(len(sets))
+    if len(sets) < 2:
+        return root
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    row = np.repeat(np.arange(len(sets)), size)
+    token = rank[token]
+    order = np.lexsort((token, row))
+    token, start = token[order], np.cumsum(size) - size
+    first = np.arange(len(token)) - np.repeat(start, size) < np.repeat(_prefix(size), size)
+    # the sets of each token of a prefix, in their order
+    place = np.lexsort((row[first], token[first]))
+    where, owner = token[first][place], row[first][place]
+    begin = np.searchsorted(where, np.arange(len(count)))
+    mark = np.zeros(len(count), bool)
+    for i in range(1, len(sets)):
+        own = token[start[i] : start[i] + size[i]]
+        met = []
+        for t in own[: int(_prefix(size[i : i + 1])[0])].tolist():
+            end = begin[t + 1] if t + 1 < len(begin) else len(owner)
+            if owner[begin[t]] < i:
+                met.append(owner[begin[t] : end])
+        if not met:
+            continue
+        near = np.unique(np.concatenate(met))
+        near = near[(near < i) & (DEN * size[near] >= NUM * size[i]) & (root[near] != root[i])]
+        mark[own] = True
+        step = 1
+        while len(near):
+            # a few of each component still apart, and more of them if none is similar
+            part = np.lexsort((near, root[near]))
+            near = near[part]
+            head = np.flatnonzero(np.append(True, root[near][1:] != root[near][:-1]))
+            nth = np.arange(len(near)) - np.repeat(head, np.diff(np.append(head, len(near))))
+            tried = near[nth < step]
+            for j in tried.tolist():
+                if root[j] == root[i]:
+                    continue
+                both = int(mark[token[start[j] : start[j] + size[j]]].sum())
+                if both * (NUM + DEN) >= NUM * int(size[i] + size[j]):  # both / union >= NUM / DEN
+                    low, high = sorted((int(root[i]), int(root[j])))
+                    root[root == high] = low
+            near = near[nth >= step]
+            near = near[root[near] != root[i]]
+            step *= 2
+        mark[own] = False
+    return root
+
+
+def _run_clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, root) of clusters that stand together, each by size and key; root is a key of the component."""
+    keys: list[int] = []
+    sets: list[np.ndarray] = []
+    at = None
+    done: tuple[list[int], list[int]] = ([], [])
+
+    def close() -> None:
+        root = components(sets)
+        done[0].extend(keys)
+        done[1].extend(keys[r] for r in root.tolist())
+        keys.clear()
+        sets.clear()
+
+    for b in batches:
+        for cluster, key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            if cluster != at and keys:
+                close()
+            at = cluster
+            if not keys or keys[-1] != key:
+                keys.append(key)
+                sets.append(np.frombuffer(raw.as_py(), np.int64))
+        if len(done[0]) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in done], ["key", "root"])
+            done[0].clear()
+            done[1].clear()
+    if keys:
+        close()
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in done], ["key", "root"])
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: (doc_id, text_hash, root); rows of a component of similar texts share root.
+
+    Texts without a word (null, empty, blank) are alike. Repeated rows stay repeated.
+    """
+    # the sets, larger than the texts, are made anew where they are used rather than stored
+    sets = shingle_sets(docs, id_col, text_col)
+    rows = materialise(sets.drop("shingles"), "keys")
+    links = candidate_links(sets, frequent(sets))
+    clusters = materialise(connected_components(links).toDF("key", "cluster"), "clusters")
+    met = sets.select("key", "size", "shingles").join(_small(clusters), "key").select("cluster", "key", "shingles", "size")
+    met = met.repartition("cluster").sortWithinPartitions("cluster", "size", "key")
+    roots = materialise(met.select("cluster", "key", "shingles").mapInArrow(_run_clusters, "key long, root long"), "roots")
+    named = rows.select("doc_id", "text_hash", "key").join(_small(roots), "key", "left")
+    return named.select("doc_id", "text_hash", F.coalesce("root", "key").alias("root"))
+
+
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without its near-duplicates: of each component the row with the smallest doc_id stays.
+
+    Rows without a doc_id come last; of rows that share the doc_id the smallest text hash stays, and
+    of rows that repeat both, one.
+    """
+    named = materialise(near_duplicates(docs, id_col, text_col), "named")
+    first = named.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))).alias("k"))
+    pre = fresh(docs, "_one_")
+    id_, h, at = f"{pre}id", f"{pre}h", f"{pre}at"
+    same = F.col("doc_id").eqNullSafe(F.col("k.id")) & (F.col("text_hash") == F.col("k.h"))
+    gone = named.join(first, "root").filter(~same).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(f"{h}h")).distinct()
+    hashed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
+    kept = hashed.join(_small(materialise(gone, "gone")), F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(h) == F.col(f"{h}h")), "left_anti")
+    if not named.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        kept = kept.withColumn(at, F.row_number().over(Window.partitionBy(id_col, h).orderBy(h))).filter(F.col(at) == 1)
+    return kept.select(*docs.columns)

@@ -1,0 +1,62 @@
+import numpy as np
+
+import corpus_pipeline as pipeline
+from normlattice.llm import jaccard_dedup
+
+
+def grams(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({" ".join(w)} if w else set())
+
+
+def brute_roots(texts):
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if root[i] != root[j] and 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def made(rng):
+    """Texts with copies of any similarity, chains of edits and a line that many share."""
+    vocabulary = ["".join(chr(97 + i) for i in rng.integers(0, 26, 5)) for _ in range(400)]
+    prose = lambda k: [vocabulary[i] for i in rng.integers(0, 400, k)]
+    line, out = prose(12), []
+    for k in range(60):
+        text = prose(rng.integers(8, 120)) + (line if k % 3 == 0 else [])
+        out.append(text)
+        for _ in range(rng.integers(0, 8)):
+            text = list(out[-1] if rng.random() < 0.5 else text)
+            for _ in range(rng.integers(0, 4)):
+                text[rng.integers(0, len(text))] = prose(1)[0]
+            out.append(text)
+    return [" ".join(t) for t in out] + [None, "", " ", "one two", "ONE  two", "a b c d " * 50, "a b c d " * 70, " ".join(line)]
+
+
+def test_components_match_brute_force(spark):
+    texts = made(np.random.default_rng(3))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, want = {}, {}
+    for r in jaccard_dedup.near_duplicates(docs).collect():
+        got.setdefault(r.root, set()).add(r.doc_id)
+    for i, r in enumerate(brute_roots(texts)):
+        want.setdefault(r, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_stage_links_edited_copies(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + i) for i in rng.integers(0, 26, 6))
+    rows = []
+    for i in range(40):
+        text = [word() for _ in range(50)]
+        edited = [*text[:25], word(), *text[26:]] if i % 2 else [*text, word(), word(), word()]
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(edited)), (2000 + i, " ".join(text[:25] + [word() for _ in range(25)]))]
+    rows += [(5, rows[15][1]), (None, "alone"), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r.doc_id for r in pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([*range(40), *range(2000, 2040), None], key=str)
+    assert jaccard_dedup.keep_one_per_group(docs.limit(0)).count() == 0
