@@ -26,13 +26,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORD = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 #: A token of the alphabet of credentials, with a letter and a digit.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=@-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{16,}(?![@A-Za-z0-9])")
+#: The password of user:password@host, and what follows a cue, letters only and short ones included.
+LOGIN = re.compile(r"://[^\s:/@]{0,64}:([^\s/@]{4,256})@(?=[A-Za-z0-9\[])")
+CUED = re.compile(r"""\b(?:pw|pwd|pass(?:word|wd|phrase)?|secret|token|(?:api|private|access)?[_-]?key|credentials?|bearer|auth(?:orization)?)["']?(?:\x20*[:=]\x20*(?:bearer\x20+)?|\x20+(?:is\x20+)?)["']?([A-Za-z0-9+/_.=-]{8,})(?![@A-Za-z0-9])""", re.I | re.A)
 KINDS = ("assign", "access", "hex", "model")
 
-#: What the network sees: AROUND characters to each side, and of a longer candidate its two ends.
-AROUND, INSIDE = 16, 48
+#: What the network sees: AROUND characters to each side, and of a longer candidate its two ends and each window.
+AROUND, INSIDE, STRIDE = 16, 48, 16
 WIDTH = 2 * AROUND + INSIDE
 SYMBOLS, EMBED, FILTERS, KERNEL = 98, 8, 24, 5
-EXAMPLES, EPOCHS, RATE = 3000, 5, 0.01
+EXAMPLES, EPOCHS, RATE = 6000, 8, 0.01
 RECALL = 0.98
 SEED = 11
 
@@ -52,8 +55,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of other tokens that could be credentials."""
-    return [(m.start(), m.end()) for m in CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < e for a, _, e in base)]
+    """(start, end) of other tokens that could be credentials; one may reach beyond a base span, none lies in one."""
+    found = {(m.start(), m.end()) for m in CANDIDATE.finditer(text)}
+    if "://" in text:
+        found |= {m.span(1) for m in LOGIN.finditer(text)}
+    for m in CUED.finditer(text):
+        a, e = m.span(1)
+        found.add((a, a + len(m[1].rstrip("."))))
+    return sorted((a, e) for a, e in found if not any(p <= a and e <= q for p, _, q in base))
 
 
 # ---------------------------------------------------------------- the network
@@ -69,6 +78,12 @@ def encode(text: str, start: int, end: int) -> np.ndarray:
     return np.where((codes >= 32) & (codes < 127), codes - 30, np.where(codes == 0, 0, 1))
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """A candidate, and of a longer one all places of the network's window as well."""
+    last = end - INSIDE
+    return [(start, end)] + ([(a, a + INSIDE) for a in [*range(start, last, STRIDE), last]] if last > start else [])
+
+
 def _windows(x: np.ndarray) -> np.ndarray:
     """(n, places, KERNEL * EMBED + 2) windows of embedded rows, with marks of the inside and of padding."""
     v = np.lib.stride_tricks.sliding_window_view(x, KERNEL, axis=1)
@@ -179,7 +194,25 @@ def findings(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     ]
     cues, plain = ["key: ", "auth = ", "credential ", "bearer ", "Authorization: ", "export KEY=", "pw "], ["see ", "in ", "the file ", "on ", "at ", ", ", "("]
     x, y = [], []
+    # after a cue or in an address: short ones and letters only, against words
+    named = ["key: ", "auth = ", "credential ", "bearer ", "Authorization: Bearer ", "pw ", "pw: ", "token is ", "password is "]
+    short = [lambda: pick(mixed, size(8, 20)), lambda: pick(letters + letters.upper(), size(10, 40)), lambda: pick(letters, size(12, 32)), lambda: pick(mixed + "!$%^*-_", size(8, 24))]
+    plainly = [lambda: word() + word() + word(), lambda: word() + word() + word() + word(), lambda: f"{word()}_{word()}{word()}", lambda: f"{word()}{word()}-{word()}", lambda: f"{word()}{word()}{size(1, 99)}"]
+    long = lambda: "/".join(word() + word() for _ in range(size(8, 20))) + f".{size(1, 99)}"
     for _ in range(n):
+        if rng.random() < 0.3:
+            label = int(rng.random() < 0.5)
+            own, form = (short if label else plainly)[rng.integers(0, len(short if label else plainly))](), rng.random()
+            left, right = prose(size(0, 6)) + " " + named[rng.integers(0, len(named))], [" ", "\n", ". ", ""][rng.integers(0, 4)] + prose(size(0, 6))
+            if label and form < 0.4:
+                left, right = prose(size(0, 3)) + f" {['postgres', 'mysql', 'https', 'redis', 'amqp', 'ftp'][rng.integers(0, 6)]}://{word()}:", f"@{word()}.example.com/{word()}"
+            elif not label and form < 0.3:
+                own = long()
+            a, e = len(left), len(left) + len(own)
+            parts = windows(a, e)
+            x.append(encode(left + own + right, *parts[rng.integers(0, len(parts))]))
+            y.append(label)
+            continue
         label = int(rng.random() < 0.5)
         own = (good if label else bad)[rng.integers(0, len(good if label else bad))]()
         cue = cues if rng.random() < (0.6 if label else 0.15) else plain
@@ -229,7 +262,9 @@ def scan_text(text: str, net: Network) -> list[tuple[int, int, int]]:
     more = candidates(text, base)
     if not more:
         return base
-    p = net.probability(np.array([encode(text, a, e) for a, e in more]))
+    parts = [windows(a, e) for a, e in more]
+    at = np.cumsum([0, *map(len, parts)])[:-1]
+    p = np.maximum.reduceat(net.probability(np.array([encode(text, a, e) for own in parts for a, e in own])), at)
     return sorted(base + [(a, 3, e) for (a, e), s in zip(more, p.tolist(), strict=True) if s >= net.threshold])
 
 
