@@ -38,6 +38,15 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one to a few numbers that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 400_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if it has at most MAX_BROADCAST rows, which are counted."""
+    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+
+
 def texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the id, the text as UTF-8 bytes (null: empty), and more, whatever else docs has."""
     return docs.select(
@@ -59,31 +68,46 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """rows (a, b) with m of their node's row (a, m, n): no task gets the rows of a node with many edges.
+
+    Few nodes are broadcast. Else the nodes with more than 1 / MAX_BROADCAST of all edges are, which
+    are fewer than that, and the others are joined by a shuffle.
+    """
+    least = materialise(least, "least")
+    n, edges = least.agg(F.count("*"), F.sum("n")).first()
+    if n <= MAX_BROADCAST:
+        return rows.join(F.broadcast(least), "a")
+    hub = F.col("n") > edges / MAX_BROADCAST
+    hubs = F.broadcast(least.filter(hub))
+    plain = rows.join(hubs, "a", "left_anti").join(least.filter(~hub), "a")
+    return rows.join(hubs, "a").unionByName(plain)
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root): for each node of edges (a, b) the smallest node of its component.
 
-    Alternating large-star and small-star contraction: each round is two aggregations and joins,
-    O(log^2 n) rounds. Each round's edges are a written table. Minima are combined before the
-    shuffle; the join of a hub's edges is a plain sort-merge join that adaptive execution splits.
+    Alternating large-star and small-star contraction until nothing changes: each round is two
+    aggregations and joins, O(log^2 n) rounds. Each round's edges are a written table. Minima are
+    combined before the shuffle; edges of hubs meet their minimum by a broadcast of checked size.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     e = materialise(e.distinct(), "edges")
-    before = None
-    for _ in range(max_rounds):
+    before, now = None, _state(e)
+    while now != before and now[0]:
         # large star: every larger neighbour of a node goes to the node's smallest neighbour
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a")).toDF("a", "b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node's smaller neighbours and itself go to the smallest of them
-        large = large.filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialise(small.union(least.toDF("a", "b")).filter("a <> b").distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        large = materialise(large.filter("a <> b").distinct(), "large")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small_star = _with_least(large, least).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = materialise(small_star.union(least.select("a", "m").toDF("a", "b")).filter("a <> b").distinct(), "edges")
+        before, now = now, _state(e)
     star = e.toDF("node", "root")
     return star.union(star.select(F.col("root"), F.col("root")).distinct().toDF("node", "root"))
+
+
+def _state(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

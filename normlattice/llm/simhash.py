@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, materialise, texts
+from . import set_join, url_filter
+from .common import MAX_BROADCAST, connected_components, fresh, materialise, small, texts
 
 SEED = 42
 BUDGET = 4
@@ -63,13 +64,13 @@ def fingerprint(raw: bytes, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(a)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(doc_id, text_hash, fp), the latter two as signed longs. Null and wordless texts have fp 0."""
     src = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(x.as_py()) for x in b.column(1)), np.uint64, b.num_rows)
+            fps = np.fromiter((fingerprint(x.as_py(), width) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
@@ -232,7 +233,7 @@ def near_links(prints: DataFrame, budget: int = BUDGET, unit_rows: int = UNIT_RO
     return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_run_units, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, width: int = SHINGLE) -> DataFrame:
     """One row per row of docs: (doc_id, text_hash, fp, component_id, root).
 
     component_id is the smallest doc_id that links of at most `budget` differing bits reach, null
@@ -240,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts without a word (null, empty, blank) have fingerprint 0 and link like any other. Repeated
     rows stay repeated. Empty input: empty result. Other columns of docs are ignored.
     """
-    rows = materialise(fingerprints(docs, id_col, text_col), "prints")
+    rows = materialise(fingerprints(docs, id_col, text_col, width), "prints")
     kinds = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "kinds")
     roots = connected_components(near_links(kinds.select("fp"), budget)).toDF("fp", "root")
     rooted = kinds.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -248,19 +249,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(rooted.join(least, "root"), "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = set_join.SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """One row per row of docs: (doc_id, text_hash, root); texts of a component share root.
+
+    Links are similarities of 0.8 or more of the sets of word shingles. Fingerprints of these sets
+    are joined by the trie; an exact check of their groups and of all other pairs follows, since
+    texts at that similarity differ in some ten of 64 bits. Texts without a word (null, empty,
+    blank) are alike. Repeated rows stay repeated. Empty input: empty result. Other columns of docs
+    are ignored.
+    """
+    rows = materialise(set_join.keyed(docs, id_col, text_col, width), "keys")
+    kinds = rows.groupBy("key").agg(F.min("text_hash").alias("text_hash"), F.min("size").alias("size"), F.min("fp").alias("fp"))
+    kinds = materialise(kinds, "kinds")
+    groups = connected_components(near_links(kinds.select("fp").distinct(), budget)).toDF("fp", "print_root")
+    kinds = kinds.join(small(groups), "fp", "left").select("key", "size", "text_hash", F.coalesce("print_root", "fp").alias("group"))
+    links = set_join.similar_links(docs, kinds, text_col, width)
+    roots = materialise(connected_components(links).toDF("key", "root"), "roots")
+    named = rows.select("doc_id", "text_hash", "key").join(small(roots), "key", "left")
+    return named.select("doc_id", "text_hash", F.coalesce("root", "key").alias("root"))
+
+
+def _without(rows: DataFrame, gone: DataFrame, same: Column, key: str, gone_key: str) -> DataFrame:
+    """rows without those that go. A longer list than a broadcast holds is met by what passes its Bloom filter alone."""
+    n = gone.count()
+    if n <= MAX_BROADCAST:
+        return rows.join(F.broadcast(gone), same, "left_anti")
+    blocks = url_filter.blocks_for(n)
+    if blocks > url_filter.MAX_BROADCAST_BLOCKS:
+        return rows.join(gone, same, "left_anti")
+    block, bits = fresh(rows, "_block"), fresh(rows, "_bits")
+    mask = url_filter.mask_of(F.col(key))
+    asked = rows.withColumn(block, url_filter.block_of(F.col(key), blocks))
+    asked = asked.join(F.broadcast(url_filter.bloom(gone, gone_key, blocks).toDF(block, bits)), block, "left")
+    maybe = F.coalesce(F.col(bits).bitwiseAND(mask) == mask, F.lit(False))
+    return asked.filter(~maybe).unionByName(asked.filter(maybe).join(gone, same, "left_anti"))
+
+
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, width: int = SHINGLE, exact: bool = False) -> DataFrame:
     """docs without its near-duplicates: of each component the row with the smallest doc_id stays.
 
-    Rows without a doc_id come last; of rows that share the doc_id the smallest text hash stays, and
-    of rows that repeat both, one.
+    Components are those of near_duplicates, or of similar_texts if exact. Rows without a doc_id
+    come last; of rows that share the doc_id the smallest text hash stays, and of rows that repeat
+    both, one. No text is shuffled but those of rows that repeat both, if there are any.
     """
-    named = materialise(near_duplicates(docs, id_col, text_col, budget), "named")
-    first = F.min(F.struct(F.isnull("doc_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))).alias("k")
+    named = similar_texts(docs, id_col, text_col, width, budget) if exact else near_duplicates(docs, id_col, text_col, budget, width)
+    named = materialise(named.select("doc_id", "text_hash", "root"), "named")
+    first = named.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))).alias("k"), F.count("*").alias("n"))
     pre = fresh(docs, "_one_")
     id_, h, at = f"{pre}id", f"{pre}h", f"{pre}at"
-    keep = named.groupBy("root").agg(first).select(F.col("k.id").alias(id_), F.col("k.h").alias(f"{h}h")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("k.id")) & (F.col("text_hash") == F.col("k.h"))
+    gone = named.join(small(first.filter("n > 1")), "root").filter(~same)
+    gone = materialise(gone.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(f"{h}h")).distinct(), "gone")
     hashed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
-    kept = hashed.join(keep, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(h) == F.col(f"{h}h")), "left_semi")
+    kept = _without(hashed, gone, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(h) == F.col(f"{h}h")), h, f"{h}h")
     if not named.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
         kept = kept.withColumn(at, F.row_number().over(Window.partitionBy(id_col, h).orderBy(h))).filter(F.col(at) == 1)
     return kept.select(*docs.columns)

@@ -86,11 +86,11 @@ def rule_for(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.struct(best.rule.alias("rule"), best.verdict.alias("verdict"))
 
 
-def _block(key: Column, blocks: int) -> Column:
+def block_of(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks))
 
 
-def _mask(key: Column) -> Column:
+def mask_of(key: Column) -> Column:
     h = F.xxhash64(key, F.lit(1))
     mask = F.lit(0).cast("long")
     for i in range(BITS):
@@ -99,9 +99,14 @@ def _mask(key: Column) -> Column:
     return mask
 
 
+def blocks_for(n: int) -> int:
+    """Blocks of a filter of n keys, a power of two."""
+    return 1 << max(4, (max(1, n) // PER_BLOCK).bit_length())
+
+
 def bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
     """(block, bits): the filter, one row for each block that has a bit."""
-    rows = listed.select(_block(F.col(key), blocks).alias("block"), _mask(F.col(key)).alias("mask"))
+    rows = listed.select(block_of(F.col(key), blocks).alias("block"), mask_of(F.col(key)).alias("mask"))
     return rows.groupBy("block").agg(F.bit_or("mask").alias("bits"))
 
 
@@ -115,7 +120,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col: str =
     other = {"block": "allow", "allow": "block"}[listed_verdict]
     keys = listed.select(canonical(F.col("url")).alias("key")).filter("key is not null").distinct()
     n = keys.count()
-    blocks = 1 << max(4, (max(1, n) // PER_BLOCK).bit_length())
+    blocks = blocks_for(n)
     bits = bloom(keys, "key", blocks)
     if blocks <= MAX_BROADCAST_BLOCKS:
         bits = F.broadcast(bits)
@@ -125,7 +130,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col: str =
     rows = rows.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
     rows = rows.select("page_id", "host", "path", "fit.rule", F.col("fit.verdict").alias("ruled"), "key")
     asked = rows.filter("rule is null and key is not null")
-    asked = asked.withColumn("block", _block(F.col("key"), blocks)).withColumn("mask", _mask(F.col("key"))).join(bits, "block", "left")
+    asked = asked.withColumn("block", block_of(F.col("key"), blocks)).withColumn("mask", mask_of(F.col("key"))).join(bits, "block", "left")
     maybe = F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
     out = lambda verdict: ("page_id", "host", "path", "rule", verdict.alias("verdict"))
     ruled = rows.filter("rule is not null or key is null").select(*out(F.coalesce("ruled", F.lit("allow"))))

@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 
 import corpus_pipeline as pipeline
-from normlattice.llm import jaccard_dedup
+from normlattice.llm import common, set_join, simhash
 
 
 def grams(text):
@@ -36,18 +37,26 @@ def made(rng):
     return [" ".join(t) for t in out] + [None, "", " ", "one two", "ONE  two", "a b c d " * 50, "a b c d " * 70, " ".join(line)]
 
 
-def test_components_match_brute_force(spark):
+@pytest.mark.parametrize("tight", [False, True])
+def test_components_match_brute_force(spark, monkeypatch, tight):
+    if tight:  # hot shingles, components in blocks, joins by a shuffle
+        monkeypatch.setattr(set_join, "HOT", 4)
+        monkeypatch.setattr(set_join, "CLUSTER_SETS", 3)
+        for m in (common, simhash):
+            monkeypatch.setattr(m, "MAX_BROADCAST", 3)
     texts = made(np.random.default_rng(3))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got, want = {}, {}
-    for r in jaccard_dedup.near_duplicates(docs).collect():
+    for r in simhash.similar_texts(docs).collect():
         got.setdefault(r.root, set()).add(r.doc_id)
     for i, r in enumerate(brute_roots(texts)):
         want.setdefault(r, set()).add(i)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
-def test_stage_links_edited_copies(spark):
+@pytest.mark.parametrize("listed", [common.MAX_BROADCAST, 0])
+def test_stage_links_edited_copies(spark, monkeypatch, listed):
+    monkeypatch.setattr(simhash, "MAX_BROADCAST", listed)  # 0: by the Bloom filter
     rng = np.random.default_rng(8)
     word = lambda: "".join(chr(97 + i) for i in rng.integers(0, 26, 6))
     rows = []
@@ -59,4 +68,4 @@ def test_stage_links_edited_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [r.doc_id for r in pipeline.near_duplicate_stage(spark, docs, "").collect()]
     assert sorted(kept, key=str) == sorted([*range(40), *range(2000, 2040), None], key=str)
-    assert jaccard_dedup.keep_one_per_group(docs.limit(0)).count() == 0
+    assert simhash.keep_one_per_group(docs.limit(0), width=5, exact=True).count() == 0
