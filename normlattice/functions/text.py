@@ -27,6 +27,7 @@ def clean_text(c: Column) -> Column:
     return strip(c)
 
 
+# fixed values: the defaults of the marker and the words below
 def cut_at_marker(c: Column, marker: str = "\nAnnex B", after: int = 50_000) -> Column:
     """The text before the first marker at or after an offset in characters; all of it without one."""
     at = F.locate(marker, c, after + 1)

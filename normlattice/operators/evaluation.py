@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as X
+from ..session import small
 
 PAIR = ["src_id", "tgt_id"]
 
@@ -50,13 +51,14 @@ def detection_metrics(truth: DataFrame, predictions: DataFrame, methods: DataFra
 def compared(truth: DataFrame, predictions: DataFrame, methods: DataFrame) -> DataFrame:
     """(method, src_id, tgt_id, true_rel, pred_rel, correct): labels merged; no prediction means no relation.
 
-    Of several predictions of a pair the last counts: the largest ord, if there is one.
+    Of several predictions of a pair the last counts: the largest ord, if there is one, and of
+    equals, or without ord, the label that comes last in the alphabet. A labelled pair that repeats
+    is compared each time. A pair or label that is null matches nothing.
     """
-    if "ord" in predictions.columns:
-        last = Window.partitionBy("method", *PAIR).orderBy(F.desc("ord"))
-        predictions = predictions.withColumn("_n", F.row_number().over(last)).filter("_n = 1")
-    pred = predictions.select("method", *PAIR, X.merged_label(F.col("predicted_rel")).alias("pred_rel"))
-    grid = truth.select(*PAIR, X.merged_label(F.col("relationship")).alias("true_rel")).crossJoin(F.broadcast(methods.select("method")))
+    order = ["ord", "predicted_rel"] if "ord" in predictions.columns else ["predicted_rel"]
+    last = predictions.groupBy("method", *PAIR).agg(F.max(F.struct(*order)).alias("_last"))
+    pred = last.select("method", *PAIR, X.merged_label(F.col("_last.predicted_rel")).alias("pred_rel"))
+    grid = truth.select(*PAIR, X.merged_label(F.col("relationship")).alias("true_rel")).crossJoin(small(methods.select("method")))
     out = grid.join(pred, ["method", *PAIR], "left").withColumn("pred_rel", F.coalesce("pred_rel", F.lit(S.NO_RELATION)))
     return out.select("method", *PAIR, "true_rel", "pred_rel", (F.col("true_rel") == F.col("pred_rel")).alias("correct"))
 
@@ -115,7 +117,7 @@ def method_dimension(spark, order: Sequence[str] = S.METHOD_ORDER) -> DataFrame:
 
 def best_method(metrics: DataFrame, methods: DataFrame) -> DataFrame:
     """The row of the largest macro_f1; of equals the first in the order of methods."""
-    ranked = metrics.join(F.broadcast(methods), "method").orderBy(F.desc("macro_f1"), "method_order")
+    ranked = metrics.join(small(methods), "method").orderBy(F.desc("macro_f1"), "method_order")
     return ranked.limit(1).drop("method_order")
 
 
@@ -131,8 +133,17 @@ def pair_except(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(*PAIR).subtract(b.select(*PAIR))
 
 
+def counted(df: DataFrame, name: str, **counts: str) -> tuple[DataFrame, Observation]:
+    """df, and the counts of its rows that an action on it will have made on the way: no second pass.
+
+    counts: a name and a condition in SQL for each; rows counts all of them.
+    """
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(F.expr(c)).alias(k) for k, c in counts.items())), seen
+
+
 def report_rows(detection: DataFrame, macro: DataFrame, methods: DataFrame) -> DataFrame:
     """The comparison table of a report, formatted, in the order of methods."""
-    out = detection.join(macro, "method").join(F.broadcast(methods), "method")
+    out = detection.join(macro, "method").join(small(methods), "method")
     cols = [X.percent(F.col(c)).alias(f"{c}_pct") for c in ("precision", "recall", "f1", "accuracy", "macro_f1")]
     return out.orderBy("method_order").select("method", *cols)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import small
 
 # fixed values: clause headers and ends of the two kinds of documents
 CLAUSE_A = r"Provision\s+(5\.\d{1,2}-\d+[A-Z]?)\s+(.*?)(?=Provision\s+5\.\d|^\d+\s+|\z)"
@@ -28,8 +29,8 @@ def clauses(df: DataFrame, text_col: str, pattern: str) -> DataFrame:
 
 
 def titled(df: DataFrame, dimension: DataFrame, key: str = "section_id") -> DataFrame:
-    """df with the title of its section, Unknown where the dimension has none. The dimension is code, so small."""
-    dim = F.broadcast(dimension.select(F.col(key), F.col("title")))
+    """df with the title of its section, Unknown where the dimension has none."""
+    dim = small(dimension.select(F.col(key), F.col("title")))
     return df.join(dim, key, "left").withColumn("title", F.coalesce("title", F.lit("Unknown")))
 
 

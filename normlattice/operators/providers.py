@@ -155,3 +155,50 @@ def label_pairs(pairs: DataFrame, answers: DataFrame, method: str) -> DataFrame:
     got = answers.select("pair_id", F.when(F.col("error").isNull(), X.parse_label(X.response_text(F.col("response")))).alias("label"))
     out = pairs.join(got, "pair_id", "left")
     return out.select(F.lit(method).alias("method"), "src_id", "tgt_id", F.lit(None).cast("double").alias("score"), F.coalesce("label", F.lit(S.NO_RELATION)).alias("predicted_rel"))
+
+
+def batch_embedder(submit: Callable[[list[dict]], Any], fetch: Callable[[Any], Any], **waiting: Any) -> Embedder:
+    """An embedder from a service that takes all texts of a call as one job: submitted, waited for, decoded in order."""
+
+    def embed_all(texts: Sequence[str]) -> list[list[float]]:
+        if not len(texts):
+            return []
+        job = submit([{"content": t} for t in texts])
+        return embeddings_of(wait_for_job(lambda: fetch(job), **waiting).responses, len(texts))
+
+    return embed_all
+
+
+def batch_labeller(submit: Callable[[list[dict]], Any], fetch: Callable[[Any], Any], **waiting: Any) -> Callable[[Sequence[str]], list[dict]]:
+    """Answers of a service to requests in JSON, all of a call as one job; each answer has a response or an error."""
+    import json
+
+    def ask(requests: Sequence[str]) -> list[dict]:
+        if not len(requests):
+            return []
+        job = submit([json.loads(r) for r in requests])
+        return unwrap(wait_for_job(lambda: fetch(job), **waiting).responses, len(requests))
+
+    return ask
+
+
+def label_all(pairs: DataFrame, prompt: Any, load: Callable[[], Callable[[Sequence[str]], list[dict]]], method: str) -> DataFrame:
+    """Predictions of a labelling model for pairs (pair_id, src_id, tgt_id, ...): a request for each, answers joined by pair_id.
+
+    prompt: a column of pairs. load gives, once in each task, a function from requests to answers,
+    as batch_labeller makes; a task's Arrow batch is one call of it.
+    """
+    asked = pairs.select("pair_id", F.to_json(X.request(prompt)).alias("request"))
+
+    def run(frames: Iterator) -> Iterator:
+        import json
+
+        ask = load()
+        for f in frames:
+            answers = ask(f.request.tolist())
+            texts = [None if a.get("response") is None else json.dumps(a["response"]) for a in answers]
+            errors = [None if a.get("error") is None else str(a["error"]) for a in answers]
+            yield f[["pair_id"]].assign(response=texts, error=errors)
+
+    answers = asked.mapInPandas(run, f"pair_id {asked.schema['pair_id'].dataType.simpleString()}, response string, error string")
+    return label_pairs(pairs, answers, method)

@@ -1,12 +1,14 @@
 """Pairs of two corpora: all of them, or those whose similarity reaches a threshold.
 
-Corpora are (id, text) or (id, vector) DataFrames. With a positive threshold, pairs must share a
-term, so lexical methods join postings on it; dense vectors are multiplied in blocks.
+Corpora are (id, text) or (id, vector) DataFrames. Every row is an item of its own: rows that share
+an id, or repeat, give a pair each. With a positive threshold, pairs must share a term, so lexical
+methods meet on it: the postings of a side of checked size are broadcast and sums made document by
+document; of two large sides terms are dealt by salt. Dense vectors are multiplied in blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,68 +17,117 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as X
+from ..session import materialise
 
-#: Numbers in a block of vectors that every worker holds.
-BLOCK_NUMBERS = 4_000_000
-#: Pairs that a worker compares at once.
-TILE = 4_000_000
+#: Numbers in a block of vectors, and rows in a block of a grid.
+BLOCK_NUMBERS, BLOCK_ROWS = 1_000_000, 1000
+#: Postings of the smaller side that are broadcast.
+MAX_POSTINGS = 1_000_000
+#: Terms in more than 1 / HOT_TERMS of all postings are broadcast with their weight: they are fewer than that.
+HOT_TERMS = 10_000
+#: Tasks that share the sets of a keyword.
+SET_SALTS = 16
+#: Postings of a term that one task joins.
+TERM_ROWS = 10_000
+
+
+def _dealt(df: DataFrame, blocks: int, others: int, mine: str, peer: str) -> DataFrame:
+    """df in so many blocks by turns, each row repeated for each block of the other side."""
+    df = df.withColumn(mine, F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
+    return df.withColumn(peer, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+
+
+def _grid(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every row of a with every row of b: each two blocks meet in a task."""
+    m, n = (-(-x.count() // BLOCK_ROWS) or 1 for x in (a, b))
+    return _dealt(a, m, n, "_i", "_j").join(_dealt(b, n, m, "_j", "_i"), ["_i", "_j"]).drop("_i", "_j")
 
 
 def candidate_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every pair with both texts."""
-    a = a.toDF("src_id", "src_text")
-    return a.crossJoin(b.toDF("tgt_id", "tgt_text")).select("src_id", "tgt_id", "src_text", "tgt_text")
+    """Every pair with both texts: (src_id, tgt_id, src_text, tgt_text)."""
+    return _grid(a.toDF("src_id", "src_text"), b.toDF("tgt_id", "tgt_text")).select("src_id", "tgt_id", "src_text", "tgt_text")
+
 
+# ---------------------------------------------------------------- TF-IDF
 
-def term_counts(corpus: DataFrame, stop_words: Sequence[str]) -> DataFrame:
-    """(id, term, n) of a corpus (id, text): words and bigrams, counted within each row."""
+
+def _numbered(corpus: DataFrame) -> DataFrame:
+    return corpus.toDF("id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("string").alias("id"), "text")
+
+
+def postings(corpus: DataFrame, stop_words: Sequence[str]) -> DataFrame:
+    """(row, id, term, n) of a corpus (id, text) or (row, id, text), written once: words and bigrams, counted within each row."""
+    rows = corpus if "row" in corpus.columns else _numbered(corpus)
     own = X.tallied(X.terms(F.col("text"), stop_words))
-    return corpus.toDF("id", "text").select(F.col("id").cast("string").alias("id"), F.inline(own)).toDF("id", "term", "n")
+    return materialise(rows.select("row", "id", F.inline(own)).toDF("row", "id", "term", "n"), "postings")
+
 
+def _weighted(a: DataFrame, b: DataFrame, rows: int) -> list[DataFrame]:
+    """(row, id, term, df, w) of each side: w is 1 + ln(n) times the idf ln((1 + rows) / (1 + df)) + 1.
 
-def _raw_weights(a: DataFrame, b: DataFrame, stop_words: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(id, term, w) of each corpus: 1 + ln(n) times ln((1 + N) / (1 + df)) + 1, with N and df of both."""
-    n = a.count() + b.count()
-    a, b = term_counts(a, stop_words), term_counts(b, stop_words)
+    df counts rows of both sides. Terms in many rows meet their idf by a broadcast, others by a shuffle.
+    """
     df = a.select("term").unionByName(b.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = materialise(df.withColumn("idf", F.log((1 + F.lit(rows)) / (1 + F.col("df"))) + 1), "idf")
+    hot = F.col("df") > (a.count() + b.count()) / HOT_TERMS
+    often = F.broadcast(idf.filter(hot))
     w = (1 + F.log(F.col("n").cast("double"))) * F.col("idf")
-    return tuple(x.join(idf, "term").select("id", "term", w.alias("w")) for x in (a, b))
+    both = lambda x: x.join(often, "term").unionByName(x.join(often.select("term"), "term", "left_anti").join(idf.filter(~hot), "term"))
+    return [both(x).select("row", "id", "term", "df", w.alias("w")) for x in (a, b)]
 
 
-def tfidf_weights(a: DataFrame, b: DataFrame, stop_words: Sequence[str]) -> DataFrame:
-    """(side, id, term, w): unit vectors of both corpora."""
-    sides = []
-    for side, raw in zip("ab", _raw_weights(a, b, stop_words), strict=True):
-        unit = raw.join(_norms(raw), "id").select(F.lit(side).alias("side"), "id", "term", (F.col("w") / F.col("norm")).alias("w"))
-        sides.append(unit)
-    return sides[0].unionByName(sides[1])
+def _sides(a: DataFrame, b: DataFrame, stop_words: Sequence[str]) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Postings of both corpora with weights, and (row, id, norm) of each row with a term."""
+    rows = a.count() + b.count()
+    weighted = [materialise(x, "weights") for x in _weighted(postings(a, stop_words), postings(b, stop_words), rows)]
+    norms = [x.groupBy("row", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")) for x in weighted]
+    return weighted, norms
 
 
-def _norms(raw: DataFrame) -> DataFrame:
-    return raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+def tfidf_weights(a: DataFrame, b: DataFrame, stop_words: Sequence[str]) -> DataFrame:
+    """(side, id, term, w): a unit vector for each row of both corpora."""
+    weighted, norms = _sides(a, b, stop_words)
+    out = [x.join(n.drop("id"), "row").select(F.lit(side).alias("side"), "id", "term", (F.col("w") / F.col("norm")).alias("w")) for side, x, n in zip("ab", weighted, norms, strict=True)]
+    return out[0].unionByName(out[1])
 
 
 def _dot(a: DataFrame, b: DataFrame, stop_words: Sequence[str]) -> DataFrame:
-    """(src_id, tgt_id, s): cosines of pairs with a common term. Norms join the pairs, not the postings."""
-    a, b = _raw_weights(a, b, stop_words)
-    pairs = a.select("term", F.col("id").alias("src_id"), F.col("w").alias("wa")).join(b.select("term", F.col("id").alias("tgt_id"), F.col("w").alias("wb")), "term")
-    pairs = pairs.groupBy("src_id", "tgt_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    pairs = pairs.join(_norms(a).toDF("src_id", "na"), "src_id").join(_norms(b).toDF("tgt_id", "nb"), "tgt_id")
-    return pairs.select("src_id", "tgt_id", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("s"))
+    """(src_row, tgt_row, src_id, tgt_id, s): cosines of rows with a common term. Norms join the pairs, not the postings."""
+    (wa, wb), norms = _sides(a, b, stop_words)
+    named = lambda x, side: x.select("term", F.col("row").alias(f"{side}_row"), F.col("w").alias(f"{side}_w"), F.col("df"))
+    wa, wb = named(wa, "src"), named(wb, "tgt")
+    m, n = wa.count(), wb.count()
+    if min(m, n) <= MAX_POSTINGS:
+        # the rows of a document stand together, so their products are summed before the shuffle
+        few, many = (wa, wb) if m <= n else (wb, wa)
+        met = many.drop("df").join(F.broadcast(few.drop("df")), "term")
+    else:
+        salts = F.ceil(F.col("df") / TERM_ROWS)
+        dealt = wb.withColumn("salt", F.pmod(F.xxhash64("tgt_row"), salts)).drop("df")
+        spread = wa.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1))).drop("df")
+        met = dealt.join(spread, ["term", "salt"])
+    pairs = met.groupBy("src_row", "tgt_row").agg(F.sum(F.col("src_w") * F.col("tgt_w")).alias("dot"))
+    na, nb = (x.toDF(f"{side}_row", f"{side}_id", f"{side}_norm") for x, side in zip(norms, ("src", "tgt"), strict=True))
+    pairs = pairs.join(na, "src_row").join(nb, "tgt_row")
+    return pairs.select("src_row", "tgt_row", "src_id", "tgt_id", (F.col("dot") / (F.col("src_norm") * F.col("tgt_norm"))).alias("s"))
 
 
 def tfidf_pairs(a: DataFrame, b: DataFrame, stop_words: Sequence[str], threshold: float = S.PAIR_THRESHOLDS["tfidf"]) -> DataFrame:
-    """(src_id, tgt_id, score, predicted_rel) of pairs whose cosine reaches the threshold, before rounding."""
+    """(src_id, tgt_id, score, predicted_rel) of pairs whose cosine reaches the threshold, before rounding.
+
+    Null texts have no term and no pair. Rows that share an id are compared each for itself.
+    """
     if threshold <= 0:
         raise ValueError("pairs without a common term need tfidf_grid")
     return _labelled(_dot(a, b, stop_words).filter(F.col("s") >= threshold), S.LEXICAL_CUTS)
 
 
 def tfidf_grid(a: DataFrame, b: DataFrame, stop_words: Sequence[str]) -> DataFrame:
-    """(src_id, tgt_id, score) of every pair, zero where no term is common."""
-    ids = a.toDF("src_id", "_a").select(F.col("src_id").cast("string")).crossJoin(b.toDF("tgt_id", "_b").select(F.col("tgt_id").cast("string")))
-    full = ids.join(_dot(a, b, stop_words), ["src_id", "tgt_id"], "left")
+    """(src_id, tgt_id, score) of every pair of rows, zero where no term is common."""
+    a, b = (materialise(_numbered(x), "corpus") for x in (a, b))
+    side = lambda x, name: x.select(F.col("row").alias(f"{name}_row"), F.col("id").alias(f"{name}_id"))
+    dots = _dot(a, b, stop_words).select("src_row", "tgt_row", "s")
+    full = _grid(side(a, "src"), side(b, "tgt")).join(dots, ["src_row", "tgt_row"], "left")
     return full.select("src_id", "tgt_id", F.round(F.coalesce("s", F.lit(0.0)), 4).alias("score"))
 
 
@@ -84,63 +135,64 @@ def _labelled(pairs: DataFrame, cuts: Sequence[tuple[float, str]], *more: str) -
     return pairs.select("src_id", "tgt_id", F.round("s", 4).alias("score"), *more, X.label_of(F.col("s"), cuts).alias("predicted_rel"))
 
 
+# ---------------------------------------------------------------- keyword sets
+
+
 def jaccard_pairs(a: DataFrame, b: DataFrame, vocabulary: Sequence[str], threshold: float = S.PAIR_THRESHOLDS["jaccard"]) -> DataFrame:
     """(src_id, tgt_id, score, shared_keywords, predicted_rel) of pairs whose keyword sets are alike.
 
-    Pairs meet on a keyword; the number of shared ones and the sizes of the sets give the score.
+    Only the different sets of each side are compared, of which there are far fewer than rows: they
+    meet on the first keyword that they share, dealt by salt. Then the rows with these sets follow,
+    so rows that share an id or repeat give a pair each. Rows without a keyword give none.
     """
     if threshold <= 0:
         raise ValueError("pairs without a common keyword are not joined")
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        df = df.toDF("id", "text").select(F.col("id").alias(f"{name}_id"), X.keywords(F.col("text"), vocabulary).alias("k"))
-        return df.select(f"{name}_id", F.size("k").alias(f"{name}_n"), F.explode("k").alias("k"))
-
-    both = side(a, "src").join(side(b, "tgt"), "k").groupBy("src_id", "tgt_id", "src_n", "tgt_n")
-    both = both.agg(F.array_sort(F.collect_list("k")).alias("shared_keywords"))
+        words = X.keywords(F.col("text"), vocabulary)
+        return df.toDF("id", "text").select(F.col("id").alias(f"{name}_id"), words.alias(f"{name}_k")).filter(F.size(f"{name}_k") > 0)
+
+    rows_a, rows_b = side(a, "src"), side(b, "tgt")
+    kinds_a = rows_a.select("src_k").distinct().select("*", F.explode("src_k").alias("k"))
+    kinds_a = kinds_a.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SET_SALTS - 1).cast("long"))).alias("salt"))
+    kinds_b = rows_b.select("tgt_k").distinct().select("*", F.explode("tgt_k").alias("k"), F.pmod(F.xxhash64("tgt_k"), F.lit(SET_SALTS)).alias("salt"))
+    shared = F.array_intersect("src_k", "tgt_k")
+    met = kinds_a.join(kinds_b, ["k", "salt"]).withColumn("shared_keywords", shared)
+    met = met.filter(F.col("k") == F.array_min("shared_keywords"))
     n = F.size("shared_keywords")
-    both = both.withColumn("s", n / (F.col("src_n") + F.col("tgt_n") - n)).filter(F.col("s") >= threshold)
-    return _labelled(both, S.LEXICAL_CUTS, "shared_keywords")
+    met = met.withColumn("s", n / (F.size("src_k") + F.size("tgt_k") - n)).filter(F.col("s") >= threshold)
+    pairs = met.select("src_k", "tgt_k", "shared_keywords", "s").join(rows_a, "src_k").join(rows_b, "tgt_k")
+    return _labelled(pairs, S.LEXICAL_CUTS, "shared_keywords")
 
 
-def _blocks(b: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """The vectors of b, normalised, in blocks of at most about BLOCK_NUMBERS numbers."""
-    size = b.agg(F.sum(F.size("v"))).first()[0] or 0
-    n = int(size // BLOCK_NUMBERS) + 1
-    for k in range(n):
-        rows = (b.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == k) if n > 1 else b).collect()
-        if rows:
-            yield [r.id for r in rows], np.array([r.v for r in rows], np.float64)
+# ---------------------------------------------------------------- dense vectors
 
 
 def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float, cuts: Sequence[tuple[float, str]] = S.SEMANTIC_CUTS) -> DataFrame:
     """(src_id, tgt_id, score, predicted_rel) of pairs of (id, vector) rows whose cosine reaches the threshold.
 
-    Vectors are normalised first. The vectors of b go to every worker a block at a time; those of a
-    are read once for each block.
+    Vectors are normalised first; null ones are left out. Both sides are dealt to blocks of at most
+    about BLOCK_NUMBERS numbers, and each two blocks are multiplied in a task: nothing passes the driver.
     """
     unit = lambda df: df.toDF("id", "v").filter("v is not null").select("id", X.l2_normalised(F.col("v")).alias("v"))
     a, b = unit(a), unit(b)
     kinds = [x.schema["id"].dataType.simpleString() for x in (a, b)]
-    schema, out = f"src_id {kinds[0]}, tgt_id {kinds[1]}, s double", None
-    for ids, block in _blocks(b):
-        shared = a.sparkSession.sparkContext.broadcast((pa.array(ids), block))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, m = shared.value
-            for batch in batches:
-                step = max(1, TILE // len(m))
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    v = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
-                    s = v @ m.T
-                    i, j = np.nonzero(s >= threshold)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), names.take(pa.array(j)), pa.array(s[i, j])], ["src_id", "tgt_id", "s"])
-
-        part = a.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = a.sparkSession.createDataFrame([], schema)
+    m, n = (int((x.agg(F.sum(F.size("v"))).first()[0] or 0) // BLOCK_NUMBERS) + 1 for x in (a, b))
+
+    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
+        u, v = (np.stack(x.column("v").to_numpy()) if x.num_rows else np.zeros((0, 0)) for x in (left, right))
+        i, j, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for at in range(0, len(u) if len(v) else 0, 1024):
+            part = u[at : at + 1024] @ v.T
+            p, q = np.nonzero(part >= threshold)
+            i.append(p + at)
+            j.append(q)
+            s.append(part[p, q])
+        i, j, s = (np.concatenate(x) for x in (i, j, s))
+        return pa.table({"src_id": left.column("id").take(pa.array(i)), "tgt_id": right.column("id").take(pa.array(j)), "s": s})
+
+    left, right = _dealt(a, m, n, "i", "j").groupBy("i", "j"), _dealt(b, n, m, "j", "i").groupBy("i", "j")
+    out = left.cogroup(right).applyInArrow(multiply, f"src_id {kinds[0]}, tgt_id {kinds[1]}, s double")
     return _labelled(out, cuts)
 
 

@@ -7,6 +7,7 @@ stored answers. Every query reads its tables whole.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import text as X
 from ..operators import evaluation as E
-from ..operators import extraction, similarity
-from ..session import table
+from ..operators import extraction, providers, similarity
+from ..session import scratch_dir, table
+from ..sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,12 +52,14 @@ _WS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
 _STRIP = lambda e: rf"regexp_replace({e}, '\A{_WS}+|{_WS}+\z', '', 'g')"
 
 
-@query(rf"""
-SELECT doc_id, {_STRIP(r"regexp_replace(regexp_replace(regexp_replace(text, 'ETSI\s*\n', chr(10), 'g'), 'ETSI EN \d+ \d+ V[\d.]+ \(\d{4}-\d{2}\)\s*\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')")} AS cleaned
-FROM documents
-""")
+_CLEAN = lambda e: _STRIP(f"regexp_replace(regexp_replace(regexp_replace({e}, 'ETSI\\s*\\n', chr(10), 'g'), 'ETSI EN \\d+ \\d+ V[\\d.]+ \\(\\d{{4}}-\\d{{2}}\\)\\s*\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+#: A document as a publisher's pages have it: lines and running headers around the text, in both dialects.
+_PAGED = "'ETSI ' || chr(10) || chr(10) || 'ETSI EN 303 645 V2.1.1 (2020-06)' || chr(10) || text || chr(10) || chr(10) || chr(10) || chr(10) || 'ETSI' || chr(10) || lang || ' '"
+
+
+@query(f"SELECT doc_id, {_CLEAN(_PAGED)} AS cleaned FROM documents")
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
+    return table(spark, sf, "documents").select("doc_id", X.clean_text(F.expr(_PAGED)).alias("cleaned"))
 
 
 @query("""
@@ -76,12 +80,51 @@ def clause_extract(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(rf"""
-SELECT doc_id, {_STRIP(r"regexp_replace(text, '(?s)\n(Of|Der|La)\s+\d*\|.*', '')")} AS trimmed FROM documents
+SELECT doc_id, {_STRIP(r"regexp_replace(regexp_replace(text, '\n(Of|Der|La)\s', chr(10) || 'NOTE 1: ', 'g'), '(?s)\n(NOTE|EXAMPLE)\s+\d*:.*', '')")} AS trimmed FROM documents
 """)
 def explanatory_trim(spark: SparkSession, sf: str) -> DataFrame:
-    # the prose has no colons, so a bar ends the marker here
-    cut = X.strip(F.regexp_replace("text", r"(?s)\n(Of|Der|La)\s+\d*\|.*", ""))
-    return table(spark, sf, "documents").select("doc_id", cut.alias("trimmed"))
+    noted = F.regexp_replace("text", r"\n(Of|Der|La)\s", "\nNOTE 1: ")
+    return table(spark, sf, "documents").select("doc_id", X.trim_explanations(noted).alias("trimmed"))
+
+
+#: Normative documents made of the part table, a clause for each part, in both dialects of SQL.
+_PIECE = """'Provision 5.' || CAST(p_size % 15 AS STRING) || {sub} || '-' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 5 = 0 THEN {letter} ELSE '' END || ' '
+  || CASE WHEN p_partkey % 13 = 0 THEN 'Void.' ELSE 'The ' || p_name || CASE p_partkey % 4 WHEN 0 THEN ' shall' WHEN 1 THEN ' should' WHEN 2 THEN ' may' ELSE ' can' END || ' be' || chr(10) || 'kept.' END
+  || chr(10) || CASE WHEN p_partkey % 7 = 0 THEN 'NOTE 1: as sold' || chr(10) || 'by others' || chr(10) ELSE '' END || CASE WHEN p_partkey % 11 = 0 THEN '12 Next heading' || chr(10) || 'lost words' || chr(10) ELSE '' END"""
+_PIECE_A, _PIECE_B = _PIECE.format(sub="''", letter="'A'"), _PIECE.format(sub="'.' || CAST(p_partkey % 6 AS STRING)", letter="'.2'")
+
+
+def _standard(spark: SparkSession, sf: str, piece: str) -> DataFrame:
+    """(doc, text): a document for each hundred parts."""
+    rows = table(spark, sf, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("doc")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", F.expr(piece).alias("piece")))).alias("c"))
+    return rows.select("doc", F.array_join(F.transform("c", lambda x: x.piece), "").alias("text"))
+
+
+def _provisions_sql(piece: str, head: str, section: str, sections, standard: str, trim: bool) -> str:
+    quoted = ", ".join("('" + r[0] + "', '" + r[1].replace("'", "''") + "')" for r in sections)
+    body = f"regexp_extract(clause, '(?s)^{head}(.*)$', 2)"
+    if trim:
+        body = f"regexp_replace({_STRIP("regexp_replace(" + body + ", '(?s)\\n\\d+\\s.*', '')")}, '(?s)\\n(NOTE|EXAMPLE)\\s+\\d*:.*', '')"
+    kept = "NOT (regexp_matches(body, '(?m)^\\s*[Vv]oid\\.?\\s*$') OR contains(substr(body, 1, 20), 'Void'))" if trim else "TRUE"
+    return rf"""
+WITH d AS (SELECT p_partkey // 100 AS doc, string_agg({piece}, '' ORDER BY p_partkey) AS text FROM part GROUP BY ALL),
+c AS (SELECT doc, unnest(string_split(regexp_replace({_CLEAN("text")}, '(Provision\s+5\.\d)', chr(1) || '\1', 'g'), chr(1))) AS clause FROM d),
+b AS (SELECT regexp_extract(clause, '^{head}', 1) AS provision_id, {_STRIP(body)} AS body FROM c WHERE regexp_matches(clause, '^{head}')),
+s AS (SELECT provision_id, regexp_extract(provision_id, '^({section})', 1) AS section_id, body FROM b WHERE {kept})
+SELECT provision_id, '{standard}' AS standard, s.section_id, coalesce(t.title, 'Unknown') AS title, body AS text,
+  CASE WHEN contains(lower(body), 'shall') THEN 'shall' WHEN contains(lower(body), 'should') THEN 'should' WHEN contains(lower(body), 'may') THEN 'may' ELSE 'unknown' END AS modality
+FROM s LEFT JOIN (VALUES {quoted}) t(section_id, title) ON t.section_id = s.section_id
+"""
+
+
+@query(_provisions_sql(_PIECE_A, r"Provision\s+(5\.\d{1,2}-\d+[A-Z]?)\s+", r"5\.\d+", S.SECTIONS_A, "EN 303 645", True))
+def provisions_a(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.provisions_a(_standard(spark, sf, _PIECE_A), "text", readers.dimension(spark, S.SECTIONS_A))
+
+
+@query(_provisions_sql(_PIECE_B, r"Provision\s+(5\.\d+\.\d+-\d+(?:\.\d+)?)\s+", r"5\.\d+\.\d+", S.SECTIONS_B, "EN 304 223", False))
+def provisions_b(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.provisions_b(_standard(spark, sf, _PIECE_B), "text", readers.dimension(spark, S.SECTIONS_B))
 
 
 @query(r"""
@@ -213,11 +256,11 @@ def l2_normalise(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT label AS id, d, round(avg(x), 6) AS x
-FROM (SELECT label, i - 1 AS d, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))
+FROM (SELECT label, i - 1 AS d, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id % 3 <> 0))
 GROUP BY label, d
 """)
 def mean_pooling(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "embeddings").select(F.col("label").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.lit(1).alias("mask"))
+    rows = table(spark, sf, "embeddings").select(F.col("label").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), (F.col("vec_id") % 3).alias("mask"))
     out = similarity.mean_pooled(rows).select("id", F.posexplode("vector").alias("d", "x"))
     return out.select("id", F.col("d").cast("long").alias("d"), F.round("x", 6).alias("x"))
 
@@ -291,9 +334,50 @@ def label_parse(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", X.parse_label(F.col("answer")).alias("label"))
 
 
-@query("SELECT event_id, CAST(coalesce(json_extract_string(props, '$.text'), '') AS VARCHAR) AS answer FROM events")
+def _responses(spark: SparkSession, sf: str) -> DataFrame:
+    """(pair_id, conv_id, turn, response): stored responses, each third one with a text, with parts of a candidate, or with neither."""
+    rows = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "conv_id", "turn", F.col("text").alias("t"))
+    label = F.element_at(F.array(*map(F.lit, S.LABELS)), (F.pmod(F.col("pair_id"), F.lit(len(S.LABELS))) + 1).cast("int"))
+    whole = F.to_json(F.struct(F.concat(label, F.lit(": "), "t").alias("text")))
+    parts = F.array(F.struct(F.substring(label, 1, 4).alias("text")), F.struct(F.concat(F.substring(label, 5, 99), F.lit(" "), "t").alias("text")))
+    nested = F.to_json(F.struct(F.array(F.struct(F.struct(parts.alias("parts")).alias("content"))).alias("candidates")))
+    kind = F.pmod("pair_id", F.lit(3))
+    return rows.select("pair_id", "conv_id", "turn", F.when(kind == 0, whole).when(kind == 1, nested).otherwise("{}").alias("response"))
+
+
+_RESPONSE_SQL = f"""
+WITH r AS (SELECT conv_id * 1000 + turn AS pair_id, conv_id, turn, text AS t, [{_quoted(S.LABELS)}][1 + (conv_id * 1000 + turn) % {len(S.LABELS)}] AS label FROM conversations),
+j AS (SELECT pair_id, conv_id, turn, CAST(CASE pair_id % 3 WHEN 0 THEN to_json({{'text': label || ': ' || t}})
+  WHEN 1 THEN to_json({{'candidates': [{{'content': {{'parts': [{{'text': substr(label, 1, 4)}}, {{'text': substr(label, 5) || ' ' || t}}]}}}}]}}) ELSE '{{}}' END AS JSON) AS response FROM r),
+a AS (SELECT pair_id, conv_id, turn, coalesce(json_extract_string(response, '$.text'), array_to_string(json_extract_string(response, '$.candidates[0].content.parts[*].text'), ''), '') AS answer FROM j)
+"""
+
+
+@query(_RESPONSE_SQL + "SELECT pair_id, answer FROM a")
 def response_decode(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", X.response_text(F.col("props")).alias("answer"))
+    return _responses(spark, sf).select("pair_id", X.response_text(F.col("response")).alias("answer"))
+
+
+@query(
+    _RESPONSE_SQL
+    + "SELECT 'stored' AS method, CAST(conv_id AS STRING) AS src_id, CAST(turn AS STRING) AS tgt_id, CASE WHEN turn = 2 OR conv_id % 7 = 0 THEN 'NO_RELATION' "
+    + " ".join(f"WHEN contains(upper(answer), '{x}') THEN '{x}'" for x in S.LABELS)
+    + " ELSE 'NO_RELATION' END AS predicted_rel FROM a"
+)
+def stored_labels(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _responses(spark, sf)
+    failed = F.when(F.col("turn") == 2, "failed")
+    answers = rows.filter("conv_id % 7 <> 0").select("pair_id", "response", failed.alias("error"))
+    pairs = rows.select("pair_id", F.col("conv_id").cast("string").alias("src_id"), F.col("turn").cast("string").alias("tgt_id"))
+    return providers.label_pairs(pairs, answers, "stored").drop("score")
+
+
+@query("SELECT vec_id, i - 1 AS d, CAST(CAST(embedding[i] AS STRING) AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+def stored_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    values = F.struct(F.col("embedding").alias("values"))
+    response = F.when(F.col("vec_id") % 2 == 0, F.to_json(F.struct(values.alias("embedding")))).otherwise(F.to_json(F.struct(F.array(values).alias("embeddings"))))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.explode(X.response_embeddings(response)).alias("v"))
+    return rows.select("vec_id", F.posexplode("v").alias("d", "x")).select("vec_id", F.col("d").cast("long").alias("d"), "x")
 
 
 # ---------------------------------------------------------------- evaluation
@@ -465,9 +549,61 @@ def pair_intersect(spark: SparkSession, sf: str) -> DataFrame:
     return E.pair_intersect(*_sets(spark, sf))
 
 
-@query(_SETS_SQL.format("EXCEPT"))
+@query(_SETS_SQL.format("EXCEPT") + " WHERE src_id IN (SELECT src_id FROM preds WHERE method = 'language_rule')")
 def pair_except(spark: SparkSession, sf: str) -> DataFrame:
-    return E.pair_except(*_sets(spark, sf))
+    a, b = _sets(spark, sf)[0], _predictions(spark, sf).filter("predicted_rel <> 'NO_RELATION'")
+    return E.pair_except(a, b.join(b.filter(F.col("method") == METHODS[1]).select("src_id").distinct(), "src_id", "left_semi"))
+
+
+# ---------------------------------------------------------------- files
+
+
+def _file(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("WITH " + _TRUTH_SQL + f"""SELECT src_id, tgt_id, relationship, 'says "' || relationship || '", twice' || chr(10) || 'or so' AS justification, 2 AS confidence, {_MERGE('relationship')} AS relationship_merged FROM truth""")
+def truth_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    path = _file(spark, "truth")
+    why = F.concat(F.lit('says "'), "relationship", F.lit('", twice\nor so'))
+    sinks.write_csv(_truth(spark, sf).select("src_id", "tgt_id", "relationship", why.alias("justification"), F.lit(2).alias("confidence")), path)
+    return readers.read_truth(spark, path)
+
+
+@query("WITH " + _TRUTH_SQL + f"SELECT method, src_id, tgt_id, 0.5 AS score, predicted_rel, {_MERGE('predicted_rel')} AS predicted_rel_merged FROM preds")
+def predictions_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    path = _file(spark, "predictions")
+    for m in METHODS[:2]:
+        sinks.write_csv(_predictions(spark, sf).filter(F.col("method") == m).select("src_id", "tgt_id", F.lit(0.5).alias(f"{m}_score"), "predicted_rel"), f"{path}/{m}")
+    found, _ = readers.read_all_predictions(spark, {m: f"{path}/{m}" for m in METHODS})
+    return found.drop("ord")
+
+
+@query("SELECT CAST(n_nationkey AS STRING) AS provision_id, 'EN' AS standard, CAST(n_regionkey AS STRING) AS section_id, n_name AS title, 'of ' || n_name AS text, 'may' AS modality FROM nation")
+def provisions_json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    path = _file(spark, "provisions")
+    rows = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("provision_id"), F.lit("EN").alias("standard"), F.col("n_regionkey").cast("string").alias("section_id"), F.col("n_name").alias("title"), F.concat(F.lit("of "), "n_name").alias("text"), F.lit("may").alias("modality"))
+    sinks.write_json_array(rows, path)
+    return readers.without_void(readers.read_provisions(spark, path))
+
+
+@query(_CMP_SQL + "SELECT cls.method, label, support, cls.precision, cls.recall, cls.f1, accuracy, det.f1 AS detection_f1 FROM cls JOIN macro USING (method) JOIN det ON det.method = cls.method")
+def metrics_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    detection = E.detection_metrics(_truth(spark, sf), _predictions(spark, sf), _methods(spark))
+    confusion = _confusion(spark, sf)
+    path = _file(spark, "metrics")
+    rows = sinks.summary(detection, E.macro_metrics(confusion), E.class_metrics(confusion))
+    sinks.write_metrics(rows, path)
+    back = readers.read_summary(spark, path, rows.schema)
+    per = back.select("method", F.explode("classification.per_class").alias("label", "m"), "classification.accuracy", F.col("detection.f1").alias("detection_f1"))
+    return per.select("method", "label", "m.support", "m.precision", "m.recall", "m.f1", "accuracy", "detection_f1")
+
+
+@query("WITH " + _TRUTH_SQL + "SELECT count(*) AS n_rows, count(*) FILTER (WHERE relationship <> 'NO_RELATION') AS related FROM truth")
+def observed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    df, seen = E.counted(_truth(spark, sf), "truth", related="relationship <> 'NO_RELATION'")
+    df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["rows"], seen.get["related"])], "n_rows long, related long")
 
 
 @query("""

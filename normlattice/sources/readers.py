@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..functions import text as X
 
+ORD = T.StructType([T.StructField("file", T.StringType()), T.StructField("row", T.LongType())])
 CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
 
 
@@ -49,27 +50,29 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str, method: str) -> DataFrame:
-    """A method's CSV with any score column, as schemas.PREDICTION with the file's row order."""
+    """A method's CSV with any score column, as schemas.PREDICTION with ord, the order of files by name and of rows in them."""
     df = require(spark.read.csv(path, **CSV), "src_id", "tgt_id", "predicted_rel")
     score = next((c for c in df.columns if c.endswith("_score")), None)
     cols = [F.lit(method).alias("method"), "src_id", "tgt_id", (F.col(score).cast("double") if score else F.lit(None).cast("double")).alias("score"), "predicted_rel"]
-    return with_merged(df.select(*cols, F.monotonically_increasing_id().alias("ord")), "predicted_rel")
+    # a file of quoted lines is read by one task, so the ids ascend within it
+    order = F.struct(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return with_merged(df.select(*cols, order.alias("ord")), "predicted_rel")
 
 
 def read_all_predictions(spark: SparkSession, paths: Mapping[str, str]) -> tuple[DataFrame, list[str]]:
     """The predictions of the methods whose file is there, and the names of the others."""
     found = [m for m in paths if exists(spark, paths[m])]
-    out = spark.createDataFrame([], T.StructType([*S.PREDICTION, T.StructField("ord", T.LongType()), T.StructField("predicted_rel_merged", T.StringType())]))
+    out = spark.createDataFrame([], T.StructType([*S.PREDICTION, T.StructField("ord", ORD), T.StructField("predicted_rel_merged", T.StringType())]))
     for m in found:
         out = out.unionByName(read_predictions(spark, paths[m], m))
     return out, [m for m in paths if m not in found]
 
 
-def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    """Metrics rows that sinks.write_metrics wrote."""
+def read_summary(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Metrics rows that sinks.write_metrics wrote. Given the schema, per_class is a map as it was."""
     if not exists(spark, path):
         raise FileNotFoundError(f"{path}: evaluate first, which writes it")
-    return spark.read.json(path)
+    return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
 def inline_truth(spark: SparkSession, rows: list[tuple]) -> DataFrame:

@@ -17,12 +17,16 @@ def write_rows(df: DataFrame, path: str, **options) -> None:
 
 
 def write_json_array(df: DataFrame, path: str) -> None:
-    """One JSON array in a local file, for exports that fit the driver; rows come one at a time."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        for i, r in enumerate(df.toLocalIterator()):
-            f.write(("," if i else "") + "\n  " + json.dumps(r.asDict(True), ensure_ascii=False, default=str))
-        f.write("\n]\n")
+    """One JSON array in one file of any file system that Spark writes, for exports that fit the driver; rows come one at a time."""
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    put = lambda text: out.write(bytearray(text, "utf-8"))
+    put("[")
+    for i, r in enumerate(df.toLocalIterator()):
+        put(("," if i else "") + "\n  " + json.dumps(r.asDict(True), ensure_ascii=False, default=str))
+    put("\n]\n")
+    out.close()
 
 
 def csv_ready(df: DataFrame) -> DataFrame:
@@ -87,6 +91,13 @@ def markdown_report(rows: DataFrame, order: list[str], truth: DataFrame, today:
     return "\n".join(out)
 
 
+def console(df: DataFrame, title: str, rows: int = 10, show=print) -> None:
+    """The first rows of a result as lines for a terminal, under its title and columns."""
+    show(f"{title}: {', '.join(df.columns)}")
+    for r in df.take(rows):
+        show("  " + ", ".join(f"{v:.4f}" if isinstance(v, float) else str(v) for v in r))
+
+
 def write_text(text: str, path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
         f.write(text)

@@ -103,6 +103,9 @@ def test_edges(spark):
     pairs = E.compared(truth, preds, methods)
     got = {(r.method, r.src_id): r.pred_rel for r in pairs.collect()}
     assert got["m", "a"] == N and got["m", "c"] == U and got["none", "c"] == N  # the last one counts
+    # without ord a repeated pair still counts once, by the last label in the alphabet
+    loose = E.compared(truth, preds.drop("ord"), methods)
+    assert loose.count() == 6 and {r.src_id: r.pred_rel for r in loose.filter("method = 'm'").collect()} == {"a": O, "b": N, "c": U}
     labels = {r.label for r in E.class_metrics(E.confusion_matrix(pairs)).filter("method = 'm'").collect()}
     assert labels == {O, N, Q}
     assert E.error_analysis(pairs.limit(0)).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from normlattice import schemas as S
 from normlattice.functions import text as X
-from normlattice.operators import extraction, providers, similarity
+from normlattice.operators import evaluation, extraction, providers, similarity
 from normlattice.plans import align
 from normlattice.sources import readers, sinks
 from normlattice.streaming import clauses as streaming
@@ -85,6 +85,11 @@ def test_jaccard(spark):
     swapped = {(r.tgt_id, r.src_id): r.score for r in similarity.jaccard_pairs(b, a, vocabulary, 0.5).collect()}
     assert swapped == {k: v[0] for k, v in got.items()}
     assert similarity.jaccard_pairs(a.limit(0), b, vocabulary).count() == 0
+    # every row is an item, also one that shares its id with others or repeats
+    twice = spark.createDataFrame([(5, "the token hash"), (5, "the token hash"), (5, "password"), (None, "hash")], "id int, text string")
+    got = sorted(map(str, similarity.jaccard_pairs(twice, b, vocabulary, 0.1).select("src_id", "tgt_id", "score").collect()))
+    want = [(5, "b1", 0.6667)] * 2 + [(5, "b2", 0.5)] * 2 + [(5, "b1", 0.3333), (None, "b1", 0.3333), (None, "b2", 1.0)]
+    assert got == sorted(f"Row(src_id={i}, tgt_id={j!r}, score={s})" for i, j, s in want)
 
 
 def brute_tfidf(stop):
@@ -102,13 +107,21 @@ def brute_tfidf(stop):
     return {(i, j): sum(x * vec[j].get(t, 0) for t, x in vec[i].items()) / (norm[i] * norm[j] or 1) for i, _ in A for j, _ in B}
 
 
-def test_tfidf_matches_the_formula(spark):
+def test_tfidf_matches_the_formula(spark, monkeypatch):
     a, b = corpora(spark)
     want = brute_tfidf(["the", "of"])
     pairs = {(r.src_id, r.tgt_id): r.score for r in similarity.tfidf_pairs(a, b, ["the", "of"]).collect()}
     assert pairs == pytest.approx({k: v for k, v in want.items() if v >= 0.1}, abs=1e-4)
     grid = {(r.src_id, r.tgt_id): r.score for r in similarity.tfidf_grid(a, b, ["the", "of"]).collect()}
     assert grid == pytest.approx(want, abs=1e-4)
+    # rows that share an id or repeat are compared each for itself
+    again = similarity.tfidf_pairs(a.union(a.filter("id = 'a1'")), b, ["the", "of"]).filter("src_id = 'a1' and tgt_id = 'b1'").collect()
+    assert len(again) == 2 and again[0].score == again[1].score <= 1
+    for most in (similarity.MAX_POSTINGS, 0):
+        monkeypatch.setattr(similarity, "MAX_POSTINGS", most)
+        monkeypatch.setattr(similarity, "TERM_ROWS", 1 if most == 0 else similarity.TERM_ROWS)
+        monkeypatch.setattr(similarity, "HOT_TERMS", 5 if most == 0 else similarity.HOT_TERMS)
+        assert {(r.src_id, r.tgt_id): r.score for r in similarity.tfidf_pairs(a, b, ["the", "of"]).collect()} == pairs
     src, tgt, m = sinks.dense_matrix(similarity.tfidf_grid(a, b, ["the", "of"]))
     assert m[src.index("a1"), tgt.index("b1")] == pytest.approx(want["a1", "b1"], abs=1e-4)
 
@@ -178,6 +191,40 @@ def test_jobs(spark):
             providers.embeddings_of(bad, 1)
 
 
+def test_batch_jobs_label_and_embed(spark):
+    class Done:
+        state = "JOB_STATE_SUCCEEDED"
+
+        def __init__(self, responses):
+            self.responses = responses
+
+    made = providers.batch_embedder(lambda requests: requests, lambda job: Done([{"embedding": {"values": [len(r["content"]), 1.0]}} for r in job]))
+    assert made(["ab", ""]) == [[2, 1.0], [0, 1.0]] and made([]) == []
+
+    def load():
+        class Ended:
+            state = "JOB_STATE_SUCCEEDED"
+
+            def __init__(self, job):
+                text = lambda r: r["contents"][0]["parts"][0]["text"]
+                self.responses = [{"error": "refused"} if "no" in text(r) else {"response": {"text": f"It is {text(r)}"}} for r in job]
+
+        return providers.batch_labeller(lambda requests: requests, Ended)
+
+    pairs = spark.createDataFrame([(1, "a", "x", "overlap"), (2, "b", "x", "no equivalence"), (3, "c", "x", "equivalence")], "pair_id int, src_id string, tgt_id string, q string")
+    got = {r.src_id: r.predicted_rel for r in providers.label_all(pairs, F.col("q"), load, "m").collect()}
+    assert got == {"a": "OVERLAP", "b": "NO_RELATION", "c": "EQUIVALENCE"}
+
+
+def test_console_and_counts(spark):
+    lines = []
+    sinks.console(spark.createDataFrame([(1, 0.5)], "id int, score double"), "Top", show=lines.append)
+    assert lines == ["Top: id, score", "  1, 0.5000"]
+    df, seen = evaluation.counted(spark.range(10), "ten", even="id % 2 = 0")
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 10, "even": 5}
+
+
 def test_answers(spark):
     pairs = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "x"), (4, "d", "x")], "pair_id int, src_id string, tgt_id string")
     parts = '{"candidates": [{"content": {"parts": [{"text": "OVER"}, {"text": "LAP"}]}}]}'

@@ -32,4 +32,4 @@ def test_lexical_pairs_meet_on_terms(spark, name):
 
 def test_only_dense_vectors_and_models_use_python(spark):
     for name, f in catalog.QUERIES.items():
-        assert bool(re.search("Python|Pandas|MapInArrow", plan(f(spark, SF)))) == (name in ("cosine_pairs", "topk_pairs")), name
+        assert bool(re.search("Python|Pandas|InArrow", plan(f(spark, SF)))) == (name in ("cosine_pairs", "topk_pairs")), name
