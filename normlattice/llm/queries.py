@@ -36,7 +36,7 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_model")
 
 
-#: The rules of op4 and the hosts whose canonical URLs make its list.
+#: The rules of op4, the hosts whose canonical URLs make its list, and which of them: those whose MD5 starts below LISTED_SHARE.
 URL_RULES = [
     url_filter.Rule("net/", "block"),
     url_filter.Rule("example.net/en/", "allow"),
@@ -44,11 +44,12 @@ URL_RULES = [
     url_filter.Rule("org/fr/", "allow"),
 ]
 LISTED_HOSTS = r"(^|\.)(casino-win|free-bets|spam-farm|cheap-pills|adult-x|ads-track)\."
+LISTED_SHARE = "a"
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.filter(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS))
+    listed = pages.filter(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS) & (F.md5(F.col("url").cast("binary")) < LISTED_SHARE))
     return url_filter.judge(pages, listed, URL_RULES)
 
 
@@ -105,7 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op4_url_filters": url_filter.oracle_sql(URL_RULES, LISTED_HOSTS),
+        "op4_url_filters": url_filter.oracle_sql(URL_RULES, LISTED_HOSTS, LISTED_SHARE),
         "op8_warc_fixity": warc.ORACLE_SQL,
         "op9_quality_rules": quality_rules.ORACLE_SQL,
     }

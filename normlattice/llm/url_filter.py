@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import MAX_BROADCAST, ascii_lower, materialise
 
 #: Bits that a listed URL sets in its block.
 BITS = 4
@@ -20,8 +20,6 @@ BITS = 4
 PER_BLOCK = 4
 #: Blocks that are broadcast; a filter with more is joined by a shuffle.
 MAX_BROADCAST_BLOCKS = 1 << 20
-#: Rules are given in code and kept in the plan.
-MAX_RULES = 1000
 
 
 @dataclass(frozen=True)
@@ -62,10 +60,9 @@ def rule_for(host: Column, path: Column, rules: list[Rule]) -> Column:
     """The longest rule that fits, as a struct of its text and verdict; null where none does.
 
     Each suffix of the host is looked up in a map of the rules, so the cost of a row does not grow
-    with the number of rules. Of equally long rules that of the longer host wins.
+    with the number of rules, which are given in code and so are few. Of equally long rules that of
+    the longer host wins.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     by_host: dict[str, list[Rule]] = {}
     for r in rules:
         by_host.setdefault(r.host, []).append(r)
@@ -115,33 +112,48 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col: str =
 
     listed has a column url; its canonical form is what counts, nulls and repeats do not. A page
     without a rule gets listed_verdict if its canonical URL is listed, else the other verdict. A
-    null url or one without :// has an empty host and path and is allowed. Repeated rows stay.
+    null url or one without :// has an empty host and path and is allowed. Repeated rows stay. Empty
+    input: empty result. Other columns of pages are ignored.
     """
     other = {"block": "allow", "allow": "block"}[listed_verdict]
-    keys = listed.select(canonical(F.col("url")).alias("key")).filter("key is not null").distinct()
+    keys = materialise(listed.select(canonical(F.col("url")).alias("key")).filter("key is not null").distinct(), "listed")
     n = keys.count()
     blocks = blocks_for(n)
-    bits = bloom(keys, "key", blocks)
-    if blocks <= MAX_BROADCAST_BLOCKS:
-        bits = F.broadcast(bits)
+    bits = materialise(bloom(keys, "key", blocks), "bloom")
     url = F.col("url")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     rows = rows.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("key"))
     rows = rows.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
-    rows = rows.select("page_id", "host", "path", "fit.rule", F.col("fit.verdict").alias("ruled"), "key")
-    asked = rows.filter("rule is null and key is not null")
-    asked = asked.withColumn("block", block_of(F.col("key"), blocks)).withColumn("mask", mask_of(F.col("key"))).join(bits, "block", "left")
-    maybe = F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
-    out = lambda verdict: ("page_id", "host", "path", "rule", verdict.alias("verdict"))
-    ruled = rows.filter("rule is not null or key is null").select(*out(F.coalesce("ruled", F.lit("allow"))))
-    misses = asked.filter(~maybe).select(*out(F.lit(other)))
-    hits = asked.filter(maybe).join(keys.withColumn("hit", F.lit(True)), "key", "left")
-    hits = hits.select(*out(F.when(F.col("hit"), listed_verdict).otherwise(other)))
-    return ruled.unionByName(misses).unionByName(hits)
-
-
-def oracle_sql(rules: list[Rule], listing: str) -> str:
-    """DuckDB SQL of judge(pages, pages whose host matches listing, rules)."""
+    asked = F.when(F.col("fit.rule").isNull(), F.col("key"))
+    rows = rows.select("page_id", "host", "path", "fit.rule", F.col("fit.verdict").alias("ruled"), asked.alias("key"))
+    if blocks > MAX_BROADCAST_BLOCKS:
+        # pages are read once; those that ask nothing are kept aside, so that no null gathers them in one task
+        rows = materialise(rows, "asked")
+        quiet = rows.filter("key is null").withColumn("probe", F.lit(None).cast("string"))
+        rows = _probed(rows.filter("key is not null"), bits, blocks).unionByName(quiet)
+    else:
+        rows = _probed(rows, F.broadcast(bits), blocks)
+    verdict = F.coalesce("ruled", F.when(F.col("hit"), listed_verdict).when(F.col("key").isNull(), "allow").otherwise(other))
+    hits = keys.select(F.col("key").alias("probe"), F.lit(True).alias("hit"))
+    if n <= MAX_BROADCAST:
+        rows = rows.join(F.broadcast(hits), "probe", "left")
+    else:
+        rows = materialise(rows, "probed")
+        quiet = rows.filter("probe is null").withColumn("hit", F.lit(None).cast("boolean"))
+        rows = rows.filter("probe is not null").join(hits, "probe", "left").unionByName(quiet)
+    return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+
+
+def _probed(rows: DataFrame, bits: DataFrame, blocks: int) -> DataFrame:
+    """rows with probe: the key where the filter may have it, else null. Only those go on to the exact join."""
+    key = F.col("key")
+    rows = rows.withColumn("block", block_of(key, blocks)).withColumn("mask", mask_of(key)).join(bits, "block", "left")
+    maybe = key.isNotNull() & (F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
+    return rows.withColumn("probe", F.when(maybe, key)).drop("block", "mask", "bits")
+
+
+def oracle_sql(rules: list[Rule], listing: str, share: str) -> str:
+    """DuckDB SQL of judge(pages, pages whose host matches listing and whose url's MD5 starts below share, rules)."""
     table = ", ".join(f"('{r.text}', '{r.host}', '{r.path}', '{r.verdict}')" for r in rules)
     return rf"""
 WITH rules(rule, h, p, v) AS (VALUES {table}),
@@ -157,7 +169,7 @@ pg AS (
             || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS key
   FROM pg
 ), listed AS (
-  SELECT DISTINCT key FROM c WHERE regexp_matches(host, '{listing}') AND key IS NOT NULL
+  SELECT DISTINCT key FROM c WHERE regexp_matches(host, '{listing}') AND md5(url) < '{share}' AND key IS NOT NULL
 ), fit AS (
   SELECT page_id, url, rule, v, row_number() OVER (PARTITION BY page_id, url ORDER BY length(rule) DESC, length(h) DESC) AS n
   FROM c JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)

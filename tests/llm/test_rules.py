@@ -61,6 +61,8 @@ def test_hosts_with_failing_documents_go(spark, monkeypatch, broadcast):
     judged = docs.withColumn("bad", F.col("text") == "bad")
     shrunk = {r.host: r.shrunk for r in quality_rules.host_rates(judged, "source", "bad").collect()}
     assert shrunk["tiny"] < 0.8 < shrunk["spam"]
+    rated = {r.doc_id: r.host_rate for r in quality_rules.judge(docs).collect()}
+    assert rated[500] == round(shrunk["spam"], 6) and rated[501] is None and rated[502] == round(shrunk["tiny"], 6)
 
 
 RULES = [url_filter.Rule("net/", "block"), url_filter.Rule("example.net/en/", "allow"), url_filter.Rule("example.com/de/", "block"), url_filter.Rule("org/fr/", "allow")]
@@ -90,14 +92,14 @@ def brute_rule(url):
     return host, path, best and best.text, best and best.verdict
 
 
-def test_rules_and_list(spark):
+def test_rules_and_list(spark, monkeypatch):
     rows = [*enumerate(URLS), (None, URLS[8]), (8, URLS[8])]
     pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 as host", "2 as key", "3 as block")
     listed = spark.createDataFrame([("http://b.example.com/p?b=2&a=1",), (None,), ("http://b.example.com/p?b=2&a=1",), ("junk",)], "url string")
-    for blocks in (url_filter.MAX_BROADCAST_BLOCKS, 0):
-        url_filter.MAX_BROADCAST_BLOCKS, old = blocks, url_filter.MAX_BROADCAST_BLOCKS
+    for blocks, keys in ((url_filter.MAX_BROADCAST_BLOCKS, url_filter.MAX_BROADCAST), (0, 0)):
+        monkeypatch.setattr(url_filter, "MAX_BROADCAST_BLOCKS", blocks)
+        monkeypatch.setattr(url_filter, "MAX_BROADCAST", keys)
         got = url_filter.judge(pages, listed, RULES).collect()
-        url_filter.MAX_BROADCAST_BLOCKS = old
         assert len(got) == len(rows)
         for r in got:
             k = 8 if r.page_id is None else r.page_id
@@ -111,8 +113,8 @@ def test_rules_and_list(spark):
 def test_filter_has_no_false_negatives(spark):
     keys = spark.range(3000).selectExpr("concat('k', id) as key")
     bits = url_filter.bloom(keys, "key", 1024)
-    mask = url_filter._mask(F.col("key"))
-    hit = lambda k: k.withColumn("block", url_filter._block(F.col("key"), 1024)).join(bits, "block").filter(F.col("bits").bitwiseAND(mask) == mask).count()
+    mask = url_filter.mask_of(F.col("key"))
+    hit = lambda k: k.withColumn("block", url_filter.block_of(F.col("key"), 1024)).join(bits, "block").filter(F.col("bits").bitwiseAND(mask) == mask).count()
     assert hit(keys) == 3000
     assert hit(spark.range(3000, 6000).selectExpr("concat('k', id) as key")) < 600
 
