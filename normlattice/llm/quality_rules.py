@@ -113,7 +113,7 @@ def rejected_hosts(judged: DataFrame, host: str, failed: str) -> DataFrame:
 
 
 def _join_hosts(rows: DataFrame, host: str, bad: DataFrame, how: str) -> DataFrame:
-    """rows joined with the rejected hosts (host first in bad) without a task for each host.
+    """rows joined with hosts (host first in bad) without a task for each host.
 
     The hosts are counted: few are broadcast, many repeated for each salt that a host's rows are dealt to.
     """
@@ -129,21 +129,27 @@ def _join_hosts(rows: DataFrame, host: str, bad: DataFrame, how: str) -> DataFra
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per row of docs: (doc_id, the counts, base_failed, kept).
+    """One row per row of docs: (doc_id, the counts, base_failed, kept, host_rate).
 
-    kept is false where the base rule fails or the document's host is rejected; a document without
-    a host depends on the base rule alone. Repeated rows count each. Empty input: empty result.
+    host_rate is the shrunk share of the host's documents that fail. kept is false where the base
+    rule fails or the host is rejected; a document without a host has no rate and depends on the
+    base rule alone. A null text has no word. Repeated rows count each. Empty input: empty result.
+    Other columns of docs are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     rows = features(rows).select("doc_id", "host", "features.*", "base_failed")
     rows = materialise(rows, "judged")
-    bad = rejected_hosts(rows, "host", "base_failed").withColumnRenamed("host", "bad_host")
-    kept = ~F.col("base_failed") & F.col("bad_host").isNull()
-    return _join_hosts(rows, "host", bad, "left").select("doc_id", *FEATURES, "base_failed", kept.alias("kept"))
+    rates = host_rates(rows, "host", "base_failed").select(F.col("host").alias("rated_host"), "shrunk")
+    kept = ~F.col("base_failed") & ~F.coalesce(F.col("shrunk") > HOST_LIMIT, F.lit(False))
+    out = _join_hosts(rows, "host", rates, "left")
+    return out.select("doc_id", *FEATURES, "base_failed", kept.alias("kept"), F.round("shrunk", 6).alias("host_rate"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """docs without the documents that the rules reject."""
+    """docs without the documents that the rules reject, by the rule of judge().
+
+    Nulls and repeated rows are treated as there. Empty input: empty result.
+    """
     pre = fresh(docs, "_rule_")
     rows = materialise(features(docs, text_col, pre).drop(f"{pre}features"), "judged")
     bad = rejected_hosts(rows, host_col, f"{pre}base_failed").withColumnRenamed("host", f"{pre}host")
@@ -182,10 +188,10 @@ WITH w AS (
   SELECT avg(k / n) AS m, var_samp(k / n) AS v FROM host
 ), prior AS (
   SELECT m, CASE WHEN v > 0 THEN greatest(2.0, least(1e6, m * (1 - m) / v - 1)) ELSE 1e6 END AS s FROM m
-), bad AS (
-  SELECT source FROM host, prior WHERE (k + m * s) / (n + s) > 0.8
+), rate AS (
+  SELECT source, (k + m * s) / (n + s) AS r FROM host, prior
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AS kept
-FROM b
+       NOT base_failed AND coalesce(r <= 0.8, TRUE) AS kept, round(r, 6) AS host_rate
+FROM b LEFT JOIN rate ON rate.source = b.source
 """
