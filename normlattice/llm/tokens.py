@@ -1,14 +1,13 @@
 """Token counts with a public tokenizer, in bounded memory whatever the length of a text.
 
-The byte-level pattern never matches across a place where a character that is no white space is
-followed by one that is: such a place is a token boundary whatever stands around it, so the tokens
-on its two sides don't depend on each other. Two things use that:
+A text is encoded in overlapping chunks with offsets. Two chunks are spliced at a stable place
+inside their overlap, where both have a token boundary and agree on the tokens that follow. Where
+they don't, the overlap is widened, and in the end the chunk.
 
-* Texts of at most CHUNK characters are cut there into pieces; a piece is encoded by the library
-  once and then remembered.
-* Longer texts are encoded in overlapping chunks with offsets. Two chunks are spliced at such a
-  place inside their overlap, where both have a token boundary and agree on the tokens that
-  follow; an overlap without one is widened, in the end to the rest of the text.
+A place is stable if the byte-level pattern can't match across it, whatever stands around: between
+a character that is no white space and one that is, and in ASCII between letters, digits and other
+characters, but not from a white space to what follows nor from an apostrophe to a letter, which
+can be one match. So the tokens on the two sides of a stable place don't depend on each other.
 
 A tokenizer with another pattern encodes each text in one call.
 """
@@ -24,16 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 65_536
-OVERLAP = 512
-#: Pieces that a worker remembers before it starts anew.
-MEMO = 600_000
+#: Characters of a chunk, and of its overlap with the next one.
+CHUNK, OVERLAP = 1024, 96
+#: Characters at the ends of an overlap whose tokens may lack what stands around; no added token is as long.
+MARGIN = 24
 LIMIT = 1024
 
 #: Unicode's White_Space, as the library's pattern has it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-_STABLE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
+_OTHER = r"!-/:-@\[-`{-~"
+_STABLE = re.compile(
+    f"(?<=[^{WHITE}])(?=[{WHITE}])|(?<=[A-Za-z])(?=[0-9{_OTHER}])|(?<=[0-9])(?=[A-Za-z{_OTHER}])"
+    f"|(?<=[{_OTHER}])(?=[0-9])|(?<=[{_OTHER}])(?<!')(?=[A-Za-z])"
+)
 
 
 class Counter:
@@ -41,19 +43,18 @@ class Counter:
 
     _own: dict[str, Counter] = {}
 
-    def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP, memo: int = MEMO):
+    def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.chunk, self.overlap, self.memo_size = Tokenizer.from_file(path), chunk, overlap, memo
+        self.tokenizer, self.chunk, self.overlap = Tokenizer.from_file(path), chunk, overlap
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        plain = [a for a in spec.get("added_tokens", []) if a["lstrip"] or a["rstrip"] or a["single_word"] or re.search(f"[{WHITE}]", a["content"])]
-        self.splits = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not plain
-        self.memo: dict[str, int] = {}
+        pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
+        odd = [a for a in added if a["lstrip"] or a["rstrip"] or a["single_word"] or len(a["content"]) >= MARGIN]
+        self.splits = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not odd
 
     @classmethod
     def of(cls, path: str) -> Counter:
@@ -67,65 +68,66 @@ class Counter:
     def count(self, text: str) -> int:
         if not self.splits:
             return len(self._encode(text))
-        if len(text) > self.chunk:
-            return sum(1 for part in self.spliced(text) for _ in part)
-        pieces, memo = _PIECES.findall(text), self.memo
-        try:
-            return sum(map(memo.__getitem__, pieces))
-        except KeyError:
-            if len(memo) > self.memo_size:
-                memo.clear()
-            new = [x for x in set(pieces) if x not in memo]
-            memo.update(zip(new, map(len, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            return sum(map(memo.__getitem__, pieces))
-
-    def spliced(self, text: str) -> Iterator[list[int]]:
-        """The ids of a text in parts, from overlapping chunks."""
-        at, end, skip = 0, min(len(text), self.chunk), 0
+        return sum(n for n, _ in self.spliced(text))
+
+    def ids(self, text: str) -> list[int]:
+        return [x for _, part in self.spliced(text) for x in part()]
+
+    def spliced(self, text: str):
+        """(number, function that gives the ids) of a text's tokens in parts, from overlapping chunks.
+
+        At most two chunks are held. A chunk is widened by doubling, so the work stays in proportion
+        to the text where no place is stable.
+        """
+        at, end, skip, done = 0, min(len(text), self.chunk), 0, 0
         left = self._encode(text[at:end])
         while end < len(text):
             overlap, cut = self.overlap, None
             while cut is None:
                 begin = max(at, end - overlap)
+                if begin == at:  # no overlap within the chunk aligns: a chunk twice as wide
+                    end = min(len(text), at + 2 * (end - at))
+                    left, overlap = self._encode(text[at:end]), self.overlap
+                    if end == len(text):
+                        break
+                    continue
                 until = min(len(text), begin + max(self.chunk, 2 * overlap))
                 right = self._encode(text[begin:until])
-                cut = self._splice(text, left, at, end, right, begin)
-                if cut is None:  # alignment failed: a wider overlap, then a wider chunk
-                    if begin == at:
-                        end = min(len(text), end + self.chunk)
-                        left = self._encode(text[at:end])
-                        if end == len(text):
-                            yield left.ids[skip:]
-                            return
-                    overlap *= 2
-            i, j = cut
-            yield left.ids[skip:i]
+                cut = self._splice(text, left, at, end, right, begin, done)
+                overlap *= 2
+            if cut is None:
+                break
+            i, j, done = cut
+            yield i - skip, lambda left=left, skip=skip, i=i: left.ids[skip:i]
             left, at, end, skip = right, begin, until, j
-        yield left.ids[skip:]
-
-    def _splice(self, text, left, at, end, right, begin) -> tuple[int, int] | None:
-        """Tokens of left before, and of right before, a stable common boundary of both."""
-        places = [m.start() for m in _STABLE.finditer(text, begin + 1, end - 1) if m.start() > begin]
-        starts, others = [a for a, _ in left.offsets], [a for a, _ in right.offsets]
-        for p in reversed(places[: max(1, len(places) // 2)]):
-            i, j = _before(starts, p - at), _before(others, p - begin)
-            k = _before(starts, end - at - 64) - i  # the left chunk's last tokens may lack what follows
-            if left.ids[i : i + max(0, k)] == right.ids[j : j + max(0, k)]:
-                return i, j
+        yield len(left) - skip, lambda left=left, skip=skip: left.ids[skip:]
+
+    def _splice(self, text, left, at, end, right, begin, done) -> tuple[int, int, int] | None:
+        """Tokens of left before, and of right before, a stable boundary of both after done whose followers agree; its place."""
+        sure = end - MARGIN
+        places = [m.start() for m in _STABLE.finditer(text, max(begin + MARGIN, done + 1), sure)]
+        for p in reversed(places):
+            i, j = left.char_to_token(p - at), right.char_to_token(p - begin)
+            if i is None or j is None or left.token_to_chars(i)[0] != p - at or right.token_to_chars(j)[0] != p - begin:
+                continue
+            # a character of several tokens: the first of them
+            while i and left.token_to_chars(i - 1)[0] == p - at:
+                i -= 1
+            while j and right.token_to_chars(j - 1)[0] == p - begin:
+                j -= 1
+            k = left.char_to_token(sure - at)
+            n = (k - i) if k is not None else 1
+            if left.ids[i : i + n] == right.ids[j : j + n]:
+                return i, j, p
         return None
 
 
-def _before(starts: list[int], p: int) -> int:
-    from bisect import bisect_left
-
-    return bisect_left(starts, p)
-
-
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: (doc_id, n_bytes, n_tokens, over_limit).
 
     tokenizer: the path of a .json file of the tokenizers library, on every executor. A null text
-    counts as empty and has no token. Repeated rows stay. Empty input: empty result.
+    counts as empty and has no token. Repeated rows stay. Empty input: empty result. Texts of any
+    length take the same way; other columns of docs are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
