@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .tokens import WHITE
 
 #: Words that a worker remembers before it starts anew; longer ones are not remembered.
-MEMO, MEMO_CHARS = 600_000, 64
+MEMO, MEMO_CHARS = 100_000, 64
 
 
 @lru_cache(1)
@@ -128,7 +128,7 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a text; special strings in it become special tokens, none is added."""
-        if self._cut is None or "<|" not in text:
+        if not any(x in text for x in self.special):
             return np.frombuffer(self._plain(text), "<u4")
         parts = self._cut.split(text)
         raw = [np.array([self.special[x]], "<u4").tobytes() if i % 2 else self._plain(x) for i, x in enumerate(parts)]

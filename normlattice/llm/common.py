@@ -2,49 +2,24 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import MAX_BROADCAST, materialise, scratch_dir, small  # noqa: F401
+
 #: Bytes that separate words, as a Java character class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; only a local session may go without."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not re.match(r"local($|\[)", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not getattr(spark, "_own_scratch", None):
-        spark._own_scratch = tempfile.mkdtemp(prefix="scratch-")
-    return "file://" + spark._own_scratch
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet in the scratch folder and read again: lineage ends there.
-
-    The files stay until the job's owner clears the scratch folder, as with checkpoint().
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Rows of one to a few numbers that are broadcast; more are joined by a shuffle.
-MAX_BROADCAST = 400_000
+#: Rows of an Arrow batch in the pipeline: its workers hold a batch and what they make of it.
+BATCH_ROWS = 2000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, marked for a broadcast if it has at most MAX_BROADCAST rows, which are counted."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on a worker of this session gets at most BATCH_ROWS texts at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
+from normlattice import session
 from normlattice.llm import common, set_join, simhash
 
 
@@ -42,8 +43,9 @@ def test_components_match_brute_force(spark, monkeypatch, tight):
     if tight:  # hot shingles, components in blocks, joins by a shuffle
         monkeypatch.setattr(set_join, "HOT", 4)
         monkeypatch.setattr(set_join, "CLUSTER_SETS", 3)
-        for m in (common, simhash):
+        for m in (common, simhash, session):
             monkeypatch.setattr(m, "MAX_BROADCAST", 3)
+        monkeypatch.setattr(session.small, "__defaults__", (3,))
     texts = made(np.random.default_rng(3))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got, want = {}, {}
