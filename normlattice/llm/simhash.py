@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import set_join, url_filter
-from .common import MAX_BROADCAST, connected_components, fresh, materialise, small, texts
+from .common import connected_components, fresh, materialise, small, texts
 
 SEED = 42
 BUDGET = 4
@@ -269,22 +269,6 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return named.select("doc_id", "text_hash", F.coalesce("root", "key").alias("root"))
 
 
-def _without(rows: DataFrame, gone: DataFrame, same: Column, key: str, gone_key: str) -> DataFrame:
-    """rows without those that go. A longer list than a broadcast holds is met by what passes its Bloom filter alone."""
-    n = gone.count()
-    if n <= MAX_BROADCAST:
-        return rows.join(F.broadcast(gone), same, "left_anti")
-    blocks = url_filter.blocks_for(n)
-    if blocks > url_filter.MAX_BROADCAST_BLOCKS:
-        return rows.join(gone, same, "left_anti")
-    block, bits = fresh(rows, "_block"), fresh(rows, "_bits")
-    mask = url_filter.mask_of(F.col(key))
-    asked = rows.withColumn(block, url_filter.block_of(F.col(key), blocks))
-    asked = asked.join(F.broadcast(url_filter.bloom(gone, gone_key, blocks).toDF(block, bits)), block, "left")
-    maybe = F.coalesce(F.col(bits).bitwiseAND(mask) == mask, F.lit(False))
-    return asked.filter(~maybe).unionByName(asked.filter(maybe).join(gone, same, "left_anti"))
-
-
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, width: int = SHINGLE, exact: bool = False) -> DataFrame:
     """docs without its near-duplicates: of each component the row with the smallest doc_id stays.
 
@@ -301,7 +285,7 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gone = named.join(small(first.filter("n > 1")), "root").filter(~same)
     gone = materialise(gone.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(f"{h}h")).distinct(), "gone")
     hashed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
-    kept = _without(hashed, gone, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(h) == F.col(f"{h}h")), h, f"{h}h")
+    kept = url_filter.without(hashed, gone, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(h) == F.col(f"{h}h")), h, f"{h}h")
     if not named.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
         kept = kept.withColumn(at, F.row_number().over(Window.partitionBy(id_col, h).orderBy(h))).filter(F.col(at) == 1)
     return kept.select(*docs.columns)

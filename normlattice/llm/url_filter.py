@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST, ascii_lower, materialise
+from .common import MAX_BROADCAST, ascii_lower, fresh, materialise
 
 #: Bits that a listed URL sets in its block.
 BITS = 4
@@ -107,6 +107,22 @@ def bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
     return rows.groupBy("block").agg(F.bit_or("mask").alias("bits"))
 
 
+def without(rows: DataFrame, gone: DataFrame, same: Column, key: str, gone_key: str) -> DataFrame:
+    """rows without those that go. A longer list than a broadcast holds is met by what passes its Bloom filter alone."""
+    n = gone.count()
+    if n <= MAX_BROADCAST:
+        return rows.join(F.broadcast(gone), same, "left_anti")
+    blocks = blocks_for(n)
+    if blocks > MAX_BROADCAST_BLOCKS:
+        return rows.join(gone, same, "left_anti")
+    block, bits = fresh(rows, "_block"), fresh(rows, "_bits")
+    mask = mask_of(F.col(key))
+    asked = rows.withColumn(block, block_of(F.col(key), blocks))
+    asked = asked.join(F.broadcast(bloom(gone, gone_key, blocks).toDF(block, bits)), block, "left")
+    maybe = F.coalesce(F.col(bits).bitwiseAND(mask) == mask, F.lit(False))
+    return asked.filter(~maybe).unionByName(asked.filter(maybe).join(gone, same, "left_anti"))
+
+
 def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", listed_verdict: str = "block") -> DataFrame:
     """One row per row of pages: (page_id, host, path, rule, verdict).
 

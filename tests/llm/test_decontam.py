@@ -1,5 +1,6 @@
 import numpy as np
 
+from normlattice import session
 from normlattice.llm import decontam
 
 
@@ -58,10 +59,44 @@ def test_copies_edited_copies_and_quotations(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted([*range(30, 34), *range(40, 44), 90, 91])
 
 
-def test_several_blocks_find_the_same(spark, monkeypatch):
+def test_equals_an_alignment_of_all_pairs(spark):
+    docs, bench = make(spark)
+    want = []
+    for d in docs.collect():
+        for it in bench.collect():
+            own, words = (decontam.WORD.findall((x or "").lower()) for x in (it.text, d.text))
+            if own and words:
+                number = {w: i + 1 for i, w in enumerate(dict.fromkeys(own))}
+                score, _, _ = decontam.align(np.array([number[w] for w in own]), np.array([number.get(w, 0) for w in words]))
+                if score >= decontam.least_score(len(own)) * 2 * len(own):
+                    want.append((d.doc_id, it.item_id, round(score / (2 * len(own)), 9)))
+    got = [(r.doc_id, r.item_id, round(r.score, 9)) for r in decontam.find_copies(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_recall_of_edited_items():
+    """30 % of the words replaced, lost or followed by another, in texts of like words."""
+    rng = np.random.default_rng(17)
+    found = []
+    for _ in range(300):
+        item = rng.integers(1, 3000, rng.integers(24, 60)).astype(np.uint64)
+        copy = []
+        for w in item:
+            how = rng.integers(0, 3) if rng.random() < 0.3 else 3
+            copy += [[rng.integers(1, 3000)], [], [w, rng.integers(1, 3000)], [w]][how]
+        text = np.array([*rng.integers(1, 3000, 100), *copy, *rng.integers(1, 3000, 100)], np.uint64)
+        places = np.arange(len(item) - 2)
+        found.append(decontam.aligned(text, item, places, decontam.grams(text, 3), decontam.MIN_SCORE) is not None)
+    assert np.mean(found) >= 0.9, np.mean(found)
+
+
+def test_joins_by_shuffle_find_the_same(spark, monkeypatch):
     docs, bench = make(spark)
     one = sorted(map(str, decontam.find_copies(docs, bench).collect()))
-    monkeypatch.setattr(decontam, "BLOCK_CHARS", 150)
+    monkeypatch.setattr(decontam, "MAX_BROADCAST", 5)
+    monkeypatch.setattr(decontam, "BROADCAST_CHARS", 0)
+    monkeypatch.setattr(decontam, "MAX_BLOCKS", 16)
+    monkeypatch.setattr(session.small, "__defaults__", (3,))
     assert sorted(map(str, decontam.find_copies(docs, bench).collect())) == one
 
 

@@ -3,7 +3,7 @@ import pytest
 
 import corpus_pipeline as pipeline
 from normlattice import session
-from normlattice.llm import common, set_join, simhash
+from normlattice.llm import common, set_join, simhash, url_filter
 
 
 def grams(text):
@@ -43,7 +43,7 @@ def test_components_match_brute_force(spark, monkeypatch, tight):
     if tight:  # hot shingles, components in blocks, joins by a shuffle
         monkeypatch.setattr(set_join, "HOT", 4)
         monkeypatch.setattr(set_join, "CLUSTER_SETS", 3)
-        for m in (common, simhash, session):
+        for m in (common, url_filter, session):
             monkeypatch.setattr(m, "MAX_BROADCAST", 3)
         monkeypatch.setattr(session.small, "__defaults__", (3,))
     texts = made(np.random.default_rng(3))
@@ -58,7 +58,7 @@ def test_components_match_brute_force(spark, monkeypatch, tight):
 
 @pytest.mark.parametrize("listed", [common.MAX_BROADCAST, 0])
 def test_stage_links_edited_copies(spark, monkeypatch, listed):
-    monkeypatch.setattr(simhash, "MAX_BROADCAST", listed)  # 0: by the Bloom filter
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST", listed)  # 0: by the Bloom filter
     rng = np.random.default_rng(8)
     word = lambda: "".join(chr(97 + i) for i in rng.integers(0, 26, 6))
     rows = []
