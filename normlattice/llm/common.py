@@ -43,20 +43,19 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
-    """rows (a, b) with m of their node's row (a, m, n): no task gets the rows of a node with many edges.
+def join_unique(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with a table of one row for each key and n, the rows that have it: no task gets those of a frequent key.
 
-    Few nodes are broadcast. Else the nodes with more than 1 / MAX_BROADCAST of all edges are, which
-    are fewer than that, and the others are joined by a shuffle.
+    A small table is broadcast. Else the keys with more than 1 / MAX_BROADCAST of all rows are,
+    which are fewer than that, and the others are joined by a shuffle.
     """
-    least = materialise(least, "least")
-    n, edges = least.agg(F.count("*"), F.sum("n")).first()
-    if n <= MAX_BROADCAST:
-        return rows.join(F.broadcast(least), "a")
-    hub = F.col("n") > edges / MAX_BROADCAST
-    hubs = F.broadcast(least.filter(hub))
-    plain = rows.join(hubs, "a", "left_anti").join(least.filter(~hub), "a")
-    return rows.join(hubs, "a").unionByName(plain)
+    count, total = table.agg(F.count("*"), F.sum("n")).first()
+    if count <= MAX_BROADCAST:
+        return rows.join(F.broadcast(table.drop("n")), key)
+    hot = F.col("n") > total / MAX_BROADCAST
+    often = F.broadcast(table.filter(hot).drop("n"))
+    plain = rows.join(often.select(key), key, "left_anti").join(table.filter(~hot).drop("n"), key)
+    return rows.join(often, key).unionByName(plain)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -73,11 +72,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # large star: every larger neighbour of a node goes to the node's smallest neighbour
         both = e.select("a", "b").union(e.select(F.col("b"), F.col("a")).toDF("a", "b"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = materialise(least, "least")
+        large = join_unique(both.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: a node's smaller neighbours and itself go to the smallest of them
         large = materialise(large.filter("a <> b").distinct(), "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small_star = _with_least(large, least).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = materialise(least, "least")
+        small_star = join_unique(large, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = materialise(small_star.union(least.select("a", "m").toDF("a", "b")).filter("a <> b").distinct(), "edges")
         before, now = now, _state(e)
     star = e.toDF("node", "root")

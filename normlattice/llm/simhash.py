@@ -7,8 +7,9 @@ is joined with itself: node pairs descend together one bit at a time, differing
 a pair is pruned when they exceed the budget. Every pair of fingerprints within the budget shares a
 unit in some trie, so no link is lost. A unit keeps links enough to span its components.
 
-Units with more than UNIT_ROWS fingerprints are split: the next bits name child nodes, and each
-pair of children within the budget is a unit of its own.
+The same holds of the other bits of a unit: one with more than UNIT_ROWS fingerprints is split by
+pairs of six blocks of these, which agree in 14 bits more, and once again, in 10 more. What is left
+differs in 20 bits at most, so a worker holds at most 2 ** 20 fingerprints of a unit, whatever the input.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import set_join, url_filter
-from .common import connected_components, fresh, materialise, small, texts
+from .common import connected_components, fresh, join_unique, materialise, small, texts
 
 SEED = 42
 BUDGET = 4
@@ -32,9 +33,9 @@ BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Bits at least that the fingerprints of a unit have in common.
 AGREED = 20
 TABLES = tuple(combinations(range(len(BLOCKS)), 2))
-#: Fingerprints in a unit before it is split by more bits of the trie.
+#: Fingerprints in a unit before it is split by more blocks, and the widths of these blocks of what is left of the bits.
 UNIT_ROWS = 8192
-MAX_SPLIT_BITS = 12
+SPLITS = ((8, 8, 7, 7, 7, 7), (5, 5, 5, 5, 5, 5))
 #: Node pairs that a task expands at once; more wait on a stack.
 FRONTIER = 1 << 19
 
@@ -154,24 +155,17 @@ def _spanning(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndar
     return root
 
 
-def join_units(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that span the components of each unit. Rows of one unit stand together.
-
-    A unit's table is its lowest 4 bits. side 0 and 1: the two child nodes of a split unit; 2: all one node.
-    """
+def join_units(unit: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that span the components of each unit. Rows of one unit stand together; its table is its lowest 4 bits."""
     keys = _reorder(fp, (unit & 15).astype(np.int64))
-    start = np.append(True, unit[1:] != unit[:-1])
-    group = np.cumsum(start) - 1
-    order = np.lexsort((keys, side, group))
-    keys, fp, side, group = keys[order], fp[order], side[order], group[order]
+    group = np.cumsum(np.append(True, unit[1:] != unit[:-1])) - 1
+    order = np.lexsort((keys, group))
+    keys, fp, group = keys[order], fp[order], group[order]
     lo = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     hi = np.append(lo[1:], len(keys))
-    mid = lo + np.bincount(group, weights=side == 0, minlength=len(lo)).astype(np.int64)
-    whole = side[lo] == 2
-    a, b = lo, np.where(whole, hi, mid)
-    c, e = np.where(whole, lo, mid), hi
-    ok = (a < b) & (c < e) & ~(whole & (hi - lo < 2))
-    root = _spanning(len(keys), _links(keys, (a[ok], b[ok], c[ok], e[ok]), AGREED, budget))
+    ok = hi - lo > 1
+    lo, hi = lo[ok], hi[ok]
+    root = _spanning(len(keys), _links(keys, (lo, hi, lo, hi), AGREED, budget))
     far = fp[root] != fp
     return fp[root][far], fp[far]
 
@@ -186,50 +180,51 @@ def _run_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        unit, side, fp = (batch.column(i).to_numpy() for i in range(3))
+        unit, fp = (batch.column(i).to_numpy() for i in range(2))
         fp = fp.view(np.uint64)
         last = int(np.flatnonzero(unit != unit[-1])[-1]) + 1 if unit[0] != unit[-1] else 0
         if last:
-            yield emit([*held, (unit[:last], side[:last], fp[:last])])
+            yield emit([*held, (unit[:last], fp[:last])])
             held = []
         elif held and held[0][0][-1] != unit[0]:
             yield emit(held)
             held = []
-        held.append((unit[last:], side[last:], fp[last:]))
+        held.append((unit[last:], fp[last:]))
     if held:
         yield emit(held)
 
 
-def _block(fp: Column, i: int) -> Column:
-    first, wide = BLOCKS[i]
-    return F.shiftrightunsigned(fp, 64 - first - wide).bitwiseAND(F.lit((1 << wide) - 1))
+def _tables(bits: Column, widths: tuple[int, ...]) -> Column:
+    """A struct (t, key, rest) for each two of the blocks of these widths: their bits, and the others'."""
+    ends = np.cumsum(widths)
+    at = [int(ends[-1] - e) for e in ends]
+    block = [F.shiftrightunsigned(bits, a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in zip(at, widths, strict=True)]
+
+    def joined(which) -> Column:
+        out = F.lit(0).cast("long")
+        for i in which:
+            out = F.shiftleft(out, widths[i]).bitwiseOR(block[i])
+        return out
+
+    others = lambda pair: [i for i in range(len(widths)) if i not in pair]
+    return F.array(*(F.struct(F.lit(t).cast("long").alias("t"), joined(p).alias("key"), joined(others(p)).alias("rest")) for t, p in enumerate(combinations(range(len(widths)), 2))))
 
 
 def near_links(prints: DataFrame, budget: int = BUDGET, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """(a, b): links that span the components of the distinct prints (fp) within the budget."""
-    fp = F.col("fp")
-    tables = []
-    for t, (i, j) in enumerate(TABLES):
-        key = F.shiftleft(_block(fp, i), BLOCKS[j][1]).bitwiseOR(_block(fp, j))
-        rest = [k for k in range(len(BLOCKS)) if k not in (i, j)]
-        tables.append(F.struct(F.lit(t).alias("t"), key.alias("key"), _block(fp, rest[0]).alias("next"), F.lit(BLOCKS[rest[0]][1]).alias("wide")))
-    keyed = prints.select("fp", F.inline(F.array(*tables)))
-    unit = F.shiftleft(F.col("key"), 28).bitwiseOR(F.col("t").cast("long"))
-    crowded = materialise(keyed.groupBy("t", "key").count().filter(F.col("count") > unit_rows), "crowded")
-    plain = keyed
+    rows = prints.select("fp", F.inline(_tables(F.col("fp"), tuple(w for _, w in BLOCKS))))
+    rows = rows.select("fp", "rest", F.shiftleft(F.xxhash64("t", "key"), 4).bitwiseOR(F.col("t")).alias("unit"))
     parts = []
-    if not crowded.isEmpty():
-        plain = keyed.join(crowded, ["t", "key"], "left_anti")
-        bits = F.least(F.col("wide"), F.lit(MAX_SPLIT_BITS), F.ceil(F.log2(F.col("count") / unit_rows)).cast("int") + 3)
-        full = keyed.join(crowded, ["t", "key"]).withColumn("bits", bits)
-        node = F.expr("cast(shiftrightunsigned(next, wide - bits) as int)")
-        full = full.withColumn("node", node).withColumn("peer", F.explode(F.sequence(F.lit(0), F.expr("cast(shiftleft(1, bits) as int) - 1"))))
-        full = full.filter(F.bit_count(F.col("node").bitwiseXOR(F.col("peer"))) <= budget)
-        pair = F.shiftleft(F.least("node", "peer").cast("long"), 16).bitwiseOR(F.shiftleft(F.greatest("node", "peer").cast("long"), 4))
-        side = F.when(F.col("node") == F.col("peer"), 2).when(F.col("node") < F.col("peer"), 0).otherwise(1)
-        parts.append(full.select(unit.bitwiseOR(pair).alias("unit"), side.cast("byte").alias("side"), "fp"))
-    parts.append(plain.select(unit.alias("unit"), F.lit(2).cast("byte").alias("side"), "fp"))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    for widths in SPLITS:
+        crowded = materialise(rows.groupBy("unit").count().filter(F.col("count") > unit_rows).select("unit"), "crowded")
+        if crowded.isEmpty():
+            break
+        parts.append(rows.join(small(crowded), "unit", "left_anti"))
+        own = F.shiftleft(F.xxhash64("unit", "t", "key"), 4).bitwiseOR(F.col("unit").bitwiseAND(F.lit(15)))
+        rows = rows.join(small(crowded), "unit").select("fp", "unit", F.inline(_tables(F.col("rest"), widths))).select("fp", "rest", own.alias("unit"))
+    for part in parts:
+        rows = rows.unionByName(part)
+    rows = rows.select("unit", "fp")
     return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_run_units, "a long, b long")
 
 
@@ -242,11 +237,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows stay repeated. Empty input: empty result. Other columns of docs are ignored.
     """
     rows = materialise(fingerprints(docs, id_col, text_col, width), "prints")
-    kinds = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "kinds")
+    kinds = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "kinds")
     roots = connected_components(near_links(kinds.select("fp"), budget)).toDF("fp", "root")
-    rooted = kinds.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(rooted.join(least, "root"), "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
+    rooted = materialise(kinds.join(small(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    # n: the prints of a component, then the rows of a print
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    named = join_unique(rooted.withColumnRenamed("n", "rows"), materialise(least, "least"), "root").withColumnRenamed("rows", "n")
+    named = materialise(named.select("fp", "root", "component_id", "n"), "named-prints")
+    return join_unique(rows, named, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = set_join.SHINGLE, budget: int = BUDGET) -> DataFrame:
