@@ -66,6 +66,21 @@ def test_matches_brute_force(spark, monkeypatch, hot):
     assert got(suffix_dedup.dedup(docs)) == wanted(rows)
 
 
+def test_hot_anchors_and_large_shards_through_spark(spark):
+    rng = np.random.default_rng(11)
+    word = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 9))) for _ in range(n))
+    passage = word(60)[:150]
+    # a passage that many documents share, whole or cut, between words of their own; and long near copies
+    rows = [(k, word(rng.integers(3, 20)) + passage[: int(rng.integers(60, 150))] + word(8)) for k in range(400)]
+    long = word(1500)
+    rows += [(1000 + k, long[: 40 * k] + "#" + str(k) + long[40 * k :]) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    raw = docs.selectExpr("doc_id as ord", "0L as tie", "cast(text as binary) as raw")
+    kinds = {r.kind: r["count"] for r in raw.mapInArrow(suffix_dedup._anchor_rows, suffix_dedup.ROW).groupBy("kind").count().collect()}
+    assert kinds[suffix_dedup.HOT] > 100 and kinds[suffix_dedup.SIGN] >= 1
+    assert got(suffix_dedup.dedup(docs)) == wanted(rows)
+
+
 def test_rows_that_share_an_id(spark):
     x = "".join(chr(97 + i * i % 23) + chr(97 + i // 7 % 26) for i in range(200))
     docs = spark.createDataFrame([(1, x), (1, x + "!"), (1, x), (2, x)], "doc_id long, text string")
