@@ -33,7 +33,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_model")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_model", "n_confirmed")
 
 
 #: The rules of op4, the hosts whose canonical URLs make its list, and which of them: those whose MD5 starts below LISTED_SHARE.

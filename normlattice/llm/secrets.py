@@ -176,6 +176,8 @@ def findings(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         lambda: pick(letters, 2) + "-" + pick(mixed, size(32, 50)),
         lambda: pick(letters + digits, size(24, 48)),
         lambda: pick(letters.upper() + digits, size(20, 40)),
+        lambda: pick("0123456789abcdef", size(24, 65)),
+        lambda: "AKIA" + pick(letters.upper() + digits, size(16, 20)),
         lambda: "-".join(pick(mixed, size(8, 14)) for _ in range(4)),
     ]
     bad = [
@@ -192,7 +194,7 @@ def findings(n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         lambda: "=" * size(8, 20) + word() + str(size(1, 99)),
         lambda: f"{pick(digits, 4)}-{pick(digits, 4)}-{pick(digits, 4)}-{pick(digits, 4)}{pick(letters, 1)}",
     ]
-    cues, plain = ["key: ", "auth = ", "credential ", "bearer ", "Authorization: ", "export KEY=", "pw "], ["see ", "in ", "the file ", "on ", "at ", ", ", "("]
+    cues, plain = ["key: ", "auth = ", "credential ", "bearer ", "Authorization: ", "export KEY=", "pw ", "token = ", "password: "], ["see ", "in ", "the file ", "on ", "at ", ", ", "("]
     x, y = [], []
     # after a cue or in an address: short ones and letters only, against words
     named = ["key: ", "auth = ", "credential ", "bearer ", "Authorization: Bearer ", "pw ", "pw: ", "token is ", "password is "]
@@ -256,16 +258,26 @@ def train(examples: int = EXAMPLES, epochs: int = EPOCHS, recall: float = RECALL
 # ---------------------------------------------------------------- the scan
 
 
+def scores(text: str, spans: list[tuple[int, int]], net: Network) -> np.ndarray:
+    """The network's probability for each span, of a longer one the largest of its windows."""
+    if not spans:
+        return np.zeros(0)
+    parts = [windows(a, e) for a, e in spans]
+    at = np.cumsum([0, *map(len, parts)])[:-1]
+    return np.maximum.reduceat(net.probability(np.array([encode(text, a, e) for own in parts for a, e in own])), at)
+
+
 def scan_text(text: str, net: Network) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all findings, in order; those of the patterns first among equals."""
     base = base_spans(text)
     more = candidates(text, base)
-    if not more:
-        return base
-    parts = [windows(a, e) for a, e in more]
-    at = np.cumsum([0, *map(len, parts)])[:-1]
-    p = np.maximum.reduceat(net.probability(np.array([encode(text, a, e) for own in parts for a, e in own])), at)
-    return sorted(base + [(a, 3, e) for (a, e), s in zip(more, p.tolist(), strict=True) if s >= net.threshold])
+    return sorted(base + [(a, 3, e) for (a, e), s in zip(more, scores(text, more, net).tolist(), strict=True) if s >= net.threshold])
+
+
+def confirmed(text: str, base: list[tuple[int, int, int]], net: Network) -> int:
+    """How many of the patterns' findings the network takes for secrets as well, by their values."""
+    values = [ASSIGN.match(text, a).span(2) if k == 0 else (a, e) for a, k, e in base]
+    return int((scores(text, values, net) >= net.threshold).sum())
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -273,23 +285,29 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: (doc_id, n_assign, n_access, n_hex, n_model, base_spans, spans).
+    """One row per row of docs: (doc_id, n_assign, n_access, n_hex, n_model, n_confirmed, base_spans, spans).
 
-    Spans are kind:start:end in code points, end exclusive. A null text counts as empty and has none.
+    Spans are kind:start:end in code points, end exclusive. The network reads every candidate:
+    n_model of those beyond the patterns' findings are secrets to it, and n_confirmed of these
+    findings are, which stand in any case. A null text counts as empty and has none. Repeated rows
+    stay. Empty input: empty result. Texts are read whole; other columns of docs are ignored.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     net = train()
-    names = ["doc_id", "n_assign", "n_access", "n_hex", "n_model", "base_spans", "spans"]
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "n_model", "n_confirmed", "base_spans", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [scan_text(x.as_py(), net) for x in b.column(1)]
-            counts = [pa.array([sum(k == i for _, k, _ in f) for f in found], pa.int64()) for i in range(4)]
+            found, sure = [], []
+            for x in b.column(1):
+                found.append(scan_text(t := x.as_py(), net))
+                sure.append(confirmed(t, [s for s in found[-1] if s[1] < 3], net))
+            counts = [*(pa.array([sum(k == i for _, k, _ in f) for f in found], pa.int64()) for i in range(4)), pa.array(sure, pa.int64())]
             base = pa.array([joined([s for s in f if s[1] < 3]) for f in found], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, base, pa.array(map(joined, found), pa.string())], names)
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_model long, base_spans string, spans string")
+    return src.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_model long, n_confirmed long, base_spans string, spans string")
 
 
 def mask(text: str, net: Network, mark: str = "[secret]") -> str:
@@ -303,7 +321,11 @@ def mask(text: str, net: Network, mark: str = "[secret]") -> str:
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
-    """docs with the secrets in its texts masked, and size_col, if there, set to the new length. Nulls stay."""
+    """docs with the secrets in its texts masked, and size_col, if there, set to the new length.
+
+    Null texts and their sizes stay, as do repeated rows; findings that overlap are masked together.
+    Empty input: empty result. Other columns are kept, whatever their names.
+    """
     net, at = train(), docs.columns.index(text_col)
     size = docs.columns.index(size_col) if size_col in docs.columns else None
 

@@ -1,3 +1,7 @@
+import os
+
+import pytest
+
 from normlattice.llm import secrets
 
 TEXTS = [
@@ -16,3 +20,17 @@ def test_whole_secrets_are_masked():
         assert secret not in masked and "[secret]" in masked
     for text in ("the key: important thing", "a token is understanding here", "see http://www.example.com:8080/a/b", "at " + "/".join(["internal", "station"] * 12) + " end"):
         assert secrets.mask(text, net) == text
+
+
+def test_findings_of_the_tables_are_confirmed():
+    """The labelled findings that the tables have are the patterns'; the network hasn't seen them."""
+    pq = pytest.importorskip("pyarrow.parquet")
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    net, n, sure = secrets.train(), 0, 0
+    for text in pq.read_table(path, columns=["text"]).column("text").to_pylist():
+        base = secrets.base_spans(text or "")
+        n, sure = n + len(base), sure + secrets.confirmed(text or "", base, net)
+        assert secrets.scan_text(text or "", net) == base  # these documents have no other secret
+    assert n > 20 and sure >= 0.95 * n
