@@ -90,9 +90,12 @@ class Model:
             return np.full(len(raws), 0.5)
         cosine = np.clip(self.embed(raws) @ self.vectors.T, 0, 1)
         k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < len(self.labels) else np.tile(np.arange(k), (len(raws), 1))
-        w = np.take_along_axis(cosine, near, 1).astype(np.float64) ** POWER + 1e-9
-        return np.clip((w * self.labels[near]).sum(1) / w.sum(1), 0, 1)
+        # of equal neighbours at the end of the list the first ones count, in the order of their ids
+        last = np.partition(cosine, len(self.labels) - k, axis=1)[:, len(self.labels) - k][:, None]
+        closer, tied = cosine > last, cosine == last
+        near = closer | (tied & (np.cumsum(tied, axis=1) <= k - closer.sum(axis=1, keepdims=True)))
+        w = np.where(near, cosine.astype(np.float64) ** POWER + 1e-9, 0)
+        return np.clip((w @ self.labels) / w.sum(1), 0, 1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -131,7 +134,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: (doc_id, score, predicted). A null text counts as empty; repeated rows stay."""
+    """One row per row of docs: (doc_id, score, predicted).
+
+    A null text counts as empty, and empty ones have a score too; texts of any length are read whole.
+    Of neighbours at equal distance the first ones in the order of their ids vote. Repeated rows
+    stay. Empty input: empty result. Other columns of docs are ignored.
+    """
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("raw"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
