@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .tokens import WHITE
 
 #: Words that a worker remembers before it starts anew; longer ones are not remembered.
-MEMO, MEMO_CHARS = 100_000, 64
+MEMO, MEMO_CHARS = 200_000, 64
 
 
 @lru_cache(1)
