@@ -142,7 +142,11 @@ class Codec:
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: (doc_id, ids array<int>, decoded). A null text counts as empty."""
+    """One row per row of docs: (doc_id, ids array<int>, decoded).
+
+    A null text counts as empty and has no id. Repeated rows stay. Empty input: empty result. Texts
+    of any length are read whole; other columns of docs are ignored.
+    """
     return _map(docs, tokenizer, id_col, text_col, "ids array<int>, decoded string", lambda ids, text: (ids.astype(np.int32), text))
 
 

@@ -272,7 +272,8 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Components are those of near_duplicates, or of similar_texts if exact. Rows without a doc_id
     come last; of rows that share the doc_id the smallest text hash stays, and of rows that repeat
-    both, one. No text is shuffled but those of rows that repeat both, if there are any.
+    both, one. No text is shuffled but those of rows that repeat both, if there are any. Null,
+    empty and blank texts are alike. Empty input: empty result. All columns of docs are kept.
     """
     named = similar_texts(docs, id_col, text_col, width, budget) if exact else near_duplicates(docs, id_col, text_col, budget, width)
     named = materialise(named.select("doc_id", "text_hash", "root"), "named")

@@ -260,7 +260,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spans: the removed runs of bytes (start, end); kept: the other bytes. doc_id must be an integer;
     it orders the documents, rows without one come last. Rows that share a doc_id (or lack one) are
     separate documents in the order of a hash of their texts; rows that repeat both are one
-    document, whose result each of them gets. Null and empty texts have nothing to remove.
+    document, whose result each of them gets. Null and empty texts, and those under LENGTH bytes,
+    have nothing to remove; texts of any length are read whole. Empty input: empty result. Other
+    columns of docs are ignored.
     """
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("ord"), raw.alias("raw"))

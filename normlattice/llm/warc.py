@@ -76,7 +76,10 @@ def write_warc(recs: DataFrame, path: str) -> None:
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """(file, seq, start, record) of the WARC files under path; what isn't a record ends a file."""
+    """(file, seq, start, record) of the WARC files under path; what isn't a record ends a file.
+
+    A file is one task's row, so it must fit a worker; write_warc makes one for each shard of 2 ** SHARD_BITS ids.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +107,11 @@ def parse(raw: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def leaves(recs: DataFrame) -> DataFrame:
-    """(shard, bucket, slot, page_id, hash, size, n): the different records of each place, n times each."""
+    """(shard, bucket, slot, page_id, hash, size, n): the different records of each place, n times each.
+
+    Records without an id have a bucket in place of a shard; ids may repeat, as may whole rows. The
+    order of rows doesn't matter. Empty input: empty result.
+    """
     hashed = recs.select(*SHARD, "slot", "page_id", F.sha2("record", 256).alias("hash"), F.octet_length("record").cast("long").alias("size"))
     return hashed.groupBy(*hashed.columns).agg(F.count("*").alias("n"))
 
@@ -113,7 +120,7 @@ def tree(leaf: DataFrame) -> list[DataFrame]:
     """The records of leaves(), then the levels of the trees: (shard, bucket, idx, hash, size, start).
 
     Level 1 has a node for each place, the last one for each shard. A shard has at most
-    2 ** SHARD_BITS places, whatever the number of records.
+    2 ** SHARD_BITS places, whatever the number of records. No records: empty levels.
     """
     levels = [materialise(leaf, "leaves")]
     part = lambda at: F.sum(F.conv(F.substring("hash", at, 15), 16, 10).cast("decimal(20,0)") * F.col("n"))
