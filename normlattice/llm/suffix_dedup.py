@@ -41,7 +41,7 @@ BLOCK = 1 << 20
 #: Rows of segments that are combined at once.
 COMBINE_ROWS = 1 << 20
 #: An anchor with so many segments in one combined batch is dealt by segment: its window gets fewer rows from each batch, and a sign.
-HOT_SEGMENTS = 8
+HOT_SEGMENTS = 16
 #: An anchor with so many segments left is dealt to shards by salt.
 HOT_ROWS = 4096
 SALTS = 1024
