@@ -8,7 +8,9 @@ document; of two large sides terms are dealt by salt. Dense vectors are multipli
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ from ..session import materialise
 
 #: Numbers in a block of vectors, and rows in a block of a grid.
 BLOCK_NUMBERS, BLOCK_ROWS = 1_000_000, 1000
+#: Two or more letters, digits and underscores.
+WORD = re.compile(r"\w{2,}")
 #: Postings of the smaller side that are broadcast.
 MAX_POSTINGS = 1_000_000
 #: Terms in more than 1 / HOT_TERMS of all postings are broadcast with their weight: they are fewer than that.
@@ -58,8 +62,27 @@ def _numbered(corpus: DataFrame) -> DataFrame:
 def postings(corpus: DataFrame, stop_words: Sequence[str]) -> DataFrame:
     """(row, id, term, n) of a corpus (id, text) or (row, id, text), written once: words and bigrams, counted within each row."""
     rows = corpus if "row" in corpus.columns else _numbered(corpus)
-    own = X.tallied(X.terms(F.col("text"), stop_words))
-    return materialise(rows.select("row", "id", F.inline(own)).toDF("row", "id", "term", "n"), "postings")
+    stop = frozenset(stop_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # in Arrow batches, as array functions of SQL take some ten times as long for this
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                terms: list[str] = []
+                counts: list[int] = []
+                sizes = []
+                for x in b.column(2):
+                    words = [w for w in WORD.findall((x.as_py() or "").lower()) if w not in stop]
+                    own = Counter(words)
+                    own.update(map(" ".join, zip(words, words[1:])))
+                    terms += own.keys()
+                    counts += own.values()
+                    sizes.append(len(own))
+                place = pa.array(np.repeat(np.arange(b.num_rows), sizes))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(place), b.column(1).take(place), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["row", "id", "term", "n"])
+
+    return materialise(rows.mapInArrow(run, "row long, id string, term string, n long"), "postings")
 
 
 def _weighted(a: DataFrame, b: DataFrame, rows: int) -> list[DataFrame]:
