@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10 with their production parameters, and their SQL."""
+"""The registered queries op1 to op13 with their production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, quality_knn, quality_rules, secrets, simhash, suffix_dedup, tokens, url_filter, warc
+from . import bpe, decontam, divergence, quality_knn, quality_rules, secrets, simhash, suffix_dedup, tokens, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -101,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_fixity": op8_warc_fixity,
         "op9_quality_rules": op9_quality_rules,
         "op10_bpe": op10_bpe,
+        "op11_source_divergence": op11_source_divergence,
     }
 
 
@@ -109,4 +114,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_url_filters": url_filter.oracle_sql(URL_RULES, LISTED_HOSTS, LISTED_SHARE),
         "op8_warc_fixity": warc.ORACLE_SQL,
         "op9_quality_rules": quality_rules.ORACLE_SQL,
+        "op11_source_divergence": divergence.ORACLE_SQL,
     }
