@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, divergence, quality_knn, quality_rules, secrets, simhash, suffix_dedup, tokens, url_filter, warc
+from . import bpe, decontam, divergence, manifest, quality_knn, quality_rules, secrets, simhash, suffix_dedup, tokens, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -106,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_bpe": op10_bpe,
         "op11_source_divergence": op11_source_divergence,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 
@@ -115,4 +120,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_warc_fixity": warc.ORACLE_SQL,
         "op9_quality_rules": quality_rules.ORACLE_SQL,
         "op11_source_divergence": divergence.ORACLE_SQL,
+        "op12_merkle_manifest": manifest.oracle_sql(),
     }
