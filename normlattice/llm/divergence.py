@@ -164,8 +164,9 @@ def joint_counts(names: list[str], block: np.ndarray, who: np.ndarray, term: np.
     grid[who, term] = value[:-1]
     one = len(set(block.tolist())) == 1
     out = []
-    for a in range(len(names)):
-        for b in range(a + 1, len(names)):
+    order = sorted(range(len(names)), key=names.__getitem__)  # the same direction in every bin
+    for k, a in enumerate(order):
+        for b in order[k + 1 :]:
             if one or block[a] != block[b]:
                 pair, times = np.unique(grid[a] * len(values) + grid[b], return_counts=True)
                 out.append((names[a], names[b], values[pair // len(values)], values[pair % len(values)], times))

@@ -61,7 +61,8 @@ def subwords(x: np.ndarray, stop: int) -> tuple[np.ndarray, np.ndarray]:
         code = (code[:m] << np.uint32(8)) | codes[size - 1 :]
         inner = inner[:m] | blank[size - 2 : size - 2 + m] if size > 2 else np.zeros(m, bool)
         if size in SIZES:
-            at = np.flatnonzero(~inner[: min(m, stop)] & ~((blank[:m] & blank[size - 1 :])[: min(m, stop)] if size == 2 else False))
+            out = inner | (blank[:m] & blank[1:]) if size == 2 else inner
+            at = np.flatnonzero(~out[: min(m, stop)])
             h = (code[at] ^ np.uint32(size * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(2654435761)
             found.append((h ^ (h >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(32 - BUCKET_BITS))
             places.append(at)
@@ -162,10 +163,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languag
 
 
 def calibrate(z: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """(temperature, threshold): the temperature of least loss, and the least score from which on ACCURACY are right."""
+    """(temperature, threshold): the temperature of least loss, and the least score from which on ACCURACY are right.
+
+    One more document than there are counts as half wrong, so that scores stay below 1 where all are right.
+    """
     if not len(z):
         return 1.0, 0.0
-    loss = lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(z)), labels], 1e-12)).mean()
+    soft = np.full(z.shape, 0.5 / (len(z) + 1) / max(1, z.shape[1] - 1))
+    soft[np.arange(len(z)), labels] = 1 - 0.5 / (len(z) + 1)
+    loss = lambda t: -(soft * np.log(np.maximum(softmax(z / t), 1e-12))).sum(1).mean()
     t = float(min(np.geomspace(0.05, 20, 61), key=loss))
     p = softmax(z / t)
     score, right = p.max(1), p.argmax(1) == labels

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, divergence, manifest, quality_knn, quality_rules, secrets, simhash, suffix_dedup, tokens, url_filter, warc
+from . import bpe, decontam, divergence, language_id, manifest, quality_knn, quality_rules, secrets, simhash, suffix_dedup, tokens, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +97,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    apart = language_id.held_out(F.col("doc_id"))
+    out = language_id.identify(docs, language_id.fit(docs.filter(~apart)))
+    return out.select("doc_id", apart.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -111,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_bpe": op10_bpe,
         "op11_source_divergence": op11_source_divergence,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_language_id": op13_language_id,
     }
 
 
