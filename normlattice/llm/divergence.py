@@ -27,9 +27,9 @@ SCALE = 1_000_000_000
 SMOOTHING = 2
 TOP = 10
 #: Bytes of text whose terms are counted at once; a longer text is cut at the ends of terms.
-SLICE_BYTES = 1 << 24
+SLICE_BYTES = 1 << 23
 #: Terms and sources of one task's matrix of counts.
-BIN_TERMS, BLOCK_SOURCES = 1 << 15, 32
+BIN_TERMS, BLOCK_SOURCES = 1 << 13, 32
 
 #: Letters and all bytes beyond ASCII are parts of terms, capitals as small letters; other bytes are 32.
 _TERM = bytes(
