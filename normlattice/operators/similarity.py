@@ -1,9 +1,10 @@
 """Pairs of two corpora: all of them, or those whose similarity reaches a threshold.
 
 Corpora are (id, text) or (id, vector) DataFrames. Every row is an item of its own: rows that share
-an id, or repeat, give a pair each. With a positive threshold, pairs must share a term, so lexical
-methods meet on it: the postings of a side of checked size are broadcast and sums made document by
-document; of two large sides terms are dealt by salt. Dense vectors are multiplied in blocks.
+an id, or repeat, give a pair each. With a positive threshold lexical pairs must share a term, and
+not one of those that are too frequent and too light to reach it: rows meet on their signatures, and
+what survives is verified with whole vectors. Dense vectors are dealt to cells round pivots and
+multiplied in blocks, without the pairs of blocks whose angles rule the threshold out.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as X
-from ..session import materialise
+from ..session import materialise, ship, small
 
 #: Numbers in a block of vectors, and rows in a block of a grid.
 BLOCK_NUMBERS, BLOCK_ROWS = 1_000_000, 1000
@@ -36,13 +37,14 @@ TERM_ROWS = 10_000
 
 
 def _dealt(df: DataFrame, blocks: int, others: int, mine: str, peer: str) -> DataFrame:
-    """df in so many blocks by turns, each row repeated for each block of the other side."""
+    """A written table in so many blocks by turns, each row repeated for each block of the other side."""
     df = df.withColumn(mine, F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))
     return df.withColumn(peer, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
 
 
 def _grid(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every row of a with every row of b: each two blocks meet in a task."""
+    """Every row of a with every row of b: each two blocks meet in a task. Rows are dealt as written, so a repeated task deals alike."""
+    a, b = (materialise(x, "side") for x in (a, b))
     m, n = (-(-x.count() // BLOCK_ROWS) or 1 for x in (a, b))
     return _dealt(a, m, n, "_i", "_j").join(_dealt(b, n, m, "_j", "_i"), ["_i", "_j"]).drop("_i", "_j")
 
@@ -59,9 +61,16 @@ def _numbered(corpus: DataFrame) -> DataFrame:
     return corpus.toDF("id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("string").alias("id"), "text")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if it comes in fewer partitions than there are (a small file is one)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def postings(corpus: DataFrame, stop_words: Sequence[str]) -> DataFrame:
     """(row, id, term, n) of a corpus (id, text) or (row, id, text), written once: words and bigrams, counted within each row."""
-    rows = corpus if "row" in corpus.columns else _numbered(corpus)
+    ship(corpus.sparkSession)
+    rows = _spread(corpus if "row" in corpus.columns else _numbered(corpus))
     stop = frozenset(stop_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,17 +95,19 @@ def postings(corpus: DataFrame, stop_words: Sequence[str]) -> DataFrame:
 
 
 def _weighted(a: DataFrame, b: DataFrame, rows: int) -> list[DataFrame]:
-    """(row, id, term, df, w) of each side: w is 1 + ln(n) times the idf ln((1 + rows) / (1 + df)) + 1.
+    """(row, id, term, df, shared, w) of each side: w is 1 + ln(n) times the idf ln((1 + rows) / (1 + df)) + 1.
 
-    df counts rows of both sides. Terms in many rows meet their idf by a broadcast, others by a shuffle.
+    df counts rows of both sides; shared if both have the term. Terms in many rows meet their idf by a broadcast, others by a shuffle.
     """
-    df = a.select("term").unionByName(b.select("term")).groupBy("term").agg(F.count("*").alias("df"))
+    one = lambda x, y: (F.lit(v).cast("long").alias(c) for c, v in (("in_a", x), ("in_b", y)))
+    df = a.select("term", *one(1, 0)).unionByName(b.select("term", *one(0, 1))).groupBy("term").agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
+    df = df.select("term", (F.col("in_a") + F.col("in_b")).alias("df"), ((F.col("in_a") > 0) & (F.col("in_b") > 0)).alias("shared"))
     idf = materialise(df.withColumn("idf", F.log((1 + F.lit(rows)) / (1 + F.col("df"))) + 1), "idf")
     hot = F.col("df") > (a.count() + b.count()) / HOT_TERMS
     often = F.broadcast(idf.filter(hot))
     w = (1 + F.log(F.col("n").cast("double"))) * F.col("idf")
     both = lambda x: x.join(often, "term").unionByName(x.join(often.select("term"), "term", "left_anti").join(idf.filter(~hot), "term"))
-    return [both(x).select("row", "id", "term", "df", w.alias("w")) for x in (a, b)]
+    return [both(x).select("row", "id", "term", "df", "shared", w.alias("w")) for x in (a, b)]
 
 
 def _sides(a: DataFrame, b: DataFrame, stop_words: Sequence[str]) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -114,27 +125,82 @@ def tfidf_weights(a: DataFrame, b: DataFrame, stop_words: Sequence[str]) -> Data
     return out[0].unionByName(out[1])
 
 
+def _met(a: DataFrame, b: DataFrame, *on: str) -> DataFrame:
+    """Rows of both sides with a common term: (term, df, src_.., tgt_..).
+
+    Postings of a side of checked size are broadcast, so that the rows of a document stand together
+    and are summed before a shuffle; of two large sides terms are dealt by salt.
+    """
+    named = lambda x, side: x.select("term", "df", *(F.col(c).alias(f"{side}_{c}") for c in on))
+    a, b = named(a, "src"), named(b, "tgt")
+    m, n = a.count(), b.count()
+    if min(m, n) <= MAX_POSTINGS:
+        few, many = (a, b) if m <= n else (b, a)
+        return many.join(F.broadcast(few.drop("df")), "term")
+    salts = F.ceil(F.col("df") / TERM_ROWS)
+    dealt = b.withColumn("salt", F.pmod(F.xxhash64("tgt_row"), salts))
+    spread = a.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1))).drop("df")
+    return dealt.join(spread, ["term", "salt"])
+
+
+def _ids(norms: list[DataFrame]) -> list[DataFrame]:
+    return [x.toDF(f"{side}_row", f"{side}_id", f"{side}_norm") for x, side in zip(norms, ("src", "tgt"), strict=True)]
+
+
 def _dot(a: DataFrame, b: DataFrame, stop_words: Sequence[str]) -> DataFrame:
-    """(src_row, tgt_row, src_id, tgt_id, s): cosines of rows with a common term. Norms join the pairs, not the postings."""
+    """(src_row, tgt_row, src_id, tgt_id, s): cosines of all rows with a common term. Norms join the pairs, not the postings."""
     (wa, wb), norms = _sides(a, b, stop_words)
-    named = lambda x, side: x.select("term", F.col("row").alias(f"{side}_row"), F.col("w").alias(f"{side}_w"), F.col("df"))
-    wa, wb = named(wa, "src"), named(wb, "tgt")
-    m, n = wa.count(), wb.count()
-    if min(m, n) <= MAX_POSTINGS:
-        # the rows of a document stand together, so their products are summed before the shuffle
-        few, many = (wa, wb) if m <= n else (wb, wa)
-        met = many.drop("df").join(F.broadcast(few.drop("df")), "term")
-    else:
-        salts = F.ceil(F.col("df") / TERM_ROWS)
-        dealt = wb.withColumn("salt", F.pmod(F.xxhash64("tgt_row"), salts)).drop("df")
-        spread = wa.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts.cast("long") - 1))).drop("df")
-        met = dealt.join(spread, ["term", "salt"])
-    pairs = met.groupBy("src_row", "tgt_row").agg(F.sum(F.col("src_w") * F.col("tgt_w")).alias("dot"))
-    na, nb = (x.toDF(f"{side}_row", f"{side}_id", f"{side}_norm") for x, side in zip(norms, ("src", "tgt"), strict=True))
+    pairs = _met(wa.filter("shared"), wb.filter("shared"), "row", "w").groupBy("src_row", "tgt_row").agg(F.sum(F.col("src_w") * F.col("tgt_w")).alias("dot"))
+    na, nb = _ids(norms)
     pairs = pairs.join(na, "src_row").join(nb, "tgt_row")
     return pairs.select("src_row", "tgt_row", "src_id", "tgt_id", (F.col("dot") / (F.col("src_norm") * F.col("tgt_norm"))).alias("s"))
 
 
+def signatures(vectors: DataFrame, most: DataFrame, threshold: float) -> DataFrame:
+    """(row, term, df, u, rest, kept, left) of vectors (row, term, df, u) of terms that both sides have.
+
+    The terms of a row are added from the most frequent one on. rest is what these terms up to this
+    one can add to a cosine: their norm, or their weights times the greatest ones of the other side
+    (most: term, most), whichever is less. kept terms, the rarer ones, are the row's signature: rest
+    reaches the threshold there. left is the greatest rest of the terms that aren't kept.
+
+    Both sides have the same order of terms. So where two signatures have no term in common, all
+    common terms of the rows are beyond the rarer of the two ends, where that row's rest is too small.
+    """
+    along = Window.partitionBy("row").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    u = F.col("u")
+    rest = F.least(F.sqrt(F.sum(u * u).over(along)), F.sum(u * F.col("most")).over(along))
+    kept = F.col("rest") >= threshold * (1 - 1e-9)
+    rows = vectors.join(small(most), "term").withColumn("rest", rest).withColumn("kept", kept)
+    left = F.coalesce(F.max(F.when(~F.col("kept"), F.col("rest"))).over(Window.partitionBy("row")), F.lit(0.0))
+    return rows.withColumn("left", left).drop("most")
+
+
+def survivors(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """(src_row, tgt_row): pairs of rows whose signatures meet and, with what is left of both, can reach the threshold."""
+    sa, sb = (materialise(x.filter("kept"), "signatures") for x in (a, b))
+    met = _met(sa, sb, "row", "u", "left").groupBy("src_row", "tgt_row")
+    seen = met.agg(F.sum(F.col("src_u") * F.col("tgt_u")).alias("dot"), F.max("src_left").alias("src_left"), F.max("tgt_left").alias("tgt_left"))
+    return seen.filter(F.col("dot") + F.col("src_left") + F.col("tgt_left") >= threshold * (1 - 1e-9)).select("src_row", "tgt_row")
+
+
+def _pruned(a: DataFrame, b: DataFrame, stop_words: Sequence[str], threshold: float) -> DataFrame:
+    """(src_id, tgt_id, s) of the pairs whose cosine reaches a positive threshold."""
+    weighted, norms = _sides(a, b, stop_words)
+    norms = [materialise(x, "norms") for x in norms]
+    unit = [w.filter("shared").select("row", "term", "df", "w").join(small(n.drop("id")), "row").select("row", "term", "df", (F.col("w") / F.col("norm")).alias("u")) for w, n in zip(weighted, norms, strict=True)]
+    unit = [materialise(x, "vectors") for x in unit]
+    most = [x.groupBy("term").agg(F.max("u").alias("most")) for x in unit]
+    signed = [signatures(x, m, threshold) for x, m in zip(unit, reversed(most), strict=True)]
+    pairs = materialise(survivors(*signed, threshold), "survivors")
+    # whole vectors of the rows that are left
+    src, tgt = (x.join(small(pairs.select(F.col(f"{side}_row").alias("row")).distinct()), "row", "left_semi").select(F.col("row").alias(f"{side}_row"), "term", F.col("u").alias(f"{side}_u")) for x, side in zip(unit, ("src", "tgt"), strict=True))
+    whole = pairs.join(small(src, MAX_POSTINGS), "src_row").join(tgt, ["tgt_row", "term"])
+    whole = whole.groupBy("src_row", "tgt_row").agg(F.sum(F.col("src_u") * F.col("tgt_u")).alias("s")).filter(F.col("s") >= threshold)
+    na, nb = (x.drop(f"{side}_norm") for x, side in zip(_ids(norms), ("src", "tgt"), strict=True))
+    return whole.join(na, "src_row").join(nb, "tgt_row").select("src_id", "tgt_id", "s")
+
+
 def tfidf_pairs(a: DataFrame, b: DataFrame, stop_words: Sequence[str], threshold: float = S.PAIR_THRESHOLDS["tfidf"]) -> DataFrame:
     """(src_id, tgt_id, score, predicted_rel) of pairs whose cosine reaches the threshold, before rounding.
 
@@ -142,7 +208,7 @@ def tfidf_pairs(a: DataFrame, b: DataFrame, stop_words: Sequence[str], threshold
     """
     if threshold <= 0:
         raise ValueError("pairs without a common term need tfidf_grid")
-    return _labelled(_dot(a, b, stop_words).filter(F.col("s") >= threshold), S.LEXICAL_CUTS)
+    return _labelled(_pruned(a, b, stop_words, threshold), S.LEXICAL_CUTS)
 
 
 def tfidf_grid(a: DataFrame, b: DataFrame, stop_words: Sequence[str]) -> DataFrame:
