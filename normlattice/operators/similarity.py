@@ -22,8 +22,8 @@ from .. import schemas as S
 from ..functions import text as X
 from ..session import materialise, ship, small
 
-#: Numbers in a block of vectors, and rows in a block of a grid.
-BLOCK_NUMBERS, BLOCK_ROWS = 1_000_000, 1000
+#: Rows in a block of a grid.
+BLOCK_ROWS = 1000
 #: Two or more letters, digits and underscores.
 WORD = re.compile(r"\w{2,}")
 #: Postings of the smaller side that are broadcast.
@@ -110,10 +110,16 @@ def _weighted(a: DataFrame, b: DataFrame, rows: int) -> list[DataFrame]:
     return [both(x).select("row", "id", "term", "df", "shared", w.alias("w")) for x in (a, b)]
 
 
-def _sides(a: DataFrame, b: DataFrame, stop_words: Sequence[str]) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Postings of both corpora with weights, and (row, id, norm) of each row with a term."""
+def _sides(a: DataFrame, b: DataFrame, stop_words: Sequence[str], shared_only: bool = False) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Postings of both corpora with weights, and (row, id, norm) of each row with a term.
+
+    shared_only: terms that one side alone has are null in the written weights, which then count for norms only.
+    """
     rows = a.count() + b.count()
-    weighted = [materialise(x, "weights") for x in _weighted(postings(a, stop_words), postings(b, stop_words), rows)]
+    weighted = _weighted(postings(a, stop_words), postings(b, stop_words), rows)
+    if shared_only:
+        weighted = [x.withColumn("term", F.when(F.col("shared"), F.col("term"))) for x in weighted]
+    weighted = [materialise(x, "weights") for x in weighted]
     norms = [x.groupBy("row", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")) for x in weighted]
     return weighted, norms
 
@@ -186,7 +192,7 @@ def survivors(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
 
 def _pruned(a: DataFrame, b: DataFrame, stop_words: Sequence[str], threshold: float) -> DataFrame:
     """(src_id, tgt_id, s) of the pairs whose cosine reaches a positive threshold."""
-    weighted, norms = _sides(a, b, stop_words)
+    weighted, norms = _sides(a, b, stop_words, shared_only=True)
     norms = [materialise(x, "norms") for x in norms]
     unit = [w.filter("shared").select("row", "term", "df", "w").join(small(n.drop("id")), "row").select("row", "term", "df", (F.col("w") / F.col("norm")).alias("u")) for w, n in zip(weighted, norms, strict=True)]
     unit = [materialise(x, "vectors") for x in unit]
@@ -257,17 +263,80 @@ def jaccard_pairs(a: DataFrame, b: DataFrame, vocabulary: Sequence[str], thresho
 # ---------------------------------------------------------------- dense vectors
 
 
-def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float, cuts: Sequence[tuple[float, str]] = S.SEMANTIC_CUTS) -> DataFrame:
-    """(src_id, tgt_id, score, predicted_rel) of pairs of (id, vector) rows whose cosine reaches the threshold.
+#: Rows of a block of vectors; pivots of the vectors of one length; rings of a cell, from 0 to a right angle twice.
+VECTOR_ROWS, MAX_PIVOTS, RINGS = 4096, 64, 16
+#: Lengths of vectors that get pivots: the most frequent ones. Others form one cell for each length.
+MAX_LENGTHS = 16
+#: Angles are compared with this much to spare.
+SLACK = 1e-6
+
+
+def _units(df: DataFrame) -> DataFrame:
+    """(id, v, len) of the vectors that aren't null, normalised, as a written table."""
+    unit = df.toDF("id", "v").filter("v is not null").select("id", X.l2_normalised(F.col("v")).alias("v"))
+    return materialise(unit.withColumn("len", F.size("v")), "units")
 
-    Vectors are normalised first; null ones are left out. Both sides are dealt to blocks of at most
-    about BLOCK_NUMBERS numbers, and each two blocks are multiplied in a task: nothing passes the driver.
+
+def pivots_of(a: DataFrame, b: DataFrame) -> dict[int, np.ndarray]:
+    """For each length of vectors at most MAX_PIVOTS of them, those with the least hash; one for each VECTOR_ROWS rows."""
+    both = a.select("len", "v").unionByName(b.select("len", "v"))
+    sizes = both.groupBy("len").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "len").limit(MAX_LENGTHS)
+    least = Window.partitionBy("len").orderBy(F.xxhash64("v"))
+    few = both.join(F.broadcast(sizes), "len").withColumn("at", F.row_number().over(least)).filter(F.col("at") <= F.least(F.ceil(F.col("n") / VECTOR_ROWS), F.lit(MAX_PIVOTS)))
+    out: dict[int, list] = {}
+    for r in few.select("len", "v").collect():
+        out.setdefault(r.len, []).append(r.v)
+    return {k: np.unique(np.array(v, np.float64), axis=0) for k, v in out.items()}
+
+
+def celled(units: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """(id, v, len, cell, angle, ring): the nearest pivot of each vector, the angle to it and its ring, as a written table.
+
+    Vectors of a length without pivots have cell -1, and angle 0, which says nothing.
     """
-    unit = lambda df: df.toDF("id", "v").filter("v is not null").select("id", X.l2_normalised(F.col("v")).alias("v"))
-    a, b = unit(a), unit(b)
-    kinds = [x.schema["id"].dataType.simpleString() for x in (a, b)]
-    m, n = (int((x.agg(F.sum(F.size("v"))).first()[0] or 0) // BLOCK_NUMBERS) + 1 for x in (a, b))
+    shared = units.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, angle = np.full(b.num_rows, -1), np.zeros(b.num_rows)
+            lengths = b.column(2).to_numpy()
+            for k in np.unique(lengths):
+                if k and k in shared.value:
+                    at = np.flatnonzero(lengths == k)
+                    near = np.stack(b.column(1).take(pa.array(at)).to_numpy(zero_copy_only=False)) @ shared.value[k].T
+                    cell[at] = near.argmax(1)
+                    angle[at] = np.arccos(np.clip(near.max(1), -1, 1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(angle)], [*b.schema.names, "cell", "angle"])
 
+    kind = units.schema["id"].dataType.simpleString()
+    out = units.mapInArrow(run, f"id {kind}, v array<double>, len int, cell int, angle double")
+    return materialise(out.withColumn("ring", F.floor(F.col("angle") * (RINGS / np.pi)).cast("int")), "cells")
+
+
+def _rings(cells: DataFrame, side: str) -> DataFrame:
+    """(len, cell, ring, low, high, parts) of each ring that has rows: at most so many for each length as there are pivots and rings."""
+    out = cells.groupBy("len", "cell", "ring").agg(F.min("angle").alias(f"{side}_low"), F.max("angle").alias(f"{side}_high"), F.ceil(F.count("*") / VECTOR_ROWS).alias(f"{side}_parts"))
+    return out.withColumnRenamed("cell", f"{side}_cell").withColumnRenamed("ring", f"{side}_ring")
+
+
+def ring_pairs(a: DataFrame, b: DataFrame, pivots: dict[int, np.ndarray], threshold: float) -> DataFrame:
+    """(len, a_cell, a_ring, a_low, a_high, a_parts, b_.., least, kept): all pairs of rings with the least angle that the triangle inequality leaves.
+
+    A pair isn't kept where even the cosine of that angle is below the threshold. a and b are celled().
+    """
+    spark = a.sparkSession
+    apart = [(k, i, j, float(np.arccos(np.clip(x, -1, 1)))) for k, v in pivots.items() for i, row in enumerate(v @ v.T) for j, x in enumerate(row)]
+    between = spark.createDataFrame(apart, "len int, a_cell int, b_cell int, apart double")
+    met = _rings(a, "a").join(_rings(b, "b"), "len").join(F.broadcast(between), ["len", "a_cell", "b_cell"], "left")
+    c = F.col
+    least = F.greatest(c("apart") - c("a_high") - c("b_high"), c("a_low") - c("apart") - c("b_high"), c("b_low") - c("apart") - c("a_high"), F.lit(0.0))
+    # the zero vector is at a right angle to all, which a ring's angles say as well; without pivots nothing is known
+    least = F.when(c("apart").isNull(), 0.0).otherwise(least)
+    most = float(np.arccos(np.clip(threshold, -1, 1)))
+    return met.withColumn("least", least).withColumn("kept", (c("least") <= most + SLACK) | F.lit(threshold <= 0))
+
+
+def _multiplied(threshold: float):
     def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
         u, v = (np.stack(x.column("v").to_numpy()) if x.num_rows else np.zeros((0, 0)) for x in (left, right))
         i, j, s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
@@ -280,8 +349,35 @@ def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float, cuts: Sequence[tu
         i, j, s = (np.concatenate(x) for x in (i, j, s))
         return pa.table({"src_id": left.column("id").take(pa.array(i)), "tgt_id": right.column("id").take(pa.array(j)), "s": s})
 
-    left, right = _dealt(a, m, n, "i", "j").groupBy("i", "j"), _dealt(b, n, m, "j", "i").groupBy("i", "j")
-    out = left.cogroup(right).applyInArrow(multiply, f"src_id {kinds[0]}, tgt_id {kinds[1]}, s double")
+    return multiply
+
+
+def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float, cuts: Sequence[tuple[float, str]] = S.SEMANTIC_CUTS) -> DataFrame:
+    """(src_id, tgt_id, score, predicted_rel) of pairs of (id, vector) rows whose cosine reaches the threshold.
+
+    Vectors are normalised first; null ones are left out, empty ones have no pair, and vectors of
+    unequal length none with each other. Rows that repeat give a pair each. Each side is dealt to
+    cells round common pivots and to rings of like angles in a cell; pairs of rings whose angles rule
+    the threshold out are skipped (ring_pairs tells which), the others are multiplied in blocks of
+    VECTOR_ROWS rows, each two of them in a task. An empty side gives an empty result.
+    """
+    ship(a.sparkSession)
+    a, b = (_units(x).filter("len > 0") for x in (a, b))
+    kinds = [x.schema["id"].dataType.simpleString() for x in (a, b)]
+    pivots = pivots_of(a, b)
+    a, b = (celled(x, pivots) for x in (a, b))
+    pairs = ring_pairs(a, b, pivots, threshold).filter("kept")
+    pairs = materialise(pairs.select("len", *(f"{s}_{c}" for s in "ab" for c in ("cell", "ring", "parts"))), "rings")
+    key = ["len", "a_cell", "a_ring", "a_part", "b_cell", "b_ring", "b_part"]
+
+    def dealt(side: DataFrame, mine: str, peer: str) -> DataFrame:
+        rows = side.select("id", "v", "len", F.col("cell").alias(f"{mine}_cell"), F.col("ring").alias(f"{mine}_ring"))
+        met = rows.withColumn("turn", F.monotonically_increasing_id()).join(small(pairs), ["len", f"{mine}_cell", f"{mine}_ring"])
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{peer}_parts") - 1))
+        return met.select("id", "v", *(c for c in key if not c.endswith("_part")), F.pmod("turn", F.col(f"{mine}_parts")).alias(f"{mine}_part"), each.alias(f"{peer}_part")).select("id", "v", *key)
+
+    left, right = dealt(a, "a", "b").groupBy(*key), dealt(b, "b", "a").groupBy(*key)
+    out = left.cogroup(right).applyInArrow(_multiplied(threshold), f"src_id {kinds[0]}, tgt_id {kinds[1]}, s double")
     return _labelled(out, cuts)
 
 

@@ -132,8 +132,8 @@ def test_cosine_blocks_are_exact(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(99, None), (98, [0.0] * 8)], "id long, v array<float>")
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     want = {(i, j): s for i in range(60) for j in range(60) if (s := float(u[i] @ u[j])) >= 0.4}
-    for numbers in (similarity.BLOCK_NUMBERS, 100):
-        monkeypatch.setattr(similarity, "BLOCK_NUMBERS", numbers)
+    for rows_each in (similarity.VECTOR_ROWS, 12):
+        monkeypatch.setattr(similarity, "VECTOR_ROWS", rows_each)
         got = {(r.src_id, r.tgt_id): r.score for r in similarity.cosine_pairs(rows, rows, 0.4).collect()}
         assert got == pytest.approx(want, abs=1e-4)
     top = [r.score for r in similarity.ranked(similarity.cosine_pairs(rows, rows, 0.4), 5).collect()]

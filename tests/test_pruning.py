@@ -62,3 +62,33 @@ def test_tfidf_signatures_leave_frequent_terms_out(spark):
     # a row's rest grows along its terms, so its signature is their rarer part
     for r in sa.groupBy("row").agg(F.min(F.when(~F.col("kept"), F.col("df"))).alias("out"), F.max(F.when(F.col("kept"), F.col("df"))).alias("kept")).collect():
         assert r.out is None or r.kept is None or r.out >= r.kept
+
+
+def vectors(spark, n, seed, start=0):
+    """Unit vectors round a few directions, some of other lengths, null, empty, zero and repeated ones."""
+    rng, centres = np.random.default_rng(seed), np.random.default_rng(9).normal(size=(5, 12))
+    rows = [(start + i, [float(x) for x in centres[i % 5] + 0.15 * rng.normal(size=12)]) for i in range(n)]
+    rows += [(start + n + i, [float(x) for x in rng.normal(size=k)]) for i, k in enumerate([3] * 8 + [12] * 3)]
+    rows += [(start + 900, None), (start + 901, []), (start + 902, [0.0] * 12), rows[0], rows[0]]
+    return rows, spark.createDataFrame(rows, "id long, v array<double>")
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.9, -0.5])
+def test_dense_blocks_that_are_skipped_hold_no_pair(spark, monkeypatch, threshold):
+    monkeypatch.setattr(similarity, "VECTOR_ROWS", 20)
+    (ra, a), (rb, b) = vectors(spark, 80, 1), vectors(spark, 60, 2, 1000)
+    unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-9)
+    want = sorted((i, j) for i, u in ra for j, v in rb if u and v and len(u) == len(v) and unit(u) @ unit(v) >= threshold)
+    got = similarity.cosine_pairs(a, b, threshold).collect()
+    assert sorted((r.src_id, r.tgt_id) for r in got) == want and want
+    ua, ub = (similarity._units(x).filter("len > 0") for x in (a, b))
+    pivots = similarity.pivots_of(ua, ub)
+    ca, cb = (similarity.celled(x, pivots) for x in (ua, ub))
+    table = similarity.ring_pairs(ca, cb, pivots, threshold).collect()
+    rows = [[r.asDict() for r in x.collect()] for x in (ca, cb)]
+    for r in table:
+        cosines = [np.dot(x["v"], y["v"]) for x in rows[0] for y in rows[1] if (x["len"], x["cell"], x["ring"], y["len"], y["cell"], y["ring"]) == (r.len, r.a_cell, r.a_ring, r.len, r.b_cell, r.b_ring)]
+        assert cosines and max(cosines) <= np.cos(r.least) + 1e-6
+        assert r.kept or max(cosines) < threshold
+    if threshold == 0.9:
+        assert sum(not r.kept for r in table) > len(table) / 3
