@@ -18,7 +18,7 @@ from ..functions import text as X
 from ..operators import evaluation as E
 from ..operators import extraction, providers, similarity
 from ..session import scratch_dir, table
-from ..sources import readers, sinks
+from ..sources import readers, records, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -587,6 +587,26 @@ def provisions_json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return readers.without_void(readers.read_provisions(spark, path))
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS provision_id, lang AS standard, source AS section_id, CAST(n_chars AS VARCHAR) AS title, text, 'may' AS modality FROM documents WHERE doc_id % 7 <> 0")
+def void_marks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as JSON arrays, read back by ranges of bytes; every seventh is marked as void and goes."""
+    path = _file(spark, "marked")
+    text = lambda c: F.col(c).cast("string")
+    rows = table(spark, sf, "documents").select(text("doc_id").alias("provision_id"), F.col("lang").alias("standard"), F.col("source").alias("section_id"), text("n_chars").alias("title"), "text", F.lit("may").alias("modality"), F.when(F.col("doc_id") % 7 == 0, True).alias("is_void"))
+    sinks.write_json_arrays(rows, path)
+    return readers.without_void(readers.read_provisions(spark, path))
+
+
+@query("SELECT doc_id, 'says \"' || text || '\",' || chr(10) || lang AS text, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM documents")
+def csv_line_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, line breaks and quotes included, as CSV in the order of their ids, read back by ranges of bytes with the number of each row."""
+    path = _file(spark, "lines")
+    said = F.concat(F.lit('says "'), "text", F.lit('",\n'), "lang")
+    sinks.write_csv(table(spark, sf, "documents").select(F.col("doc_id"), said.alias("text")).orderBy("doc_id"), path)
+    back = records.numbered(records.read_csv(spark, path))
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "number")
+
+
 @query(_CMP_SQL + "SELECT cls.method, label, support, cls.precision, cls.recall, cls.f1, accuracy, det.f1 AS detection_f1 FROM cls JOIN macro USING (method) JOIN det ON det.method = cls.method")
 def metrics_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     detection = E.detection_metrics(_truth(spark, sf), _predictions(spark, sf), _methods(spark))

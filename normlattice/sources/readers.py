@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import text as X
+from . import records
 
 ORD = T.StructType([T.StructField("file", T.StringType()), T.StructField("row", T.LongType())])
-CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -25,13 +25,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_provisions(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of provisions."""
-    return spark.read.schema(S.PROVISION).json(path, multiLine=True)
+    """A JSON array of provisions, with is_void, the mark of those that are void (null: no mark)."""
+    return records.read_json_array(spark, path, T.StructType([*S.PROVISION, T.StructField("is_void", T.BooleanType())]))
 
 
 def without_void(df: DataFrame) -> DataFrame:
-    """Rows that aren't marked void, where there is such a mark."""
-    return df.filter(~F.coalesce(F.col("is_void"), F.lit(False))) if "is_void" in df.columns else df
+    """Rows that aren't marked void, without the mark; df as it is where it has none."""
+    return df.filter(~F.coalesce(F.col("is_void"), F.lit(False))).drop("is_void") if "is_void" in df.columns else df
 
 
 def with_merged(df: DataFrame, column: str) -> DataFrame:
@@ -39,7 +39,7 @@ def with_merged(df: DataFrame, column: str) -> DataFrame:
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    return with_merged(spark.read.schema(S.TRUTH).csv(path, **CSV), "relationship")
+    return with_merged(records.read_csv(spark, path, S.TRUTH).drop("ord"), "relationship")
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
@@ -51,12 +51,10 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
 
 def read_predictions(spark: SparkSession, path: str, method: str) -> DataFrame:
     """A method's CSV with any score column, as schemas.PREDICTION with ord, the order of files by name and of rows in them."""
-    df = require(spark.read.csv(path, **CSV), "src_id", "tgt_id", "predicted_rel")
+    df = require(records.read_csv(spark, path), "src_id", "tgt_id", "predicted_rel")
     score = next((c for c in df.columns if c.endswith("_score")), None)
     cols = [F.lit(method).alias("method"), "src_id", "tgt_id", (F.col(score).cast("double") if score else F.lit(None).cast("double")).alias("score"), "predicted_rel"]
-    # a file of quoted lines is read by one task, so the ids ascend within it
-    order = F.struct(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("row"))
-    return with_merged(df.select(*cols, order.alias("ord")), "predicted_rel")
+    return with_merged(df.select(*cols, "ord"), "predicted_rel")
 
 
 def read_all_predictions(spark: SparkSession, paths: Mapping[str, str]) -> tuple[DataFrame, list[str]]:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,24 @@ def write_json_array(df: DataFrame, path: str) -> None:
     out.close()
 
 
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """A folder of files, each a JSON array, written by the tasks and committed by Spark; nothing passes the driver."""
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for b in batches:
+            lines = []
+            for x in b.column(0).to_pylist():
+                lines.append(lead + x)
+                lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        if lead == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
+
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    rows.mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
+
+
 def csv_ready(df: DataFrame) -> DataFrame:
     """Arrays of strings as text of a list, which CSV can hold."""
     return df.select(*(X.list_text(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.ArrayType) else F.col(f.name) for f in df.schema))
