@@ -68,27 +68,6 @@ def keywords(c: Column, vocabulary: Sequence[str]) -> Column:
     return F.array_sort(F.array_intersect(words, F.array(*map(F.lit, vocabulary)).cast("array<string>")))
 
 
-def terms(c: Column, stop_words: Sequence[str]) -> Column:
-    """Words of two or more characters without stop words, followed by their bigrams."""
-    stop = F.array(*map(F.lit, stop_words)).cast("array<string>")
-    words = F.filter(word_runs(c, 2), lambda w: ~F.array_contains(stop, w))
-    after = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
-    pairs = F.filter(F.zip_with(words, after, lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
-    return F.concat(words, pairs)
-
-
-def tallied(items: Column) -> Column:
-    """(item, n) of each distinct item of an array, counted within the row: no shuffle."""
-    none = F.array().cast("array<struct<item:string,n:int>>")
-
-    def runs(a: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
-        return F.get(F.transform(F.array(starts), lambda s: F.zip_with(s, F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(a))), lambda i, j: F.struct(F.get(a, i).alias("item"), (j - i).alias("n")))), F.lit(0))
-
-    found = F.get(F.transform(F.array(F.sort_array(items)), runs), F.lit(0))
-    return F.when(F.size(items) > 0, found).otherwise(none)
-
-
 def label_of(score: Column, cuts: Sequence[tuple[float, str]]) -> Column:
     """The label of the first bound that the score reaches."""
     out = F

@@ -24,7 +24,9 @@ def session(app: str = "normlattice", **more: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     for k, v in (SETTINGS | more).items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    out = builder.getOrCreate()
+    ship(out)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +57,11 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet in the scratch folder and read again: lineage ends there.
 
-    The files stay until clear_scratch(), as other results may read them.
+    The files stay until clear_scratch(), as other results may read them. The package is sent to
+    executors that lack it, as their tasks may run code of it.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
