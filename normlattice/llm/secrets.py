@@ -26,8 +26,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORD = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 #: A token of the alphabet of credentials, with a letter and a digit.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=@-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{16,}(?![@A-Za-z0-9])")
-#: The password of user:password@host, and what follows a cue, letters only and short ones included.
-LOGIN = re.compile(r"://[^\s:/@]{0,64}:([^\s/@]{4,256})@(?=[A-Za-z0-9\[])")
+#: What stands between :// and the path, and what follows a cue, letters only and short ones included.
+AUTHORITY = re.compile(r"://([^\s/]+)")
+SHORTEST_PASSWORD = 4
 CUED = re.compile(r"""\b(?:pw|pwd|pass(?:word|wd|phrase)?|secret|token|(?:api|private|access)?[_-]?key|credentials?|bearer|auth(?:orization)?)["']?(?:\x20*[:=]\x20*(?:bearer\x20+)?|\x20+(?:is\x20+)?)["']?([A-Za-z0-9+/_.=-]{8,})(?![@A-Za-z0-9])""", re.I | re.A)
 KINDS = ("assign", "access", "hex", "model")
 
@@ -54,11 +55,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def logins(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the passwords of user:password@host: from the first colon to the last @ of the authority, of any length."""
+    for m in AUTHORITY.finditer(text):
+        user, at, host = m[1].rpartition("@")
+        name, colon, password = user.partition(":")
+        if at and colon and len(password) >= SHORTEST_PASSWORD and re.match(r"[A-Za-z0-9\[]", host):
+            start = m.start(1) + len(name) + 1
+            yield start, start + len(password)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """(start, end) of other tokens that could be credentials; one may reach beyond a base span, none lies in one."""
     found = {(m.start(), m.end()) for m in CANDIDATE.finditer(text)}
     if "://" in text:
-        found |= {m.span(1) for m in LOGIN.finditer(text)}
+        found |= set(logins(text))
     for m in CUED.finditer(text):
         a, e = m.span(1)
         found.add((a, a + len(m[1].rstrip("."))))

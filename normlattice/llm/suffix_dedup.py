@@ -63,15 +63,15 @@ def _gram_hashes(x: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
-def segments(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, segment's hash, first start, starts) of a text's segments, in order."""
+def segments(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchor, segment's hash, first start, starts) of a text's segments, in order, BLOCK starts at a time."""
     import xxhash
 
     n = len(raw) - LENGTH + 1
-    none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none
-    x, parts = np.frombuffer(raw, np.uint8), []
+        return
+    x = np.frombuffer(raw, np.uint8)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
         m = min(BLOCK, n - at)
         h = _gram_hashes(x[at : at + m + LENGTH - 1])
@@ -83,11 +83,9 @@ def segments(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         key = np.minimum(key[: len(key) - (GRAMS - width)], key[GRAMS - width :])
         where = (key & np.uint64((1 << 21) - 1)).astype(np.int64)
         first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
-        parts.append((h[where[first]].view(np.int64), first + at, np.diff(np.append(first, m))))
-    anchor, start, count = (np.concatenate(c) for c in zip(*parts, strict=True))
-    digest = xxhash.xxh64_intdigest
-    own = [digest(raw[a:b]) for a, b in zip(start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)]
-    return anchor, np.array(own, np.uint64).view(np.int64), start, count
+        start, count = first + at, np.diff(np.append(first, m))
+        own = [digest(raw[a:b]) for a, b in zip(start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)]
+        yield h[where[first]].view(np.int64), np.array(own, np.uint64).view(np.int64), start, count
 
 
 ROW = "kind byte, pkey long, anchor long, seg long, ord long, tie long, start long, n long"
@@ -97,6 +95,16 @@ _ROW_NAMES = ["kind", "pkey", "anchor", "seg", "ord", "tie", "start", "n"]
 PLAIN, HOT, REPEAT, SIGN = 0, 1, 2, 3
 
 
+def _runs(order: np.ndarray, tie: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(ord, tie, start, n) with adjoining stretches of one document in one."""
+    if not len(start):
+        return order, tie, start, n
+    at = np.lexsort((start, tie, order))
+    order, tie, start, n = order[at], tie[at], start[at], n[at]
+    new = np.flatnonzero(np.append(True, (order[1:] != order[:-1]) | (tie[1:] != tie[:-1]) | (start[1:] != start[:-1] + n[:-1])))
+    return order[new], tie[new], start[new], np.add.reduceat(n, new)
+
+
 def _combine(cols: list[np.ndarray]) -> pa.RecordBatch:
     """Rows of a batch, repeated segments and hot anchors marked."""
     anchor, seg, order, tie, start, n = cols
@@ -108,10 +116,16 @@ def _combine(cols: list[np.ndarray]) -> pa.RecordBatch:
     many = np.bincount(group, weights=new_seg)[group] >= HOT_SEGMENTS
     kind = np.where(~new_seg, REPEAT, np.where(many, HOT, PLAIN)).astype(np.int8)
     spread = (seg ^ (anchor << np.int64(1))) if len(seg) else seg
-    pkey = np.where(kind == PLAIN, anchor, np.where(kind == HOT, spread, order * 1_000_003 + start))
+    pkey = np.where(kind == PLAIN, anchor, spread)
     sign = new_anchor & many
-    out = [np.append(c, c[sign]) for c in (anchor, seg, order, tie, start, n)]
-    kind, pkey = np.append(kind, np.full(int(sign.sum()), SIGN, np.int8)), np.append(pkey, anchor[sign])
+    again = kind == REPEAT
+    runs = _runs(order[again], tie[again], start[again], n[again])
+    # of repeats only the place counts from here on: adjoining ones are one row
+    none = np.zeros(len(runs[0]), np.int64)
+    rest = ~again
+    out = [np.concatenate([c[rest], c[sign], r]) for c, r in zip((anchor, seg, order, tie, start, n), (none, none, *runs), strict=True)]
+    kind = np.concatenate([kind[rest], np.full(int(sign.sum()), SIGN, np.int8), np.full(len(none), REPEAT, np.int8)])
+    pkey = np.concatenate([pkey[rest], anchor[sign], runs[0] * 1_000_003 + runs[2]])
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([kind, pkey, *out], _ROW_TYPES, strict=True)], _ROW_NAMES)
 
 
@@ -120,12 +134,12 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = 0
     for b in batches:
         for order, tie, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            anchor, seg, start, n = segments(raw.as_py())
-            held.append([anchor, seg, np.full(len(n), order), np.full(len(n), tie), start, n])
-            rows += len(n)
-            if rows >= COMBINE_ROWS:
-                yield _combine([np.concatenate(c) for c in zip(*held, strict=True)])
-                held, rows = [], 0
+            for anchor, seg, start, n in segments(raw.as_py()):
+                held.append([anchor, seg, np.full(len(n), order), np.full(len(n), tie), start, n])
+                rows += len(n)
+                if rows >= COMBINE_ROWS:
+                    yield _combine([np.concatenate(c) for c in zip(*held, strict=True)])
+                    held, rows = [], 0
     if held:
         yield _combine([np.concatenate(c) for c in zip(*held, strict=True)])
 

@@ -5,9 +5,10 @@ inside their overlap, where both have a token boundary and agree on the tokens t
 they don't, the overlap is widened, and in the end the chunk.
 
 A place is stable if the byte-level pattern can't match across it, whatever stands around: between
-a character that is no white space and one that is, and in ASCII between letters, digits and other
+a character that is no white space and one that is, and between letters, numbers and other
 characters, but not from a white space to what follows nor from an apostrophe to a letter, which
-can be one match. So the tokens on the two sides of a stable place don't depend on each other.
+can be one match. Characters that were of another class, or none, in an old version of Unicode are
+taken for none of the three, as the library may have any version. So the tokens on the two sides of a stable place don't depend on each other.
 
 A tokenizer with another pattern encodes each text in one call.
 """
@@ -17,7 +18,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,11 +34,30 @@ LIMIT = 1024
 
 #: Unicode's White_Space, as the library's pattern has it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_OTHER = r"!-/:-@\[-`{-~"
-_STABLE = re.compile(
-    f"(?<=[^{WHITE}])(?=[{WHITE}])|(?<=[A-Za-z])(?=[0-9{_OTHER}])|(?<=[0-9])(?=[A-Za-z{_OTHER}])"
-    f"|(?<=[{_OTHER}])(?=[0-9])|(?<=[{_OTHER}])(?<!')(?=[A-Za-z])"
-)
+
+
+def _classes() -> dict[str, str]:
+    """Ranges of the letters, numbers and other characters of the basic plane whose class is the same in Unicode 3.2 and now."""
+    old, white = unicodedata.ucd_3_2_0.category, re.compile(f"[{WHITE}]")
+    found: dict[str, list[list[int]]] = {"L": [], "N": [], "O": []}
+    for c in range(0x10000):
+        kind = unicodedata.category(chr(c))
+        if kind != old(chr(c)) or kind in ("Cn", "Cs", "Co") or white.match(chr(c)):
+            continue
+        ranges = found[kind[0] if kind[0] in "LN" else "O"]
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return {k: "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in v) for k, v in found.items()}
+
+
+@cache
+def stable() -> re.Pattern:
+    """Matches, with nothing in it, at stable places."""
+    k = _classes()
+    changes = [f"(?<=[{k[x]}])(?=[{k[y]}])" for x, y in ("LN", "LO", "NL", "NO", "ON")]
+    return re.compile("|".join([f"(?<=[^{WHITE}])(?=[{WHITE}])", *changes, f"(?<=[{k['O']}])(?<!')(?=[{k['L']}])"]))
 
 
 class Counter:
@@ -105,7 +127,7 @@ class Counter:
     def _splice(self, text, left, at, end, right, begin, done) -> tuple[int, int, int] | None:
         """Tokens of left before, and of right before, a stable boundary of both after done whose followers agree; its place."""
         sure = end - MARGIN
-        places = [m.start() for m in _STABLE.finditer(text, max(begin + MARGIN, done + 1), sure)]
+        places = [m.start() for m in stable().finditer(text, max(begin + MARGIN, done + 1), sure)]
         for p in reversed(places):
             i, j = left.char_to_token(p - at), right.char_to_token(p - begin)
             if i is None or j is None or left.token_to_chars(i)[0] != p - at or right.token_to_chars(j)[0] != p - begin:

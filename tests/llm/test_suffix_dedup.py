@@ -98,3 +98,17 @@ def test_hot_anchors_are_marked_in_a_batch():
     cols = [np.full(n, 5), np.arange(n) // 2, np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, np.int64)]
     kinds = suffix_dedup._combine(cols).column(0).to_pylist()
     assert [kinds.count(k) for k in (suffix_dedup.PLAIN, suffix_dedup.HOT, suffix_dedup.REPEAT, suffix_dedup.SIGN)] == [0, 100, 100, 1]
+
+
+def test_long_runs_of_one_byte_stay_small(spark, monkeypatch):
+    """A batch gives a row for each stretch of repeats, whatever their number, and holds COMBINE_ROWS of them."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1 << 14)
+    monkeypatch.setattr(suffix_dedup, "COMBINE_ROWS", 1 << 15)
+    raw = b"x" * 200_000
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([raw])], ["ord", "tie", "raw"])
+    rows = list(suffix_dedup._anchor_rows(iter([batch])))
+    assert sum(b.num_rows for b in rows) < 20 < len(list(suffix_dedup.segments(raw))[0][0])
+    docs = spark.createDataFrame([(1, "x" * 200_000), (2, "ab" * 60_000 + "x" * 150)], "doc_id long, text string")
+    assert got(suffix_dedup.dedup(docs)) == wanted([(1, "x" * 200_000), (2, "ab" * 60_000 + "x" * 150)])

@@ -71,3 +71,15 @@ def test_queries_on_odd_rows(spark):
 def test_other_patterns_take_whole_texts():
     assert not tokens.Counter(WORDS).splits
     assert tokens.Counter(WORDS).count("It's two") == len(_lib(WORDS).encode("It's two", add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("unit", ["漢字仮名交文章長短。", "слово, ", "ééàü— ", "1٣४!", "中文，"])
+def test_production_chunks_of_long_texts_in_other_scripts(unit):
+    rng = np.random.default_rng(1)
+    x = "".join(np.array(list(unit * 2))[rng.permutation(2 * len(unit))].tobytes().decode("utf-32-le") for _ in range(100_000 // (2 * len(unit))))
+    own = tokens.Counter(BYTES)
+    seen = []
+    encode = own._encode
+    own._encode = lambda t: (seen.append(len(t)), encode(t))[1]
+    assert own.count(x) == len(_lib(BYTES).encode(x, add_special_tokens=False).ids)
+    assert max(seen) <= 4 * tokens.CHUNK and sum(seen) < 1.3 * len(x)
