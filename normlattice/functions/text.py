@@ -19,16 +19,24 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{_WHITE}+|{_WHITE}+\z", "")
 
 
-def clean_text(c: Column) -> Column:
-    """Without publisher lines and running headers, three or more newlines as two, stripped."""
+def clean_lines(c: Column) -> Column:
+    """Without publisher lines and running headers, three or more newlines as two."""
     # fixed values: the publisher's line and the running header
     for pattern, to in ((r"ETSI\s*\n", "\n"), (r"ETSI EN \d+ \d+ V[\d.]+ \(\d{4}-\d{2}\)\s*\n", "\n"), (r"\n{3,}", "\n\n")):
         c = F.regexp_replace(c, pattern, to)
-    return strip(c)
+    return c
+
+
+def clean_text(c: Column) -> Column:
+    """clean_lines(), stripped."""
+    return strip(clean_lines(c))
+
+
+# fixed values: the marker of the annex that is cut off, and the offset from which on; the default words below
+MARKER, MARKER_AFTER = "\nAnnex B", 50_000
 
 
-# fixed values: the defaults of the marker and the words below
-def cut_at_marker(c: Column, marker: str = "\nAnnex B", after: int = 50_000) -> Column:
+def cut_at_marker(c: Column, marker: str = MARKER, after: int = MARKER_AFTER) -> Column:
     """The text before the first marker at or after an offset in characters; all of it without one."""
     at = F.locate(marker, c, after + 1)
     return F.when(at > 0, F.substring(c, F.lit(1), at - 1)).otherwise(c)

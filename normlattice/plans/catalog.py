@@ -127,6 +127,23 @@ def provisions_b(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.provisions_b(_standard(spark, sf, _PIECE_B), "text", readers.dimension(spark, S.SECTIONS_B))
 
 
+def _standard_files(spark: SparkSession, sf: str, piece: str) -> str:
+    """The documents of _standard as text files, a file each."""
+    path = f"{scratch_dir(spark)}/standards-{uuid.uuid4().hex}"
+    _standard(spark, sf, piece).write.partitionBy("doc").text(path)
+    return path
+
+
+@query(ORACLES["provisions_a"])
+def provisions_a_files(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.provisions_a_of_files(spark, _standard_files(spark, sf, _PIECE_A), readers.dimension(spark, S.SECTIONS_A))
+
+
+@query(ORACLES["provisions_b"])
+def provisions_b_files(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.provisions_b_of_files(spark, _standard_files(spark, sf, _PIECE_B), readers.dimension(spark, S.SECTIONS_B))
+
+
 @query(r"""
 SELECT doc_id, n_chars FROM documents
 WHERE NOT (regexp_matches(text, '(?m)^\s*[Oo]f\.?\s*$') OR contains(substr(text, 1, 20), 'The'))
