@@ -36,28 +36,35 @@ LIMIT = 1024
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
-def _classes() -> dict[str, str]:
-    """Ranges of the letters, numbers and other characters of the basic plane whose class is the same in Unicode 3.2 and now."""
+SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
+#: Classes of the characters before and after a stable place, but for a letter after an apostrophe.
+_CHANGES = {(a, SPACE) for a in (LETTER, NUMBER, OTHER, UNSURE)} | {(a, b) for a in (LETTER, NUMBER, OTHER) for b in (LETTER, NUMBER, OTHER) if a != b}
+
+
+@cache
+def classes() -> bytes:
+    """The class of each character of the basic plane; UNSURE where that of Unicode 3.2 is another one than now."""
     old, white = unicodedata.ucd_3_2_0.category, re.compile(f"[{WHITE}]")
-    found: dict[str, list[list[int]]] = {"L": [], "N": [], "O": []}
+    out = bytearray([UNSURE]) * 0x10000
     for c in range(0x10000):
         kind = unicodedata.category(chr(c))
-        if kind != old(chr(c)) or kind in ("Cn", "Cs", "Co") or white.match(chr(c)):
-            continue
-        ranges = found[kind[0] if kind[0] in "LN" else "O"]
-        if ranges and ranges[-1][1] == c - 1:
-            ranges[-1][1] = c
-        else:
-            ranges.append([c, c])
-    return {k: "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in v) for k, v in found.items()}
+        if white.match(chr(c)):
+            out[c] = SPACE
+        elif kind == old(chr(c)) and kind not in ("Cn", "Cs", "Co"):
+            out[c] = {"L": LETTER, "N": NUMBER}.get(kind[0], OTHER)
+    return bytes(out)
 
 
-@cache
-def stable() -> re.Pattern:
-    """Matches, with nothing in it, at stable places."""
-    k = _classes()
-    changes = [f"(?<=[{k[x]}])(?=[{k[y]}])" for x, y in ("LN", "LO", "NL", "NO", "ON")]
-    return re.compile("|".join([f"(?<=[^{WHITE}])(?=[{WHITE}])", *changes, f"(?<=[{k['O']}])(?<!')(?=[{k['L']}])"]))
+def stable_places(text: str, first: int, end: int) -> Iterator[int]:
+    """Stable places from first up to before end, the last one first."""
+    kinds = classes()
+    after = UNSURE
+    for p in range(end - 1, max(first, 1) - 2, -1):
+        c = ord(text[p])
+        kind = kinds[c] if c < 0x10000 else UNSURE
+        if p < end - 1 and (kind, after) in _CHANGES and not (after == LETTER and text[p] == "'"):
+            yield p + 1
+        after = kind
 
 
 class Counter:
@@ -127,8 +134,7 @@ class Counter:
     def _splice(self, text, left, at, end, right, begin, done) -> tuple[int, int, int] | None:
         """Tokens of left before, and of right before, a stable boundary of both after done whose followers agree; its place."""
         sure = end - MARGIN
-        places = [m.start() for m in stable().finditer(text, max(begin + MARGIN, done + 1), sure)]
-        for p in reversed(places):
+        for p in stable_places(text, max(begin + MARGIN, done + 1), sure):
             i, j = left.char_to_token(p - at), right.char_to_token(p - begin)
             if i is None or j is None or left.token_to_chars(i)[0] != p - at or right.token_to_chars(j)[0] != p - begin:
                 continue
