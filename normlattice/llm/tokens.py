@@ -109,29 +109,31 @@ class Counter:
         to the text where no place is stable.
         """
         at, end, skip, done = 0, min(len(text), self.chunk), 0, 0
-        left = self._encode(text[at:end])
+        left, ids = self._encode(text[at:end]), None
         while end < len(text):
             overlap, cut = self.overlap, None
             while cut is None:
                 begin = max(at, end - overlap)
                 if begin == at:  # no overlap within the chunk aligns: a chunk twice as wide
                     end = min(len(text), at + 2 * (end - at))
-                    left, overlap = self._encode(text[at:end]), self.overlap
+                    left, ids, overlap = self._encode(text[at:end]), None, self.overlap
                     if end == len(text):
                         break
                     continue
                 until = min(len(text), begin + max(self.chunk, 2 * overlap))
                 right = self._encode(text[begin:until])
-                cut = self._splice(text, left, at, end, right, begin, done)
+                # an encoding makes a new list of its ids each time that it is asked
+                ids, new = left.ids if ids is None else ids, right.ids
+                cut = self._splice(text, left, ids, at, end, right, new, begin, done)
                 overlap *= 2
             if cut is None:
                 break
             i, j, done = cut
-            yield i - skip, lambda left=left, skip=skip, i=i: left.ids[skip:i]
-            left, at, end, skip = right, begin, until, j
+            yield i - skip, lambda ids=ids, skip=skip, i=i: ids[skip:i]
+            left, ids, at, end, skip = right, new, begin, until, j
         yield len(left) - skip, lambda left=left, skip=skip: left.ids[skip:]
 
-    def _splice(self, text, left, at, end, right, begin, done) -> tuple[int, int, int] | None:
+    def _splice(self, text, left, left_ids, at, end, right, right_ids, begin, done) -> tuple[int, int, int] | None:
         """Tokens of left before, and of right before, a stable boundary of both after done whose followers agree; its place."""
         sure = end - MARGIN
         for p in stable_places(text, max(begin + MARGIN, done + 1), sure):
@@ -145,7 +147,7 @@ class Counter:
                 j -= 1
             k = left.char_to_token(sure - at)
             n = (k - i) if k is not None else 1
-            if left.ids[i : i + n] == right.ids[j : j + n]:
+            if left_ids[i : i + n] == right_ids[j : j + n]:
                 return i, j, p
         return None
 
