@@ -15,12 +15,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as X
-from ..session import materialise, ship, small
+from ..session import MAX_BROADCAST, materialise, ship, small
 
 #: Rows in a block of a grid.
 BLOCK_ROWS = 1000
@@ -30,8 +30,6 @@ WORD = re.compile(r"\w{2,}")
 MAX_POSTINGS = 1_000_000
 #: Terms in more than 1 / HOT_TERMS of all postings are broadcast with their weight: they are fewer than that.
 HOT_TERMS = 10_000
-#: Tasks that share the sets of a keyword.
-SET_SALTS = 16
 #: Postings of a term that one task joins.
 TERM_ROWS = 10_000
 
@@ -233,31 +231,140 @@ def _labelled(pairs: DataFrame, cuts: Sequence[tuple[float, str]], *more: str) -
 # ---------------------------------------------------------------- keyword sets
 
 
+#: Words of one bitmap, which is a long; sets that one task compares with as many, and rows of one set in a task.
+BITS, SET_ROWS = 63, 10_000
+#: To spare where bounds of sizes are rounded.
+ROUNDING = 1e-9
+
+
+def _chunks(order: Sequence) -> list[str]:
+    """Arrays in SQL of each BITS members of an order; words are small letters, others are numbers."""
+    return [f"array({', '.join(map(repr, order[j : j + BITS]))})" for j in range(0, len(order), BITS)]
+
+
+def bitmaps(words: str, order: Sequence[str]) -> list[Column]:
+    """A set of words, given in SQL, as longs: bit i of column j is word BITS * j + i of the order."""
+    bit = "(bits, w) -> bits | if(array_contains({0}, w), shiftleft(1L, cast(array_position({0}, w) - 1 AS int)), 0L)"
+    return [F.expr(f"aggregate({words}, 0L, {bit.format(x)})") for x in _chunks(order)]
+
+
+def members(bits: Sequence[str], order: Sequence) -> Column:
+    """The members of a bitmap, whose longs are given in SQL, by their order."""
+    return F.expr(f"concat({', '.join(f'filter({x}, (m, i) -> getbit({c}, i) = 1)' for x, c in zip(_chunks(order), bits, strict=True))})")
+
+
+def _size(bits: Sequence[str]) -> Column:
+    return F.expr(" + ".join(f"bit_count({c})" for c in bits))
+
+
+def _first(bits: Sequence[str]) -> Column:
+    """The place of the lowest bit that is set."""
+    return F.expr(f"coalesce({', '.join(f'if(({c}) <> 0, bit_count((({c}) & -({c})) - 1) + {BITS * j}, null)' for j, c in enumerate(bits))})")
+
+
+def _ranked_sets(kinds: Sequence[DataFrame], order: Sequence[str]) -> list[DataFrame]:
+    """Written tables (w.., n_rows, r.., size) of the different sets of both sides; bits r are ordered from the rarest word on."""
+    width = -(-len(order) // BITS)
+    w = [f"w{j}" for j in range(width)]
+    words = members(w, order)
+    both = kinds[0].select(*w).unionByName(kinds[1].select(*w))
+    found = {r.k: r.n for r in both.select(F.explode(words).alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()}
+    rarest = sorted(order, key=lambda x: (found.get(x, 0), x))
+    r = [c.alias(f"r{j}") for j, c in enumerate(bitmaps("words", rarest))]
+    return [materialise(x.select("*", words.alias("words")).select(*w, "n_rows", *r, _size(w).alias("size")), "sets") for x in kinds]
+
+
+def prefixes(a: DataFrame, b: DataFrame, width: int, n_words: int, threshold: float) -> list[DataFrame]:
+    """Both sides' sets, once for each rare word k that a partner must have too: (src_r.., src_size, tgt_size, k) and (tgt_r.., tgt_size, k).
+
+    A partner of a set of n words has threshold * n to n / threshold words. With one of m words it
+    shares threshold / (1 + threshold) * (m + n) of them, so the rarest shared one is among its first
+    ones: all but as many, and one more.
+    """
+    t = min(threshold, 1.0)
+    named = lambda x, side: x.select(*(F.col(f"r{j}").alias(f"{side}_r{j}") for j in range(width)), F.col("size").alias(f"{side}_size"))
+    a, b = named(a, "src"), named(b, "tgt")
+    n, m = F.col("src_size"), F.col("tgt_size")
+    up = lambda x: F.ceil(x - ROUNDING).cast("int")
+    most = F.greatest(n, F.least(F.floor(n / t + ROUNDING), F.lit(n_words)).cast("int"))
+    a = a.withColumn("tgt_size", F.explode(F.sequence(up(n * t), most)))
+
+    def exploded(x: DataFrame, side: str, length: Column) -> DataFrame:
+        places = members([f"{side}_r{j}" for j in range(width)], range(n_words))
+        return x.withColumn("k", F.explode(F.slice(places, F.lit(1), F.greatest(length, F.lit(0)))))
+
+    return [exploded(a, "src", n - up((m + n) * (t / (1 + t))) + 1), exploded(b, "tgt", m - up(m * t) + 1)]
+
+
+def _set_pairs(a: DataFrame, b: DataFrame, width: int, n_words: int, threshold: float) -> DataFrame:
+    """(src_r.., tgt_r.., s) of the sets that are alike: they meet where they share the rarest word and the sizes fit.
+
+    Sets of one word and size are dealt to blocks of SET_ROWS; each two blocks meet in a task.
+    """
+    a, b = prefixes(a, b, width, n_words, threshold)
+    key = ["k", "tgt_size"]
+    parts = lambda x, name: x.groupBy(*key).agg(F.ceil(F.count("*") / SET_ROWS).alias(name))
+    # at most a row for each word and size
+    dealt = materialise(parts(a, "src_parts").join(parts(b, "tgt_parts"), key), "set-blocks")
+
+    def blocks(x: DataFrame, mine: str, peer: str) -> DataFrame:
+        own = F.pmod(F.xxhash64(*(f"{mine}_r{j}" for j in range(width))), F.col(f"{mine}_parts"))
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{peer}_parts") - 1))
+        return x.join(small(dealt), key).withColumn(f"{mine}_part", own).withColumn(f"{peer}_part", each).drop("src_parts", "tgt_parts")
+
+    met = blocks(a, "src", "tgt").join(blocks(b, "tgt", "src"), [*key, "src_part", "tgt_part"])
+    shared = [f"src_r{j} & tgt_r{j}" for j in range(width)]
+    n = _size(shared)
+    met = met.filter(_first(shared) == F.col("k")).withColumn("s", n / (F.col("src_size") + F.col("tgt_size") - n))
+    return met.filter(F.col("s") >= threshold).select(*(f"{side}_r{j}" for side in ("src", "tgt") for j in range(width)), "s")
+
+
+def _with_rows(pairs: DataFrame, rows: DataFrame, kinds: DataFrame, side: str, width: int) -> DataFrame:
+    """Pairs of sets with the rows that have the set of one side; rows of a frequent set are dealt as written."""
+    w = [f"{side}_w{j}" for j in range(width)]
+    named = lambda x, *more: x.select(*(F.col(f"w{j}").alias(f"{side}_w{j}") for j in range(width)), *more)
+    total = kinds.agg(F.sum("n_rows")).first()[0] or 0
+    most = max(SET_ROWS, total // MAX_BROADCAST)
+    # fewer than MAX_BROADCAST sets have so many rows
+    hot = F.broadcast(named(kinds.filter(F.col("n_rows") > most), F.ceil(F.col("n_rows") / most).alias("parts")))
+    n = F.coalesce("parts", F.lit(1))
+    own = named(rows, F.col("id").alias(f"{side}_id"), F.monotonically_increasing_id().alias("turn")).join(hot, w, "left")
+    own = own.withColumn("part", F.pmod("turn", n)).drop("turn", "parts")
+    each = pairs.join(hot, w, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("parts")
+    return each.join(own, [*w, "part"]).drop("part")
+
+
 def jaccard_pairs(a: DataFrame, b: DataFrame, vocabulary: Sequence[str], threshold: float = S.PAIR_THRESHOLDS["jaccard"]) -> DataFrame:
     """(src_id, tgt_id, score, shared_keywords, predicted_rel) of pairs whose keyword sets are alike.
 
-    Only the different sets of each side are compared, of which there are far fewer than rows: they
-    meet on the first keyword that they share, dealt by salt. Then the rows with these sets follow,
-    so rows that share an id or repeat give a pair each. Rows without a keyword give none.
+    Sets are bitmaps. Only the different ones of each side are compared, of which there are far fewer
+    than rows: those with fitting sizes that share one of their rarest keywords (prefixes tells which).
+    Then the rows with these sets follow, so rows that share an id or repeat give a pair each. Rows
+    without a keyword, null texts among them, give none, nor does an empty vocabulary. No similarity is
+    above 1, so neither does such a threshold.
     """
     if threshold <= 0:
         raise ValueError("pairs without a common keyword are not joined")
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        words = X.keywords(F.col("text"), vocabulary)
-        return df.toDF("id", "text").select(F.col("id").alias(f"{name}_id"), words.alias(f"{name}_k")).filter(F.size(f"{name}_k") > 0)
-
-    rows_a, rows_b = side(a, "src"), side(b, "tgt")
-    kinds_a = rows_a.select("src_k").distinct().select("*", F.explode("src_k").alias("k"))
-    kinds_a = kinds_a.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SET_SALTS - 1).cast("long"))).alias("salt"))
-    kinds_b = rows_b.select("tgt_k").distinct().select("*", F.explode("tgt_k").alias("k"), F.pmod(F.xxhash64("tgt_k"), F.lit(SET_SALTS)).alias("salt"))
-    shared = F.array_intersect("src_k", "tgt_k")
-    met = kinds_a.join(kinds_b, ["k", "salt"]).withColumn("shared_keywords", shared)
-    met = met.filter(F.col("k") == F.array_min("shared_keywords"))
-    n = F.size("shared_keywords")
-    met = met.withColumn("s", n / (F.size("src_k") + F.size("tgt_k") - n)).filter(F.col("s") >= threshold)
-    pairs = met.select("src_k", "tgt_k", "shared_keywords", "s").join(rows_a, "src_k").join(rows_b, "tgt_k")
-    return _labelled(pairs, S.LEXICAL_CUTS, "shared_keywords")
+    # other words are no keywords of a text
+    order = sorted({x for x in vocabulary if re.fullmatch("[a-z]{3,}", x)}) or ["none"]
+    width = -(-len(order) // BITS)
+    w = [f"w{j}" for j in range(width)]
+
+    def side(df: DataFrame) -> DataFrame:
+        rows = df.toDF("id", "text").select("id", X.keywords(F.col("text"), order if vocabulary else []).alias("k")).filter(F.size("k") > 0)
+        return materialise(rows.select("id", *(c.alias(name) for c, name in zip(bitmaps("k", order), w, strict=True))), "bitmaps")
+
+    rows = [side(x) for x in (a, b)]
+    kinds = _ranked_sets([x.groupBy(*w).agg(F.count("*").alias("n_rows")) for x in rows], order)
+    pairs = _set_pairs(*kinds, width, len(order), threshold)
+    for name, x in zip(("src", "tgt"), kinds, strict=True):
+        renamed = x.select(*(F.col(f"r{j}").alias(f"{name}_r{j}") for j in range(width)), *(F.col(c).alias(f"{name}_{c}") for c in w))
+        pairs = pairs.join(small(renamed), [f"{name}_r{j}" for j in range(width)])
+    pairs = materialise(pairs.select("s", *(f"{name}_{c}" for name in ("src", "tgt") for c in w)), "set-pairs")
+    for name, own, kind in zip(("src", "tgt"), rows, kinds, strict=True):
+        pairs = _with_rows(pairs, own, kind, name, width)
+    shared = members([f"src_{c} & tgt_{c}" for c in w], order)
+    return _labelled(pairs.withColumn("shared_keywords", shared), S.LEXICAL_CUTS, "shared_keywords")
 
 
 # ---------------------------------------------------------------- dense vectors
@@ -382,10 +489,37 @@ def cosine_pairs(a: DataFrame, b: DataFrame, threshold: float, cuts: Sequence[tu
 
 
 def mean_pooled(tokens: DataFrame, key: str = "id", vector: str = "vector", mask: str = "mask") -> DataFrame:
-    """(key, vector): the mean of the token vectors whose mask is 1, for each key."""
-    rows = tokens.filter(F.col(mask) > 0).select(key, F.posexplode(vector).alias("d", "x"))
-    means = rows.groupBy(key, "d").agg(F.avg("x").alias("x"))
-    return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda e: e.x).alias(vector))
+    """(key, vector): the mean of the token vectors whose mask is above 0, for each key.
+
+    Whole vectors are summed up by key in each task before the shuffle, so no row for a dimension is
+    moved and a key with many tokens is no skew; what is merged in the end are a key's sums, one or
+    two for each length of its vectors. Null vectors count for nothing, null values for nothing at
+    their place; beyond the end of shorter vectors the longer ones count. A place without any value
+    is null. Null keys are a key, repeated rows count each. A key without a value left to count, or
+    with empty vectors only, has no row. Empty input: empty result.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    v = F.col(vector).cast("array<double>")
+    rows = tokens.filter((F.col(mask) > 0) & (F.size(vector) > 0)).select(F.col(key).alias("key"), v.alias("v"))
+    holes = F.exists("v", lambda x: x.isNull())
+    # zeros and, behind them, ones in place of the nulls of a vector that has some
+    full = F.concat(F.transform("v", lambda x: F.coalesce(x, F.lit(0.0))), F.transform("v", lambda x: F.when(x.isNull(), 1.0).otherwise(0.0)))
+    rows = rows.select("key", F.size("v").alias("size"), holes.alias("holes"), array_to_vector(F.when(holes, full).otherwise(F.col("v"))).alias("v"))
+    own = rows.groupBy("key", "size", "holes").agg(F.count("*").alias("n"), Summarizer.mean(F.col("v")).alias("m"))
+    own = own.select("key", F.struct("size", "holes", "n", vector_to_array("m").alias("m")).alias("s"))
+    sums = own.groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("s"), F.max("s.size").alias("size"))
+
+    def mean(d: Column) -> Column:
+        here = F.filter("s", lambda x: x["size"] > d)
+        at = lambda x: F.element_at(x.m, d + 1)
+        n = F.aggregate(here, F.lit(0.0), lambda t, x: t + x.n * F.when(x.holes, 1 - F.element_at(x.m, x["size"] + d + 1)).otherwise(1.0))
+        return F.when(n > 0.5, F.aggregate(here, F.lit(0.0), lambda t, x: t + x.n * at(x)) / n)
+
+    each = F.transform(F.sequence(F.lit(0), F.col("size") - 1), mean)
+    one = (F.size("s") == 1) & ~F.element_at("s", 1).holes
+    return sums.select(F.col("key").alias(key), F.when(one, F.element_at("s", 1).m).otherwise(each).alias(vector))
 
 
 def ranked(pairs: DataFrame, k: int | None = None) -> DataFrame:
