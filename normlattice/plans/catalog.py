@@ -18,7 +18,7 @@ from ..functions import text as X
 from ..operators import evaluation as E
 from ..operators import extraction, providers, similarity
 from ..session import scratch_dir, table
-from ..sources import readers, records, sinks
+from ..sources import matrix, readers, records, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -316,6 +316,26 @@ def topk_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.ranked(_search(spark, sf).filter("src_id <> tgt_id"), 10)
 
 
+@query(f"""
+WITH p AS ({_COSINE_SQL}), t AS (SELECT {matrix.TILE} AS size),
+r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS at FROM (SELECT DISTINCT src_id AS id FROM p)),
+c AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS at FROM (SELECT DISTINCT tgt_id AS id FROM p)),
+m AS (SELECT r.at // size AS tile_row, c.at // size AS tile_col, r.at % size AS y, c.at % size AS x, CAST(round(score * 10000) AS BIGINT) AS v,
+        least(size, (SELECT count(*) FROM r) - r.at // size * size) AS n_rows, least(size, (SELECT count(*) FROM c) - c.at // size * size) AS n_cols
+      FROM p JOIN r ON src_id = r.id JOIN c ON tgt_id = c.id, t)
+SELECT tile_row, tile_col, n_rows, n_cols, count(*) AS cells, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (y * n_cols + x)) AS BIGINT) AS moment
+FROM m GROUP BY tile_row, tile_col, n_rows, n_cols
+""")
+def matrix_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/matrix-{uuid.uuid4().hex}"
+    matrix.write_matrix(_search(spark, sf), path)
+    tiles = matrix.read_matrix(spark, path)[2]
+    v = F.transform("values", lambda x: F.round(x * 10000).cast("long"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + x)
+    out = tiles.withColumn("v", v).withColumn("cells", F.size(F.filter("v", lambda x: x != 0)).cast("long"))
+    return out.select("tile_row", "tile_col", "n_rows", "n_cols", "cells", total(F.col("v")).alias("total"), total(F.transform("v", lambda x, i: x * i)).alias("moment"))
+
+
 # ---------------------------------------------------------------- prompts and answers
 
 TEMPLATE = "Which of the labels fits?\nA: {first}\nB: {second}\nOne label only."
