@@ -7,6 +7,7 @@ stored answers. Every query reads its tables whole.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import text as X
 from ..operators import evaluation as E
-from ..operators import extraction, providers, similarity
+from ..operators import extraction, ledger, providers, similarity
 from ..session import scratch_dir, table
 from ..sources import matrix, readers, records, sinks
 
@@ -409,6 +410,28 @@ def stored_labels(spark: SparkSession, sf: str) -> DataFrame:
     return providers.label_pairs(pairs, answers, "stored").drop("score")
 
 
+def _stub_service():
+    """A labelling service without a network: the label follows from the length of the text, every seventh length fails."""
+
+    def ask(keys, requests):
+        texts = [json.loads(r)["contents"][0]["parts"][0]["text"] for r in requests]
+        return [{"error": "busy"} if len(t) % 7 == 0 else {"response": {"text": S.LABELS[len(t) % 3]}} for t in texts]
+
+    return ask
+
+
+@query(f"""
+SELECT 'ledger' AS method, CAST(conv_id AS VARCHAR) AS src_id, CAST(turn AS VARCHAR) AS tgt_id,
+  CASE WHEN text IS NULL OR length(text) % 7 = 0 THEN 'NO_RELATION' {" ".join(f"WHEN length(text) % 3 = {i} THEN '{S.LABELS[i]}'" for i in range(3))} END AS predicted_rel
+FROM conversations
+""")
+def ledger_labels(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations")
+    pairs = rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.col("conv_id").cast("string").alias("src_id"), F.col("turn").cast("string").alias("tgt_id"), "text")
+    path = f"{scratch_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    return ledger.label_with_ledger(pairs, F.col("text"), _stub_service, "ledger", path, attempts=2).drop("score")
+
+
 @query("SELECT vec_id, i - 1 AS d, CAST(CAST(embedding[i] AS STRING) AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def stored_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     values = F.struct(F.col("embedding").alias("values"))
