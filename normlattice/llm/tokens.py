@@ -1,8 +1,9 @@
 """Token counts with a public tokenizer, in bounded memory whatever the length of a text.
 
-A text is encoded in overlapping chunks with offsets. Two chunks are spliced at a stable place
-inside their overlap, where both have a token boundary and agree on the tokens that follow. Where
-they don't, the overlap is widened, and in the end the chunk.
+A text is encoded in overlapping chunks with offsets. An overlap reaches from the end of a chunk back
+to a stable place and a margin before it. Two chunks are spliced at a stable place inside their
+overlap, where both have a token boundary and agree on the tokens that follow. Where they don't, the
+overlap is widened, and in the end the chunk.
 
 A place is stable if the byte-level pattern can't match across it, whatever stands around: between
 a character that is no white space and one that is, and between letters, numbers and other
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a chunk, and of its overlap with the next one.
+#: Characters of a chunk, and the least of its overlap with the next one where that has been widened.
 CHUNK, OVERLAP = 1024, 96
 #: Characters at the ends of an overlap whose tokens may lack what stands around; no added token is as long.
 MARGIN = 24
@@ -111,21 +112,24 @@ class Counter:
         at, end, skip, done = 0, min(len(text), self.chunk), 0, 0
         left, ids = self._encode(text[at:end]), None
         while end < len(text):
-            overlap, cut = self.overlap, None
+            places, wide, cut = self._places(text, at, end, done), 0, None
             while cut is None:
-                begin = max(at, end - overlap)
-                if begin == at:  # no overlap within the chunk aligns: a chunk twice as wide
+                # the overlap reaches back to a stable place, so that most align at once
+                p = next((p for p in places if end - p + MARGIN >= wide), None)
+                if p is None:  # no overlap within the chunk aligns: a chunk twice as wide
                     end = min(len(text), at + 2 * (end - at))
-                    left, ids, overlap = self._encode(text[at:end]), None, self.overlap
+                    left, ids = self._encode(text[at:end]), None
                     if end == len(text):
                         break
+                    places, wide = self._places(text, at, end, done), 0
                     continue
-                until = min(len(text), begin + max(self.chunk, 2 * overlap))
+                begin = p - MARGIN
+                wide = max(self.overlap, 2 * (end - begin))
+                until = min(len(text), begin + max(self.chunk, wide))
                 right = self._encode(text[begin:until])
                 # an encoding makes a new list of its ids each time that it is asked
                 ids, new = left.ids if ids is None else ids, right.ids
                 cut = self._splice(text, left, ids, at, end, right, new, begin, done)
-                overlap *= 2
             if cut is None:
                 break
             i, j, done = cut
@@ -133,6 +137,11 @@ class Counter:
             left, ids, at, end, skip = right, new, begin, until, j
         yield len(left) - skip, lambda left=left, skip=skip: left.ids[skip:]
 
+    @staticmethod
+    def _places(text: str, at: int, end: int, done: int) -> Iterator[int]:
+        """Stable places of the chunk from at to end where it can be cut, the last one first."""
+        return stable_places(text, max(at + MARGIN, done) + 1, end - MARGIN)
+
     def _splice(self, text, left, left_ids, at, end, right, right_ids, begin, done) -> tuple[int, int, int] | None:
         """Tokens of left before, and of right before, a stable boundary of both after done whose followers agree; its place."""
         sure = end - MARGIN
