@@ -19,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import set_join, url_filter
@@ -279,12 +279,16 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = materialise(named.select("doc_id", "text_hash", "root"), "named")
     first = named.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))).alias("k"), F.count("*").alias("n"))
     pre = fresh(docs, "_one_")
-    id_, h, at = f"{pre}id", f"{pre}h", f"{pre}at"
+    id_, h = f"{pre}id", f"{pre}h"
     same = F.col("doc_id").eqNullSafe(F.col("k.id")) & (F.col("text_hash") == F.col("k.h"))
     gone = named.join(small(first.filter("n > 1")), "root").filter(~same)
     gone = materialise(gone.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(f"{h}h")).distinct(), "gone")
     hashed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
     kept = url_filter.without(hashed, gone, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(h) == F.col(f"{h}h")), h, f"{h}h")
-    if not named.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
-        kept = kept.withColumn(at, F.row_number().over(Window.partitionBy(id_col, h).orderBy(h))).filter(F.col(at) == 1)
+    again = named.groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(f"{h}h"))
+    again = materialise(again, "again")
+    if not again.isEmpty():
+        same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(h) == F.col(f"{h}h"))
+        once = kept.join(small(again), same, "left_semi").dropDuplicates([id_col, h])
+        kept = url_filter.without(kept, again, same, h, f"{h}h").unionByName(once)
     return kept.select(*docs.columns)
