@@ -657,6 +657,17 @@ def void_marks(spark: SparkSession, sf: str) -> DataFrame:
     return readers.without_void(readers.read_provisions(spark, path))
 
 
+@query("SELECT doc_id, text, lang, source, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS number FROM documents")
+def json_array_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as one JSON array in one file, the longest first, read back by ranges of bytes with the place of each record."""
+    path = _file(spark, "ordered")
+    docs = table(spark, sf, "documents").orderBy(F.desc("n_chars"), "doc_id")
+    sinks.write_json_array(docs.select("doc_id", "text", "lang", "source"), path)
+    back = records.json_records(spark, path)
+    kinds = "doc_id long, text string, lang string, source string"
+    return back.select(F.from_json("record", kinds).alias("r"), F.col("row").alias("number")).select("r.*", "number")
+
+
 @query("SELECT doc_id, 'says \"' || text || '\",' || chr(10) || lang AS text, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM documents")
 def csv_line_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """Documents, line breaks and quotes included, as CSV in the order of their ids, read back by ranges of bytes with the number of each row."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime
-import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,41 +12,77 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..session import ship
+
+#: Bytes of a fragment that are held when fragments are put together.
+COPIED = 1 << 20
 
 
 def write_rows(df: DataFrame, path: str, **options) -> None:
     df.write.mode("overwrite").options(**options).parquet(path)
 
 
-def write_json_array(df: DataFrame, path: str) -> None:
-    """One JSON array in one file of any file system that Spark writes, for exports that fit the driver; rows come one at a time."""
-    spark = df.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
-    put = lambda text: out.write(bytearray(text, "utf-8"))
-    put("[")
-    for i, r in enumerate(df.toLocalIterator()):
-        put(("," if i else "") + "\n  " + json.dumps(r.asDict(True), ensure_ascii=False, default=str))
-    put("\n]\n")
-    out.close()
-
-
-def write_json_arrays(df: DataFrame, path: str) -> None:
-    """A folder of files, each a JSON array, written by the tasks and committed by Spark; nothing passes the driver."""
+def _json_fragments(df: DataFrame, first: str = "", last: str | None = None) -> DataFrame:
+    """(value): the rows of df as JSON; in each task the first one follows `first`, others a comma, and `last` ends a task that has rows."""
 
-    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = "["
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = first
         for b in batches:
             lines = []
             for x in b.column(0).to_pylist():
                 lines.append(lead + x)
                 lead = ","
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
-        if lead == ",":
-            yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
+        if lead == "," and last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last])], ["value"])
+
+    ship(df.sparkSession)
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).mapInArrow(led, "value string")
 
-    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
-    rows.mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """One JSON array in one file, in the order of df's rows, in any file system that Spark writes.
+
+    Each task writes a fragment, which Spark commits, so a lost executor costs its fragments alone. The
+    last step orders them and copies them into one file, with brackets and commas between, through a
+    buffer of fixed size in the driver's JVM: file systems don't agree on what joining files means. The
+    file gets its name when it is whole; one of that name is replaced. No rows: an empty array. Nulls
+    are written as null. For data that one process shouldn't copy there is write_json_arrays.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    target, work = at(path), at(f"{path.rstrip('/')}.{uuid.uuid4().hex}")
+    fs = target.getFileSystem(conf)
+    try:
+        _json_fragments(df).write.option("maxRecordsPerFile", 0).option("compression", "none").text(f"{work}/fragments")
+        listed = [f.getPath() for f in fs.listStatus(at(work, "fragments")) if f.getLen() and f.getPath().getName().startswith("part-")]
+        listed.sort(key=lambda p: int(p.getName().split("-")[1]))
+        whole = at(work, "whole")
+        out = fs.create(whole, True)
+        try:
+            out.write(bytearray(b"[\n"))
+            for i, p in enumerate(listed):
+                if i:
+                    out.write(bytearray(b","))
+                part = fs.open(p)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, COPIED, False)
+                finally:
+                    part.close()
+            out.write(bytearray(b"]\n"))
+        finally:
+            out.close()
+        fs.delete(target, True)
+        if not fs.rename(whole, target):
+            raise OSError(f"can't rename {whole} to {path}")
+    finally:
+        fs.delete(work, True)
+
+
+def write_json_arrays(df: DataFrame, path: str) -> None:
+    """A folder of files, each a JSON array, written by the tasks and committed by Spark; nothing passes the driver."""
+    _json_fragments(df, "[", "]").write.mode("overwrite").text(path)
 
 
 def csv_ready(df: DataFrame) -> DataFrame:
