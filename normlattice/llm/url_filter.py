@@ -120,7 +120,7 @@ def without(rows: DataFrame, gone: DataFrame, same: Column, key: str, gone_key:
     asked = rows.withColumn(block, block_of(F.col(key), blocks))
     asked = asked.join(F.broadcast(bloom(gone, gone_key, blocks).toDF(block, bits)), block, "left")
     maybe = F.coalesce(F.col(bits).bitwiseAND(mask) == mask, F.lit(False))
-    return asked.filter(~maybe).unionByName(asked.filter(maybe).join(gone, same, "left_anti"))
+    return asked.filter(~maybe).unionByName(asked.filter(maybe).join(gone, same, "left_anti")).drop(block, bits)
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", listed_verdict: str = "block") -> DataFrame:
