@@ -107,20 +107,37 @@ def bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
     return rows.groupBy("block").agg(F.bit_or("mask").alias("bits"))
 
 
-def without(rows: DataFrame, gone: DataFrame, same: Column, key: str, gone_key: str) -> DataFrame:
-    """rows without those that go. A longer list than a broadcast holds is met by what passes its Bloom filter alone."""
-    n = gone.count()
-    if n <= MAX_BROADCAST:
-        return rows.join(F.broadcast(gone), same, "left_anti")
+def _sifted(rows: DataFrame, listed: DataFrame, key: str, listed_key: str, n: int) -> tuple[DataFrame, DataFrame] | None:
+    """rows whose key the Bloom filter of n listed keys may have, and the others; None if the filter is too large to broadcast."""
     blocks = blocks_for(n)
     if blocks > MAX_BROADCAST_BLOCKS:
-        return rows.join(gone, same, "left_anti")
+        return None
     block, bits = fresh(rows, "_block"), fresh(rows, "_bits")
     mask = mask_of(F.col(key))
     asked = rows.withColumn(block, block_of(F.col(key), blocks))
-    asked = asked.join(F.broadcast(bloom(gone, gone_key, blocks).toDF(block, bits)), block, "left")
+    asked = asked.join(F.broadcast(bloom(listed, listed_key, blocks).toDF(block, bits)), block, "left")
     maybe = F.coalesce(F.col(bits).bitwiseAND(mask) == mask, F.lit(False))
-    return asked.filter(~maybe).unionByName(asked.filter(maybe).join(gone, same, "left_anti")).drop(block, bits)
+    return asked.filter(maybe).drop(block, bits), asked.filter(~maybe).drop(block, bits)
+
+
+def without(rows: DataFrame, gone: DataFrame, same: Column, key: str, gone_key: str) -> DataFrame:
+    """rows without those that go. A longer list than a broadcast holds is met by what passes its Bloom filter alone."""
+    n = gone.count()
+    if n <= MAX_BROADCAST:
+        return rows.join(F.broadcast(gone), same, "left_anti")
+    sifted = _sifted(rows, gone, key, gone_key, n)
+    if sifted is None:
+        return rows.join(gone, same, "left_anti")
+    return sifted[1].unionByName(sifted[0].join(gone, same, "left_anti"))
+
+
+def matched(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with a written table on key. Of a longer one than a broadcast holds only rows that pass its Bloom filter are shuffled."""
+    n = table.count()
+    if n <= MAX_BROADCAST:
+        return rows.join(F.broadcast(table), key)
+    sifted = _sifted(rows, table, key, key, n)
+    return (rows if sifted is None else sifted[0]).join(table, key)
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", listed_verdict: str = "block") -> DataFrame:

@@ -1,5 +1,9 @@
+import re
+import time
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from normlattice import session
@@ -71,3 +75,25 @@ def test_stage_links_edited_copies(spark, monkeypatch, listed):
     kept = [r.doc_id for r in pipeline.near_duplicate_stage(spark, docs, "").collect()]
     assert sorted(kept, key=str) == sorted([*range(40), *range(2000, 2040), None], key=str)
     assert simhash.keep_one_per_group(docs.limit(0), width=5, exact=True).count() == 0
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {x for x in (files.apply(i).getName() for i in range(files.size())) if re.fullmatch("shuffle_.*data", x)}
+
+    before, ends = shuffled(), time.time() + 10
+    common.materialise(spark.range(100_000).groupBy(F.xxhash64("id").alias("h")).count(), "clean")
+    while shuffled() - before and time.time() < ends:
+        time.sleep(0.1)
+    assert not shuffled() - before
+
+
+def test_long_lists_move_only_rows_that_may_match(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST", 3)
+    rows = spark.range(1000).selectExpr("id AS k", "concat('text ', id) AS text")
+    table = common.materialise(spark.range(0, 1000, 50).selectExpr("id AS k", "id * 2 AS twice"), "table")
+    got = url_filter.matched(rows, table, "k")
+    assert got.columns == ["k", "text", "twice"]
+    assert sorted(map(tuple, got.collect())) == [(i, f"text {i}", 2 * i) for i in range(0, 1000, 50)]
+    assert url_filter._sifted(rows, table, "k", "k", 20)[0].count() < 200
