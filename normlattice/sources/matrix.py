@@ -6,6 +6,8 @@ tile without a score isn't written and is all zeros.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +17,8 @@ from ..session import materialise, ship, small
 
 #: Rows and columns of a tile.
 TILE = 256
+#: Ids of a side that are broadcast with their places.
+MAX_IDS = 2_000_000
 #: Bits of monotonically_increasing_id that count within a partition.
 _TURN = 33
 
@@ -34,13 +38,37 @@ def placed(ids: DataFrame) -> DataFrame:
     return rows.withColumn("part", part).join(F.broadcast(first), "part").select("id", (F.col("first") + F.col("m").bitwiseAND(F.lit((1 << _TURN) - 1))).alias("at"))
 
 
-def _filled(tile: int):
-    def fill(cells: pa.Table) -> pa.Table:
-        r, c, s = (cells.column(x).to_numpy() for x in ("r", "c", "score"))
-        i, j = int(r[0] // tile), int(c[0] // tile)
-        rows, cols = (int(min(tile, cells.column(x)[0].as_py() - k * tile)) for x, k in (("n_rows", i), ("n_cols", j)))
-        out = np.zeros((rows, cols))
-        out[r - i * tile, c - j * tile] = s
+def _tiled(tile: int, n_cols: int):
+    """Cells (r, c, score) to parts of tiles: (i, j, at, values) of the scores that aren't null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = -(-n_cols // tile)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            r, c = (b.column(x).to_numpy() for x in range(2))
+            s, some = b.column(2).to_numpy(zero_copy_only=False), b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            t = r // tile * width + c // tile
+            order = np.argsort(t, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(t[order]) != 0))
+            at = (r % tile * tile + c % tile).astype(np.uint32)
+            parts = [x[some[x]] for x in np.split(order, starts[1:])]
+            own = t[order[starts]]
+            cols = [pa.array(own // width), pa.array(own % width), pa.array([at[x].tobytes() for x in parts], pa.binary()), pa.array([s[x].tobytes() for x in parts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["i", "j", "at", "values"])
+
+    return run
+
+
+def _filled(tile: int, n_rows: int, n_cols: int):
+    def fill(parts: pa.Table) -> pa.Table:
+        i, j = parts.column("i")[0].as_py(), parts.column("j")[0].as_py()
+        rows, cols = min(tile, n_rows - i * tile), min(tile, n_cols - j * tile)
+        at, s = (np.concatenate([np.frombuffer(x.as_py(), t) for x in parts.column(c)]) for c, t in (("at", np.uint32), ("values", np.float64)))
+        whole, seen = np.full(tile * tile, -np.inf), np.zeros(tile * tile, bool)
+        np.maximum.at(whole, at, s)
+        seen[at] = True
+        out = np.where(seen, whole, 0.0).reshape(tile, tile)[:rows, :cols]
         one = {"tile_row": [i], "tile_col": [j], "n_rows": [rows], "n_cols": [cols], "values": [out.ravel()]}
         return pa.table({k: pa.array(v, pa.list_(pa.float64()) if k == "values" else pa.int64()) for k, v in one.items()})
 
@@ -56,7 +84,7 @@ def write_matrix(scores: DataFrame, path: str, tile: int = TILE) -> None:
     """
     spark = scores.sparkSession
     ship(spark)
-    cells = materialise(scores.groupBy("src_id", "tgt_id").agg(F.coalesce(F.max("score").cast("double"), F.lit(0.0)).alias("score")), "cells")
+    cells = materialise(scores.select("src_id", "tgt_id", F.col("score").cast("double").alias("score")), "cells")
     sides = []
     for name, c in (("rows", "src_id"), ("columns", "tgt_id")):
         placed(cells.select(c)).write.mode("overwrite").parquet(f"{path}/{name}")
@@ -64,11 +92,10 @@ def write_matrix(scores: DataFrame, path: str, tile: int = TILE) -> None:
     n_rows, n_cols = (x.count() for x in sides)
     for x, c, at in zip(sides, ("src_id", "tgt_id"), ("r", "c"), strict=True):
         own = x.toDF("own", at)
-        cells = cells.join(small(own), F.col(c).eqNullSafe(F.col("own"))).drop("own", c)
-    cells = cells.select("r", "c", "score", F.lit(n_rows).cast("long").alias("n_rows"), F.lit(n_cols).cast("long").alias("n_cols"))
-    # a group has at most tile * tile cells
-    tiles = cells.groupBy(F.floor(F.col("r") / tile).alias("i"), F.floor(F.col("c") / tile).alias("j"))
-    out = tiles.applyInArrow(_filled(tile), "tile_row long, tile_col long, n_rows long, n_cols long, values array<double>")
+        cells = cells.join(small(own, MAX_IDS), F.col(c).eqNullSafe(F.col("own"))).drop("own", c)
+    # what is shuffled are the scores that a task has of a tile, packed
+    parts = cells.select("r", "c", "score").mapInArrow(_tiled(tile, n_cols), "i long, j long, at binary, values binary")
+    out = parts.groupBy("i", "j").applyInArrow(_filled(tile, n_rows, n_cols), "tile_row long, tile_col long, n_rows long, n_cols long, values array<double>")
     out.withColumn("size", F.lit(tile)).write.mode("overwrite").parquet(f"{path}/tiles")
 
 

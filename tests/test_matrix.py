@@ -37,3 +37,13 @@ def test_repeats_nulls_and_no_rows(spark, tmp_path):
     matrix.write_matrix(scores.limit(0), path)
     assert [x.count() for x in matrix.read_matrix(spark, path)] == [0, 0, 0]
     assert not matrix.matrix_block(spark, path, (0, 2), (0, 2)).any()
+
+
+def test_cells_are_packed_by_tile(spark):
+    import pyarrow as pa
+
+    r, c = np.repeat(np.arange(30), 40), np.tile(np.arange(40), 30)
+    cells = pa.RecordBatch.from_arrays([pa.array(r), pa.array(c), pa.array(np.where(c == 3, np.nan, r + c / 100.0), from_pandas=True)], ["r", "c", "score"])
+    parts = [x for b in matrix._tiled(16, 40)(iter([cells])) for x in b.to_pylist()]
+    assert len(parts) == 2 * 3  # a row for each tile, not for each cell
+    assert sum(len(x["at"]) // 4 for x in parts) == 30 * 39
