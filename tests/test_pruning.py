@@ -92,3 +92,32 @@ def test_dense_blocks_that_are_skipped_hold_no_pair(spark, monkeypatch, threshol
         assert r.kept or max(cosines) < threshold
     if threshold == 0.9:
         assert sum(not r.kept for r in table) > len(table) / 3
+
+
+def test_rings_are_packed_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "VECTOR_ROWS", 20)
+    _, a = vectors(spark, 300, 1)
+    units = similarity._units(a).filter("len > 0")
+    cells = similarity.celled(units, similarity.pivots_of(units, units))
+    packed = similarity._packed(cells, "a").collect()
+    for k in {r.len for r in packed}:
+        own = [r for r in packed if r.len == k]
+        # as many blocks as the rows of a length fill, however many rings they have
+        assert {b for r in own for b in range(r["first"], r["last"] + 1)} == set(range(-(-sum(r.n for r in own) // 20)))
+    assert len(packed) > len({(r.len, r["first"]) for r in packed})
+
+
+def test_terms_are_told_once_for_each_chunk(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "CHUNK_CHARS", 2000)
+    monkeypatch.setattr(similarity, "BUCKET_CHARS", 1500)
+    (ra, a), (rb, b) = corpus(spark, 60, 1), corpus(spark, 150, 2, 1000)
+    (ca, cb), _, rows, buckets = similarity._counted_sides(a, b, [])
+    assert rows == 210 and buckets > 8 and cb.count() > 4
+    assert sorted(x for r in cb.collect() for x in r.ids) == sorted(str(i) for i, _ in rb)
+    _, found = similarity._frequencies([ca, cb], [])
+    assert found.count() <= buckets * (ca.count() + cb.count())
+    texts = [(t or "").split() for _, t in ra + rb]
+    df = Counter(t for ws in texts for t in {*ws, *(f"{x} {y}" for x, y in zip(ws, ws[1:]))})
+    (wa, wb), _ = similarity._sides(a, b, [])
+    got = wa.unionByName(wb).select("term", "df").distinct().collect()
+    assert {r.term: r.df for r in got} == df and len(got) == len(df)
