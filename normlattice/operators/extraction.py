@@ -82,29 +82,33 @@ def _islands(spark: SparkSession, path: str, marker: str | None, after: int) ->
 
     A piece that begins like a head begins an island; others, where prose has the word, go on with
     it. Which island a piece belongs to and where it begins in its document are sums over the pieces
-    before it, of rows without their texts; so only a clause, not a document, must fit a task.
+    before it, of rows without their texts; so only a clause, not a document, must fit a task. Files
+    are numbers meanwhile: their names are far longer than a piece, and shuffled names are packed so
+    well that a partition of usual size would be many times as large in the memory of its task.
     """
-    key, pieces = ["file", "start", "at"], _pieces(spark, path)
-    order = Window.partitionBy("file").orderBy("start", "at")
+    key, pieces = ["no", "start", "at"], _pieces(spark, path)
+    files = materialise(pieces.select("file").distinct().withColumn("no", F.monotonically_increasing_id()), "files")
+    order = Window.partitionBy("no").orderBy("start", "at")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    slim = pieces.select(*key, F.char_length("piece").alias("n"), F.char_length(F.regexp_replace("piece", rf"\A{X._WHITE}+", "")).alias("bare"), F.col("piece").rlike(r"\A\s+5\.\d").alias("head"))
+    slim = pieces.join(small(files), "file").select(*key, F.char_length("piece").alias("n"), F.char_length(F.regexp_replace("piece", rf"\A{X._WHITE}+", "")).alias("bare"), F.col("piece").rlike(r"\A\s+5\.\d").alias("head"))
     slim = slim.withColumn("first", F.row_number().over(order) == 1).withColumn("last", F.lead("at").over(order).isNull())
     slim = slim.withColumn("head", F.col("head") & ~F.col("first"))
     own = F.when(F.col("first"), F.col("bare")).otherwise(F.col("n")) + len(WORD)
     slim = slim.withColumn("own", own).withColumn("offset", F.coalesce(F.sum("own").over(before), F.lit(0)))
     slim = slim.withColumn("island", F.sum(F.col("head").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     slim = materialise(slim.select(*key, "first", "last", "offset", "island"), "islands")
-    rows = pieces.join(small(slim), key).withColumn("piece", _stripped(F.col("piece"), F.col("first"), F.col("last")))
+    # at is a piece's own
+    rows = pieces.select("at", "piece").join(small(slim), "at").withColumn("piece", _stripped(F.col("piece"), F.col("first"), F.col("last")))
     if marker is not None:
         place = F.call_function("locate", F.lit(marker), F.col("piece"), F.greatest(F.lit(after + 1) - F.col("offset"), F.lit(1)).cast("int"))
         rows = materialise(rows.withColumn("cut", place), "rows")
-        ends = rows.filter("cut > 0").groupBy(F.col("file").alias("_file")).agg(F.min(F.struct("start", "at")).alias("_end"))
-        rows = rows.join(small(ends), F.col("file") == F.col("_file"), "left")
+        ends = rows.filter("cut > 0").groupBy(F.col("no").alias("_no")).agg(F.min(F.struct("start", "at")).alias("_end"))
+        rows = rows.join(small(ends), F.col("no") == F.col("_no"), "left")
         here = F.struct("start", "at")
         rows = rows.filter(F.col("_end").isNull() | (here <= F.col("_end")))
         rows = rows.withColumn("piece", F.when(here == F.col("_end"), F.substring("piece", F.lit(1), F.col("cut") - 1)).otherwise(F.col("piece")))
-    found = rows.filter("island > 0").groupBy("file", "island").agg(F.array_sort(F.collect_list(F.struct("start", "at", "piece"))).alias("p"))
-    return found.select("file", "island", F.concat(F.lit(WORD), F.array_join(F.transform("p", lambda x: x.piece), WORD)).alias("text"))
+    found = rows.filter("island > 0").groupBy("no", "island").agg(F.array_sort(F.collect_list(F.struct("start", "at", "piece"))).alias("p"))
+    return found.join(small(files), "no").select("file", "island", F.concat(F.lit(WORD), F.array_join(F.transform("p", lambda x: x.piece), WORD)).alias("text"))
 
 
 def clauses_of_files(spark: SparkSession, path: str, pattern: str, marker: str | None = None, after: int = X.MARKER_AFTER) -> DataFrame:

@@ -34,3 +34,11 @@ def test_same_clauses_as_in_whole_texts(spark, tmp_path, pattern, marker, after)
     for r in sorted(found, key=lambda r: (r.file, r.pos)):
         got.setdefault(int(r.file.rsplit("/", 1)[1].split(".")[0]), []).append((r.provision_id, r.body))
     assert got == want and len(want) > 3
+
+
+def test_sorted_pieces_have_no_file_names(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Provision 5.1-1 shall Provision 5.1-2 may", encoding="utf-8")
+    out = E.clauses_of_files(spark, str(tmp_path), E.CLAUSE_A)
+    assert [r.file.rsplit("/", 1)[1] for r in out.collect()] == ["a.txt"] * 2
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not [x for x in plan.split("\n") if "hashpartitioning(" in x and "file#" in x]
