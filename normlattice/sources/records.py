@@ -21,12 +21,19 @@ from pyspark.sql import types as T
 from ..session import materialise, ship, small
 
 #: Characters of a chunk; a longer record has chunks of its own.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 KEY = ["file", "start", "no"]
 _ESCAPED = re.compile(r"\\.", re.S)
 _MARKS = re.compile(r'\\.|["{}\[\]]', re.S)
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 100) -> Iterator[tuple]:
+    """The rows of batches, of which few are Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield from zip(*(c.to_pylist() for c in b.slice(at, rows).columns), strict=True)
+
+
 def _gathered(end: str, measure):
     """Consecutive rows of a split to chunks: (file, start, no, text, flips, out, inside, first)."""
 
@@ -38,15 +45,14 @@ def _gathered(end: str, measure):
             row = (*where, no, text, *measure(text), text.lstrip("\ufeff \t\r\n")[:1])
             return pa.RecordBatch.from_pylist([dict(zip(("file", "start", "no", "text", "flips", "out", "inside", "first"), row, strict=True))], _CHUNK_TYPE)
 
-        for b in batches:
-            for file, start, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and (size >= CHUNK or (file, start) != where):
-                    yield flush()
-                    held, size, no = [], 0, no + 1
-                if (file, start) != where:
-                    where, no = (file, start), 0
-                held.append(piece)
-                size += len(piece) + 1
+        for file, start, piece in _few(batches):
+            if held and (size >= CHUNK or (file, start) != where):
+                yield flush()
+                held, size, no = [], 0, no + 1
+            if (file, start) != where:
+                where, no = (file, start), 0
+            held.append(piece)
+            size += len(piece) + 1
         if held:
             yield flush()
 
@@ -98,7 +104,8 @@ def _cut(ends):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            # a chunk at a time, as a batch may hold many and Python's text takes up to four bytes a character
+            for r in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 text, at = r["text"], ends(r["text"], bool(r["quoted"]), r["depth"], r["base"])
                 row = {k: r[k] for k in KEY} | {"n": len(at), "head": text[: at[0]] if at else None, "whole": [text[x:y] for x, y in zip(at, at[1:])], "tail": text[at[-1] if at else 0 :]}
                 yield pa.RecordBatch.from_pylist([row], _CUT_TYPE)

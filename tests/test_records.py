@@ -84,3 +84,13 @@ def test_marked_clauses_go_and_arrays_are_written_by_tasks(spark, tmp_path):
     assert sorted(int(r.provision_id) for r in kept.collect()) == [i for i in range(20) if i % 3]
     sinks.write_json_arrays(rows.limit(0), str(tmp_path / "nothing"))
     assert readers.read_provisions(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_a_worker_makes_few_rows_objects_at_once(spark):
+    import pyarrow as pa
+
+    from normlattice.sources import records
+
+    assert records.CHUNK <= 1 << 20
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * 1000), pa.array([0] * 1000), pa.array(["x" * 9] * 1000)], ["file", "start", "value"])
+    assert list(records._few(iter([batch]), 64)) == [("f", 0, "x" * 9)] * 1000
