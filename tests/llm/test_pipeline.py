@@ -51,3 +51,11 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_do_not_reach_later_stages(spark):
+    prose = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, prose), (2, prose + " more"), (3, "quite another text of a few words")], "doc_id long, text string")
+    docs = docs.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
+    left = pipeline.near_duplicate_stage(spark, docs, "")
+    assert sorted(r.doc_id for r in pipeline.token_stage(spark, left, "").collect()) == [1, 3]
