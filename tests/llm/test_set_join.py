@@ -60,6 +60,54 @@ def test_components_match_brute_force(spark, monkeypatch, tight):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("paired", [1, 3, 8])
+def test_components_match_brute_force_with_frequent_shingles(spark, monkeypatch, paired):
+    monkeypatch.setattr(set_join, "PAIRED", paired)
+    texts = made(np.random.default_rng(10 + paired))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, want = {}, {}
+    for r in simhash.similar_texts(docs).collect():
+        got.setdefault(r.root, set()).add(r.doc_id)
+    for i, r in enumerate(brute_roots(texts)):
+        want.setdefault(r, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_texts_that_share_a_little_with_each_neighbour_are_apart(spark):
+    rng = np.random.default_rng(4)
+    prose = lambda k: ["".join(chr(97 + i) for i in rng.integers(0, 26, 6)) for _ in range(k)]
+    both = [prose(120) for _ in range(41)]
+    texts = [" ".join(both[i] + prose(360) + both[i + 1]) for i in range(40)]
+    texts += [f"{texts[i]} {prose(1)[0]}" for i in range(0, 40, 8)]
+    raws = spark.createDataFrame([(t.encode(),) for t in texts], "raw binary")
+    links = set_join.candidate_links(raws, set_join.frequent(raws))
+    sizes = [r["count"] for r in common.connected_components(links).groupBy("root").count().collect()]
+    assert sizes == [2] * 5  # what texts have in common with two others together made one component of all
+
+
+def test_pairs_of_a_shingle_over_any_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = sorted({(int(h), int(n), int(k)) for h, n, k in zip(rng.integers(0, 12, 150), rng.integers(8, 14, 150), rng.integers(-40, 40, 150), strict=True)})
+    want = {}
+    for i, (h, n, k) in enumerate(rows):
+        for g, m, j in rows[:i]:
+            if g == h and 5 * m >= 4 * n:
+                want[min(j, k), max(j, k), m] = want.get((min(j, k), max(j, k), m), 0) + 1
+    for step in (1, 7, 1000):
+        parts = [pa.record_batch([pa.array([r[0] for r in p], pa.int64()), pa.array([r[2] for r in p], pa.int64()), pa.array([r[1] for r in p], pa.int32())], ["h", "key", "size"]) for p in (rows[at : at + step] for at in range(0, len(rows), step))]
+        got = {}
+        for b in set_join._pairs(iter(parts)):
+            for r in b.to_pylist():
+                got[r["a"], r["b"]] = got.get((r["a"], r["b"]), 0) + r["n"]
+        totals = {}
+        for (a, b, _), n in want.items():
+            totals[a, b] = totals.get((a, b), 0) + n
+        assert got == totals
+    assert sum(b.num_rows for b in set_join._pairs(iter([]))) == 0
+
+
 @pytest.mark.parametrize("listed", [common.MAX_BROADCAST, 0])
 def test_stage_links_edited_copies(spark, monkeypatch, listed):
     monkeypatch.setattr(url_filter, "MAX_BROADCAST", listed)  # 0: by the Bloom filter
