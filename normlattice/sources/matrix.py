@@ -17,6 +17,10 @@ from ..session import materialise, ship, small
 
 #: Rows and columns of a tile.
 TILE = 256
+#: Tiles of a row group: a reader that decodes many rows at once has no more of them in memory.
+GROUP_TILES = 16
+#: Cells that a task packs at once.
+CELLS = 1 << 21
 #: Ids of a side that are broadcast with their places.
 MAX_IDS = 2_000_000
 #: Bits of monotonically_increasing_id that count within a partition.
@@ -41,21 +45,30 @@ def placed(ids: DataFrame) -> DataFrame:
 def _tiled(tile: int, n_cols: int):
     """Cells (r, c, score) to parts of tiles: (i, j, at, values) of the scores that aren't null."""
 
+    width = -(-n_cols // tile)
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        r, c = (np.concatenate([b.column(x).to_numpy() for b in held]) for x in range(2))
+        s, some = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for b in held]), np.concatenate([b.column(2).is_valid().to_numpy(zero_copy_only=False) for b in held])
+        t = r // tile * width + c // tile
+        order = np.argsort(t, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(t[order]) != 0))
+        at = (r % tile * tile + c % tile).astype(np.uint32)
+        parts = [x[some[x]] for x in np.split(order, starts[1:])]
+        own = t[order[starts]]
+        cols = [pa.array(own // width), pa.array(own % width), pa.array([at[x].tobytes() for x in parts], pa.binary()), pa.array([s[x].tobytes() for x in parts], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["i", "j", "at", "values"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = -(-n_cols // tile)
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            if not b.num_rows:
-                continue
-            r, c = (b.column(x).to_numpy() for x in range(2))
-            s, some = b.column(2).to_numpy(zero_copy_only=False), b.column(2).is_valid().to_numpy(zero_copy_only=False)
-            t = r // tile * width + c // tile
-            order = np.argsort(t, kind="stable")
-            starts = np.flatnonzero(np.append(True, np.diff(t[order]) != 0))
-            at = (r % tile * tile + c % tile).astype(np.uint32)
-            parts = [x[some[x]] for x in np.split(order, starts[1:])]
-            own = t[order[starts]]
-            cols = [pa.array(own // width), pa.array(own % width), pa.array([at[x].tobytes() for x in parts], pa.binary()), pa.array([s[x].tobytes() for x in parts], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["i", "j", "at", "values"])
+            if b.num_rows:
+                held.append(b)
+            if sum(x.num_rows for x in held) >= CELLS:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
 
     return run
 
@@ -96,7 +109,8 @@ def write_matrix(scores: DataFrame, path: str, tile: int = TILE) -> None:
     # what is shuffled are the scores that a task has of a tile, packed
     parts = cells.select("r", "c", "score").mapInArrow(_tiled(tile, n_cols), "i long, j long, at binary, values binary")
     out = parts.groupBy("i", "j").applyInArrow(_filled(tile, n_rows, n_cols), "tile_row long, tile_col long, n_rows long, n_cols long, values array<double>")
-    out.withColumn("size", F.lit(tile)).write.mode("overwrite").parquet(f"{path}/tiles")
+    # Spark decodes 4,096 rows at once, and of tiles these would be some GB; it stops at the end of a row group
+    out.withColumn("size", F.lit(tile)).write.mode("overwrite").option("parquet.block.row.count.limit", GROUP_TILES).parquet(f"{path}/tiles")
 
 
 def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -47,3 +47,22 @@ def test_cells_are_packed_by_tile(spark):
     parts = [x for b in matrix._tiled(16, 40)(iter([cells])) for x in b.to_pylist()]
     assert len(parts) == 2 * 3  # a row for each tile, not for each cell
     assert sum(len(x["at"]) // 4 for x in parts) == 30 * 39
+
+
+def test_cells_of_several_batches_are_packed_together():
+    import pyarrow as pa
+
+    one = lambda r: pa.RecordBatch.from_arrays([pa.array([r] * 40), pa.array(range(40)), pa.array([r / 2.0] * 40)], ["r", "c", "score"])
+    parts = [x for b in matrix._tiled(16, 40)(iter([one(r) for r in range(30)])) for x in b.to_pylist()]
+    assert len(parts) == 2 * 3 and sum(len(x["at"]) // 4 for x in parts) == 30 * 40
+
+
+def test_readers_decode_few_tiles_at_once(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    cells = spark.range(3600).selectExpr("id div 60 AS src_id", "id % 60 AS tgt_id", "id / 10000.0D AS score")
+    matrix.write_matrix(cells, f"{tmp_path}/m", 2)
+    files = [pq.ParquetFile(x) for x in (tmp_path / "m" / "tiles").glob("*.parquet")]
+    groups = [f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(groups) == 900 and max(groups) <= matrix.GROUP_TILES
+    assert (matrix.matrix_block(spark, f"{tmp_path}/m", (0, 60), (0, 60)) == np.arange(3600).reshape(60, 60) / 10000.0).all()
